@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import columns_of, cut, table
 
 _BITS = 60
 
@@ -152,6 +152,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def exact_stage(docs: DataFrame) -> DataFrame:
+    """``docs`` without copies of documents with a smaller id."""
+    gone = exact_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("g_id")).distinct()
+    return columns_of(docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti"), docs)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

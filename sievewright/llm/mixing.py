@@ -118,12 +118,16 @@ SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(siz
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """The mix itself: a document comes once for each pass that takes it, its last copy cut to the words taken."""
-    d = mixed(measured(docs, *(c for c in docs.columns if c not in ("doc_id", "source")))).filter("taken > 0")
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    """The mix itself: a document comes once for each pass that takes it, its last copy cut to the words taken.
+
+    Rows that share ``doc_id`` are one document and get the same number of copies.
+    """
+    plan = mixed(cut(measured(docs))).filter("taken > 0").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("p")).select(F.col("doc_id").alias("p_id"), F.col("p.size").alias("p_size"), F.col("p.taken").alias("p_taken"))
+    d = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")))
+    d = d.withColumn("p_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("p_taken") / F.col("p_size")).cast("int"))))
+    words = F.least(F.col("p_size"), F.col("p_taken") - (F.col("p_copy") - 1) * F.col("p_size"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    d = d.withColumn("text", F.when(words < F.col("size"), head).otherwise(F.col("text")))
+    d = d.withColumn("text", F.when(words < F.col("p_size"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")))
+        d = d.withColumn("n_chars", F.when(words < F.col("p_size"), F.length("text")).otherwise(F.col("n_chars")))
     return columns_of(d, docs)
