@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
@@ -46,12 +46,43 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small where single values can be long texts or whole sets."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(
-        spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    ) <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Bits of a membership filter. Its table has a row for every 64, so that its size is fixed whatever the ids are.
+FILTER_BITS = 1 << 24
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _maybe(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: false where ``key`` is surely not among the one column of ``ids``.
+
+    A one-hash filter of fixed size is broadcast (262,144 rows at most). Beyond some ten million ids it lets more and more rows
+    through, and the exact join that follows does all the work.
+    """
+    (name,) = ids.columns
+    place = _place(F.col(name).cast("string"))
+    words = ids.select(F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(cast(`%s` as string)), %d) & 63 as int))" % (name, FILTER_BITS)).alias("_bit"))
+    bits = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    mine = df.withColumn("_p", _place(F.col(key).cast("string"))).withColumn("_word", F.shiftright("_p", 6))
+    hit = F.expr("shiftright(_bits, cast(_p & 63 as int)) & 1") == 1
+    return mine.join(F.broadcast(bits), "_word", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_p", "_word", "_bits")
+
+
+def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (null equals null) is among ``ids``: only likely ones are shuffled."""
+    (name,) = ids.columns
+    likely = _maybe(df, key, ids).filter("_maybe").drop("_maybe")
+    return likely.join(ids.withColumnRenamed(name, "_id").hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+
+
+def rows_without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among ``ids``: rows that the filter clears never move."""
+    (name,) = ids.columns
+    marked = _maybe(df, key, ids)
+    likely = marked.filter("_maybe").drop("_maybe")
+    rest = likely.join(ids.withColumnRenamed(name, "_id").hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    return marked.filter("NOT _maybe").drop("_maybe").unionByName(rest)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, columns_of, cut, table
+from .common import as_bytes, blocks, columns_of, cut, rows_with, rows_without, table
 from .components import components
 from .hashing import Block, mix
 
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, low
     prefixes = cut(listed.select("rid", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - need + 1)).alias("t")).select("rid", "t.token"))
     survivors = prefixes.select("rid").distinct()
     sigs = cut(classes.join(survivors, "rid").select("rid", "n", "sig"))
-    texts = docs.join(sigs.select("rid"), F.col("doc_id") == F.col("rid"))
+    texts = rows_with(docs, "doc_id", sigs.select("rid")).withColumnRenamed("doc_id", "rid")
     # A doc_id may come in several rows; the text whose set is the class's is the one meant.
     sets = cut(_sets(texts, width, lower).withColumn("n", F.length("hashes") / 8).join(sigs.select("rid", "n"), ["rid", "n"]).dropDuplicates(["rid"]).select("rid", "hashes"))
 
@@ -175,5 +175,5 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_stage(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies of documents with a smaller id (five-word shingles, 0.8)."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("g_id")).distinct()
-    return columns_of(docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti"), docs)
+    gone = cut(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
+    return columns_of(rows_without(docs, "doc_id", gone), docs)

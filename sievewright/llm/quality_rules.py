@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import as_bytes, blocks, columns_of, cut, table
+from .common import as_bytes, blocks, columns_of, cut, rows_without, table
 from .hashing import Block, mix
 
 #: Labelled rows that the trees are fitted to, at most.
@@ -120,6 +120,6 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with the columns of ``docs``; statistics and texts pass the trees in one scan."""
-    verdict = quality_rules(docs, labels).groupBy("doc_id").agg(F.min("kept").alias("ok")).filter("ok").select(F.col("doc_id").alias("v_id"))
-    return columns_of(docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("v_id")), "left_semi"), docs)
+    """Rows of ``docs`` that the rules keep; a document that comes in several rows stays if all of them pass."""
+    gone = cut(quality_rules(docs, labels).groupBy("doc_id").agg(F.min("kept").alias("ok")).filter("NOT ok").select("doc_id"))
+    return columns_of(rows_without(docs, "doc_id", gone), docs)
