@@ -35,9 +35,9 @@ def smallest_n(rule: DataFrame, benign: DataFrame, n_benign: int | Column, fpr:
     m = F.lit(n_benign) if isinstance(n_benign, int) else n_benign
     hits = benign.join(F.broadcast(rule.select("atom")), "atom").groupBy("sample").agg(F.countDistinct("atom").alias("hits"))
     have = hits.groupBy("hits").agg(F.count(F.lit(1)).alias("n"))
-    steps = rule.agg(F.count(F.lit(1)).alias("size")).select(F.explode(F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("size").cast("int")))).alias("N"))
-    over = steps.join(have, F.col("hits") >= F.col("N"), "left").groupBy("N").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("wrong"))
-    return over.filter(F.col("wrong") / F.greatest(m, F.lit(1)) <= fpr).agg(F.min("N").cast("long").alias("threshold"))
+    steps = rule.agg(F.count(F.lit(1)).alias("size")).select(F.explode(F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("size").cast("int")))).alias("least"))
+    over = steps.join(have, F.col("hits") >= F.col("least"), "left").groupBy("least").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("wrong"))
+    return over.filter(F.col("wrong") / F.greatest(m, F.lit(1)) <= fpr).agg(F.min("least").cast("long").alias("threshold"))
 
 
 def sweep(samples: DataFrame, rule_atoms: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 """All queries over the relational tables, with the SQL that states each."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import extensions, mining, relational, statistics
+
+QUERIES = relational.QUERIES | statistics.QUERIES | mining.QUERIES | extensions.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | statistics.ORACLE_SQL | mining.ORACLE_SQL | extensions.ORACLE_SQL
