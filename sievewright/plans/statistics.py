@@ -21,7 +21,10 @@ def query(sql: str | None = None):
     return register
 
 
-_ERROR = F.col("event_type") == "error"
+def _error():
+    return F.col("event_type") == "error"
+
+
 _CURVE = """c AS (SELECT {by} value, count(*) FILTER (event_type = 'error') AS pos, count(*) FILTER (event_type <> 'error') AS neg FROM events GROUP BY ALL),
 r AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY value DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY value DESC) AS fp, sum(pos) OVER (PARTITION BY {part}) AS p, sum(neg) OVER (PARTITION BY {part}) AS n FROM c)"""
 _ONE, _WEEK = _CURVE.format(by="", part="1"), _CURVE.format(by="date_trunc('week', ts)::TIMESTAMP AS week,", part="week")
@@ -33,36 +36,36 @@ def _events(spark, d):
 
 @query(f"WITH {_ONE} SELECT round(sum(neg * (tp - pos / 2)) / max(p) / max(n), 9) AS auc, max(p)::BIGINT AS n_pos, max(n)::BIGINT AS n_neg FROM r")
 def roc_auc(spark, d):
-    return evaluation.roc_auc(table(spark, d, "events"), "value", _ERROR).withColumn("auc", F.round("auc", 9))
+    return evaluation.roc_auc(table(spark, d, "events"), "value", _error()).withColumn("auc", F.round("auc", 9))
 
 
 @query(f"WITH {_WEEK} SELECT week, round(sum(neg * (tp - pos / 2)) / max(p) / max(n), 9) AS auc, max(p)::BIGINT AS n_pos, max(n)::BIGINT AS n_neg FROM r GROUP BY week HAVING max(p) > 0 AND max(n) > 0")
 def weekly_auc(spark, d):
-    return evaluation.roc_auc(_events(spark, d), "value", _ERROR, ["week"]).withColumn("auc", F.round("auc", 9))
+    return evaluation.roc_auc(_events(spark, d), "value", _error(), ["week"]).withColumn("auc", F.round("auc", 9))
 
 
 @query(f"""WITH {_WEEK}, a AS (SELECT week, sum(neg * (tp - pos / 2)) / max(p) / max(n) AS auc FROM r GROUP BY week HAVING max(p) > 0 AND max(n) > 0),
 t AS (SELECT (auc + lag(auc) OVER (ORDER BY week)) / 2 AS piece FROM a) SELECT round(sum(piece) / count(piece), 9) AS area FROM t""")
 def aut_trapezoid(spark, d):
-    return evaluation.trapezoid(evaluation.roc_auc(_events(spark, d), "value", _ERROR, ["week"]), "week", "auc").select(F.round("area", 9).alias("area"))
+    return evaluation.trapezoid(evaluation.roc_auc(_events(spark, d), "value", _error(), ["week"]), "week", "auc").select(F.round("area", 9).alias("area"))
 
 
 @query(f"""WITH {_ONE}, f AS (SELECT unnest([0.01, 0.001, 0.1]) AS fpr)
 SELECT f.fpr::DOUBLE AS fpr, round(coalesce(max(tp) FILTER (fp / n <= f.fpr), 0) / max(p), 9) AS tpr, min(value) FILTER (fp / n <= f.fpr) AS threshold FROM r, f GROUP BY f.fpr""")
 def tpr_at_fpr(spark, d):
-    parts = [evaluation.tpr_at_fpr(table(spark, d, "events"), "value", _ERROR, f).select(F.lit(f).alias("fpr"), F.round("tpr", 9).alias("tpr"), "threshold") for f in (0.01, 0.001, 0.1)]
+    parts = [evaluation.tpr_at_fpr(table(spark, d, "events"), "value", _error(), f).select(F.lit(f).alias("fpr"), F.round("tpr", 9).alias("tpr"), "threshold") for f in (0.01, 0.001, 0.1)]
     return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(f"WITH {_ONE} SELECT round(sum(pos * (tp / (tp + fp))) / max(p), 9) AS average_precision FROM r")
 def average_precision(spark, d):
-    return evaluation.average_precision(table(spark, d, "events"), "value", _ERROR).select(F.round("average_precision", 9).alias("average_precision"))
+    return evaluation.average_precision(table(spark, d, "events"), "value", _error()).select(F.round("average_precision", 9).alias("average_precision"))
 
 
 @query("""WITH n AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type <> 'error')
 SELECT value AS threshold FROM n WHERE i = least(n - 1, floor(n * (1 - 0.01::DOUBLE)))""")
 def threshold_for_fpr(spark, d):
-    return evaluation.threshold_for_fpr(table(spark, d, "events"), "value", ~_ERROR, 0.01)
+    return evaluation.threshold_for_fpr(table(spark, d, "events"), "value", ~_error(), 0.01)
 
 
 _CONFUSION = """SELECT {by} count(*) FILTER (f AND y) AS tp, count(*) FILTER (f AND NOT y) AS fp, count(*) FILTER (NOT f AND y) AS fn, count(*) FILTER (NOT f AND NOT y) AS tn FROM s GROUP BY ALL"""
@@ -72,7 +75,7 @@ _CONFUSION = """SELECT {by} count(*) FILTER (f AND y) AS tp, count(*) FILTER (f
 SELECT tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1,
 round(coalesce(fp / nullif(fp + tn, 0), 0), 9) AS fpr FROM c""")
 def confusion_at_threshold(spark, d):
-    c = evaluation.confusion(table(spark, d, "events"), F.col("value") > 100, _ERROR)
+    c = evaluation.confusion(table(spark, d, "events"), F.col("value") > 100, _error())
     return c.select("tp", "fp", "fn", "tn", *(F.round(x, 9).alias(x) for x in ("precision", "recall", "f1", "fpr")))
 
 
@@ -82,7 +85,7 @@ SELECT model, early, count(*) FILTER (f AND y) AS tp, count(*) FILTER (f AND NOT
 def cross_eval_grid(spark, d):
     models = F.array(*(F.struct(F.lit(n).alias("model"), F.lit(c).alias("cut")) for n, c in (("low", 20.0), ("middle", 60.0), ("high", 150.0))))
     e = table(spark, d, "events").select("event_type", "value", (F.dayofmonth("ts") <= 15).alias("early"), F.inline(models))
-    return evaluation.confusion(e, F.col("value") > F.col("cut"), _ERROR, ["model", "early"]).select("model", "early", "tp", "fp", F.round("recall", 9).alias("recall"))
+    return evaluation.confusion(e, F.col("value") > F.col("cut"), _error(), ["model", "early"]).select("model", "early", "tp", "fp", F.round("recall", 9).alias("recall"))
 
 
 @query("""WITH c AS (SELECT event_type, count(*) FILTER (value > 100)::DOUBLE AS k, count(*)::DOUBLE AS n FROM events GROUP BY event_type), w AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM c)
@@ -122,7 +125,7 @@ u AS (SELECT rep, f, ('0x' || substr(md5(event_id || ':' || rep), 1, 8))::BIGINT
 w AS (SELECT rep, f, {_poisson_case('u')} AS w FROM u), s AS (SELECT rep, sum(w * f) / sum(w) AS rate FROM w GROUP BY rep)
 SELECT (SELECT round(avg((event_type = 'error')::INT), 9) FROM events) AS rate, round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high FROM s""")
 def hash_bootstrap_ci(spark, d):
-    return evaluation.bootstrap_rate(table(spark, d, "events"), "event_id", _ERROR, 40).select(*(F.round(c, 9).alias(c) for c in ("rate", "low", "high")))
+    return evaluation.bootstrap_rate(table(spark, d, "events"), "event_id", _error(), 40).select(*(F.round(c, 9).alias(c) for c in ("rate", "low", "high")))
 
 
 @query("""WITH c AS (SELECT l_partkey, l_suppkey FROM lineitem), a AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) AS k, l_suppkey, row_number() OVER (ORDER BY l_suppkey) AS j FROM c),
