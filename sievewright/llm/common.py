@@ -72,8 +72,12 @@ def _maybe(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` (null equals null) is among ``ids``: only likely ones are shuffled."""
     (name,) = ids.columns
-    likely = _maybe(df, key, ids).filter("_maybe").drop("_maybe")
-    return likely.join(ids.withColumnRenamed(name, "_id").hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    return likely_rows(df, key, ids).join(ids.withColumnRenamed(name, "_id").hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+
+
+def likely_rows(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """All rows of ``df`` whose ``key`` is among ``ids`` and few others: for a join with ``ids`` that follows."""
+    return _maybe(df, key, ids).filter("_maybe").drop("_maybe")
 
 
 def rows_without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:

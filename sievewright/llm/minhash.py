@@ -7,11 +7,11 @@
    partner, and of two linked classes the ``shared - need + 1`` rarest shared values (the prefix) of each meet.
 3. Each posting list of a prefix first links its members to its smallest one only: a list of n makes n - 1 candidates. Candidates'
    collisions are counted over all coordinates in strides, and a pair is skipped once the rest can't reach ``need``.
-   What remains is confirmed on full sets.
+   Of the rest, each member's best candidate is confirmed on full sets.
 4. Members whose component still differs from that of their list's smallest are then paired with all members of other components,
    counted and confirmed the same way. So no pair inside a component is made again, and no link between components is lost.
 
-Set hashes have 64 bits; confirmations count equal hashes. Defined results: null or wordless texts have no shingles, link with
+Sets are of 64-bit hashes; confirmations count hashes equal in their upper ``KEPT`` bytes. Defined results: null or wordless texts have no shingles, link with
 nothing and stay; rows without ``doc_id`` are not linked and stay (component null); rows that share ``doc_id`` and text share
 their outcome. Other columns are not read; tables without rows give none.
 """
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, columns_of, cut, rows_with, rows_without, table
+from .common import as_bytes, blocks, columns_of, cut, likely_rows, rows_without, table
 from .components import components
 from .hashing import Block, mix
 
 COORDS = 48
+#: Bytes kept of a hash in the sets that confirm links: two sets of 1,000 share one by chance once in a million pairs.
+KEPT = 5
 #: Coordinates whose collisions are counted between two looks at which pairs can be skipped.
 STRIDE = 12
 
@@ -60,22 +62,39 @@ def signatures(docs: DataFrame, width: int, lower: bool, coords: int = COORDS) -
         for batch in blocks(batches):
             sets = Block(as_bytes(batch), lower).shingle_sets(width)
             sizes = [len(s) for s in sets]
-            keys = [None if not len(s) else np.array([np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))]).tobytes() for s in sets]
+            keys = [set_key(s) for s in sets]
             sigs = [None if not len(s) else signature(s, salts) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
+def set_key(hashes: np.ndarray) -> bytes | None:
+    """128-bit digest of a set; None for the empty one."""
+    return np.array([np.bitwise_xor.reduce(mix(hashes)), np.add.reduce(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))]).tobytes() if len(hashes) else None
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their upper ``KEPT`` bytes."""
+    return np.ascontiguousarray((hashes >> np.uint64(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
-    """rid and its sorted set as packed 64-bit integers."""
+    """rid and its packed set, for rows (rid, set_key, text) whose text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            sets = [s.tobytes() for s in Block(as_bytes(batch), lower).shingle_sets(width)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.binary())], ["rid", "hashes"])
+            sets = Block(as_bytes(batch), lower).shingle_sets(width)
+            mine = [k for k, (s, want) in enumerate(zip(sets, batch.column("set_key").to_pylist(), strict=True)) if set_key(s) == want]
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(mine, pa.int64())), pa.array([pack(sets[k]) for k in mine], pa.binary())], ["rid", "hashes"])
 
-    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid long, hashes binary")
+    return docs.select("rid", "set_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid long, hashes binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -83,7 +102,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _collide(need: int, percent: int):
-    """Pairs with signatures and sizes in, pairs with ``need`` equal coordinates and sizes near enough out."""
+    """Pairs with signatures and sizes in, pairs with ``need`` equal coordinates and sizes near enough out, with that number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +115,7 @@ def _collide(need: int, percent: int):
             for at in range(0, coords, STRIDE):
                 count[live] += (a[live, at : at + STRIDE] == b[live, at : at + STRIDE]).sum(axis=1)
                 live = live[count[live] + max(coords - at - STRIDE, 0) >= need]
-            yield batch.select(["a", "b"]).take(pa.array(live))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(live)), batch.column("b").take(pa.array(live)), pa.array(count[live])], ["a", "b", "hits"])
 
     return run
 
@@ -110,8 +129,8 @@ def _confirm(percent: int):
             last, x = None, None
             for k, (ia, sa, sb) in enumerate(zip(batch.column("a").to_pylist(), batch.column("seta"), batch.column("setb"), strict=True)):
                 if ia != last:
-                    last, x = ia, np.frombuffer(sa.as_buffer(), np.uint64)
-                y = np.frombuffer(sb.as_buffer(), np.uint64)
+                    last, x = ia, unpack(sa.as_buffer())
+                y = unpack(sb.as_buffer())
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 both = int((x[at] == y).sum())
@@ -136,31 +155,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, low
     listed = posted.join(shared, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("tokens")).filter(F.size("tokens") >= need)
     prefixes = cut(listed.select("rid", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - need + 1)).alias("t")).select("rid", "t.token"))
     survivors = prefixes.select("rid").distinct()
-    sigs = cut(classes.join(survivors, "rid").select("rid", "n", "sig"))
-    texts = rows_with(docs, "doc_id", sigs.select("rid")).withColumnRenamed("doc_id", "rid")
+    sigs = cut(classes.join(survivors, "rid").select("rid", "n", "sig", "set_key"))
     # A doc_id may come in several rows; the text whose set is the class's is the one meant.
-    sets = cut(_sets(texts, width, lower).withColumn("n", F.length("hashes") / 8).join(sigs.select("rid", "n"), ["rid", "n"]).dropDuplicates(["rid"]).select("rid", "hashes"))
+    keyed = sigs.select("rid", "set_key")
+    texts = likely_rows(docs, "doc_id", keyed.select("rid")).join(keyed.hint("merge"), F.col("doc_id") == F.col("rid"))
+    sets = cut(_sets(texts, width, lower))
+
+    def collided(pairs: DataFrame) -> DataFrame:
+        sa, sb = sigs.select("rid", "n", "sig").toDF("a", "na", "siga"), sigs.select("rid", "n", "sig").toDF("b", "nb", "sigb")
+        return cut(pairs.join(sb, "b").join(sa, "a").select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_collide(need, percent), "a long, b long, hits long"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        sa, sb = sigs.toDF("a", "na", "siga"), sigs.toDF("b", "nb", "sigb")
-        near = pairs.join(sb, "b").join(sa, "a").select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_collide(need, percent), "a long, b long")
-        full = near.join(sets.toDF("b", "setb"), "b").join(sets.toDF("a", "seta"), "a").select("a", "b", "seta", "setb")
-        return full.mapInArrow(_confirm(percent), "a long, b long").toDF("u", "v")
+    def confirmed(near: DataFrame) -> DataFrame:
+        sa, sb = (likely_rows(sets, "rid", near.select(c).distinct()).toDF(c, f"set{c}") for c in "ab")
+        full = near.select("a", "b").join(sb.hint("merge"), "b").join(sa.hint("merge"), "a").select("a", "b", "seta", "setb")
+        return cut(full.mapInArrow(_confirm(percent), "a long, b long").toDF("u", "v"))
 
     heads = prefixes.groupBy("token").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("token", "head")
     stars = prefixes.join(heads, "token").filter("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
-    first = cut(linked(stars))
-    part = components(first)
+    # Of its lists' heads a member is confirmed against the one it collides with most; others only matter if that fails.
+    best = cut(collided(stars).groupBy("b").agg(F.max(F.struct("hits", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b"))
+    part = components(confirmed(best))
 
     placed = cut(prefixes.join(part, prefixes["rid"] == part["node"], "left").select("token", "rid", F.coalesce("component", "rid").alias("part")))
-    home = placed.join(heads, "token")
-    main = home.filter("rid = head").select("token", F.col("part").alias("main"))
+    main = placed.join(heads, "token").filter("rid = head").select("token", F.col("part").alias("main"))
     others = placed.join(main, "token").filter("part <> main").select("token", F.col("rid").alias("a"), F.col("part").alias("pa"), "main")
     # A pair of two others is made once; a pair of an other and a member of the main part always.
-    rest = others.join(placed.select("token", F.col("rid").alias("b"), F.col("part").alias("pb")), "token").filter("pa <> pb AND (pb = main OR a < b)").select("a", "b").distinct()
-    tested = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    second = cut(linked(rest))
+    rest = others.join(placed.select("token", F.col("rid").alias("b"), F.col("part").alias("pb")), "token").filter("pa <> pb AND (pb = main OR a < b)")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    second = confirmed(collided(rest))
     parts = part if second.isEmpty() else components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
 
     named = classes.join(parts, classes["rid"] == parts["node"], "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rid").alias("found"))
