@@ -63,8 +63,8 @@ def words_of(text: Column) -> Column:
 def license_scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    templates = spark.createDataFrame(template_rows(notices), "t_gram string, label string, t_pos int, t_grams int, base boolean")
-    templates = templates.withColumn("t_hash", F.xxhash64("t_gram"))
+    values = ", ".join(f"('{g}', '{label}', {p}, {n}, {base})" for g, label, p, n, base in template_rows(notices))
+    templates = spark.sql(f"SELECT * FROM VALUES {values} AS t(t_gram, label, t_pos, t_grams, base)").withColumn("t_hash", F.xxhash64("t_gram"))
     w = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
     join2 = lambda a, b: F.concat(a, F.lit(" "), b)
     w = w.withColumn("g2", F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), join2))
