@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, table
+from .common import columns_of, cut, rows_with, rows_without, table
 
 _BITS = 60
 
@@ -137,9 +137,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     answers = lists.groupBy("owner").applyInPandas(_answer, "owner long, part long, n long, bitmap binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = cut(digests.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_mark, f"doc_id {kind}, sha binary, suspect boolean"))
-    suspects = marked.filter("suspect").select(F.col("doc_id").alias("s_id")).distinct()
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).join(suspects, F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
-    verified = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    suspects = cut(marked.filter("suspect").select("doc_id").distinct())
+    texts = rows_with(docs.select("doc_id", "text"), "doc_id", suspects)
+    verified = texts.select("doc_id", normalised(F.col("text")).alias("norm")).groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = verified.select(F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("g_sha"), "keep_id", "group_size")
     out = marked.join(groups, marked["sha"] == groups["g_sha"], "left")
     single = F.col("g_sha").isNull()
@@ -154,8 +154,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def exact_stage(docs: DataFrame) -> DataFrame:
     """``docs`` without copies of documents with a smaller id."""
-    gone = exact_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("g_id")).distinct()
-    return columns_of(docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti"), docs)
+    gone = cut(exact_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
+    return columns_of(rows_without(docs, "doc_id", gone), docs)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
