@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
     try:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -37,3 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def roots(forest: DataFrame) -> DataFrame:
+    """(node, parent), one parent a node -> (node, root) for all nodes that have a parent, by pointer jumping: a join a round."""
+    now = forest
+    while True:
+        up = now.select(F.col("node").alias("p"), F.col("parent").alias("above"))
+        now = cut(now.join(up, now["parent"] == up["p"], "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        if now.filter("moved").isEmpty():
+            return now.select("node", F.col("parent").alias("root"))
+        now = now.select("node", "parent")

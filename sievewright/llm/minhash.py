@@ -8,8 +8,10 @@
 3. Each posting list of a prefix first links its members to its smallest one only: a list of n makes n - 1 candidates. Candidates'
    collisions are counted over all coordinates in strides, and a pair is skipped once the rest can't reach ``need``.
    Of the rest, each member's best candidate is confirmed on full sets.
-4. Members whose component still differs from that of their list's smallest are then paired with all members of other components,
-   counted and confirmed the same way. So no pair inside a component is made again, and no link between components is lost.
+4. Candidates, confirmed or not, tie members into cohorts; members of a list outside its head's cohort are counted against the list, inside the
+   join, and tie cohorts together. So two linked documents are in one cohort. Where confirmed links leave a cohort in several
+   parts, the members outside the largest part meet all members block by block: a block's intersections are exact matrix products, and only a
+   link that joins two parts leaves it. A group of n near copies so makes about n rows and n n' / BLOCK block rows, n' being those outside.
 
 Sets are of 64-bit hashes; confirmations count hashes equal in their upper ``KEPT`` bytes. Defined results: null or wordless texts have no shingles, link with
 nothing and stay; rows without ``doc_id`` are not linked and stay (component null); rows that share ``doc_id`` and text share
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, columns_of, cut, likely_rows, rows_without, table
-from .components import components
+from .components import components, roots
 from .hashing import Block, mix
 
 COORDS = 48
 #: Bytes kept of a hash in the sets that confirm links: two sets of 1,000 share one by chance once in a million pairs.
 KEPT = 5
+#: Members of one block, and hashes of their sets, about, when the members of a cohort meet.
+BLOCK, BLOCK_HASHES = 1_000, 1_500_000
 #: Coordinates whose collisions are counted between two looks at which pairs can be skipped.
 STRIDE = 12
 
@@ -141,6 +145,58 @@ def _confirm(percent: int):
     return run
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Exact sizes of all intersections of two lists of sets, as products of slices of their incidence matrices.
+
+    A hash that only one set has is in no intersection and gets no column.
+    """
+    _, place, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    column = np.cumsum(times > 1) - 1
+    shared = times[place] > 1
+    row, place = row[shared], column[place[shared]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int((times > 1).sum()), columns):
+        low, high = np.searchsorted(place, [at, at + columns])
+        m = np.zeros((len(a) + len(b), columns), np.float32)
+        m[row[low:high], place[low:high] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _settle(percent: int):
+    """A block of members outside their cohort's main part against a block of all its members: pairs of parts that a link joins, a spanning forest of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        part, minor = (np.array(t.column(c).to_pylist()) for c in ("part", "minor"))
+        sets = [np.unique(unpack(x.as_buffer())) for x in t.column("hashes").combine_chunks()]
+        size = t.column("n").to_numpy()
+        one, all_ = np.flatnonzero(minor), np.flatnonzero(~minor)
+        links = ([], [])
+        if len(one) and len(all_):
+            both = intersections([sets[i] for i in one], [sets[j] for j in all_])
+            ok = (100 * both >= percent * (size[one][:, None] + size[all_] - both)) & (part[one][:, None] != part[all_])
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = up.get(up[x], up[x])
+                    x = up[x]
+                return x
+
+            for i, j in np.argwhere(ok).tolist():
+                x, y = root(int(part[one[i]])), root(int(part[all_[j]]))
+                if x != y:
+                    up[x] = y
+                    links[0].append(int(part[one[i]]))
+                    links[1].append(int(part[all_[j]]))
+        return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, lower: bool = True, coords: int = COORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     percent = round(100 * threshold)
@@ -170,22 +226,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, low
         full = near.select("a", "b").join(sb.hint("merge"), "b").join(sa.hint("merge"), "a").select("a", "b", "seta", "setb")
         return cut(full.mapInArrow(_confirm(percent), "a long, b long").toDF("u", "v"))
 
+    def named_by(forest: DataFrame, name: str) -> DataFrame:
+        r = roots(forest.toDF("parent", "node"))
+        return cut(sigs.select("rid").join(r.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias(name)))
+
+    def tied(groups: DataFrame, name: str, edges: DataFrame) -> DataFrame:
+        """``groups`` (rid, name) with groups that ``edges`` between members' groups connect made one, by their smallest name."""
+        merged = components(edges).toDF("from", "to")
+        return groups.join(merged, groups[name] == merged["from"], "left").select("rid", F.coalesce("to", name).alias(name))
+
     heads = prefixes.groupBy("token").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("token", "head")
     stars = prefixes.join(heads, "token").filter("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
-    # Of its lists' heads a member is confirmed against the one it collides with most; others only matter if that fails.
     best = cut(collided(stars).groupBy("b").agg(F.max(F.struct("hits", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b"))
-    part = components(confirmed(best))
-
-    placed = cut(prefixes.join(part, prefixes["rid"] == part["node"], "left").select("token", "rid", F.coalesce("component", "rid").alias("part")))
-    main = placed.join(heads, "token").filter("rid = head").select("token", F.col("part").alias("main"))
-    others = placed.join(main, "token").filter("part <> main").select("token", F.col("rid").alias("a"), F.col("part").alias("pa"), "main")
-    # A pair of two others is made once; a pair of an other and a member of the main part always.
-    rest = others.join(placed.select("token", F.col("rid").alias("b"), F.col("part").alias("pb")), "token").filter("pa <> pb AND (pb = main OR a < b)")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    second = confirmed(collided(rest))
-    parts = part if second.isEmpty() else components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
-
-    named = classes.join(parts, classes["rid"] == parts["node"], "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rid").alias("found"))
+    links = confirmed(best)
+    # A head is its list's smallest, so candidates and links are forests: each member has one parent, with a smaller id.
+    parts, cohorts = named_by(links, "part"), named_by(best, "cohort")
+
+    # Members of a list that did not end up in its head's cohort meet the list; collisions are counted inside the join.
+    placed = prefixes.join(cohorts, "rid")
+    mains = placed.join(heads, "token").filter("rid = head").select("token", F.col("cohort").alias("main"))
+    others = cut(placed.join(mains, "token").filter("cohort <> main").select("token", F.col("rid").alias("a"), F.col("cohort").alias("ca"), "main"))
+    members = likely_rows(placed, "token", others.select("token").distinct()).select(F.col("token").alias("t"), F.col("rid").alias("b"), F.col("cohort").alias("cb"))
+    sa, sb = sigs.select("rid", "n", "sig").toDF("a", "na", "siga"), sigs.select("rid", "n", "sig").toDF("b", "nb", "sigb")
+    hits = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    met = others.join(sa, "a").join(members.join(sb, "b"), (F.col("token") == F.col("t")) & apart & (hits >= need))
+    across = cut(met.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct())
+    if not across.isEmpty():
+        cohorts = cut(tied(cohorts, "cohort", across))
+
+    # Inside a cohort of several parts, all members outside the largest part meet all members, block by block.
+    of = parts.join(cohorts, "rid").join(sigs.select("rid", "n"), "rid")
+    sizes = of.groupBy("cohort", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).groupBy("cohort").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "part", "n")).alias("m"), F.count(F.lit(1)).alias("several"))
+    cuts = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / BLOCK_HASHES), F.lit(1))
+    sizes = sizes.filter("several > 1").select("cohort", cuts(F.col("c"), F.col("n")).alias("blocks"), cuts(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("minors"), F.col("m.part").alias("main"))
+    open_ = cut(of.join(sizes, "cohort"))
+    full = likely_rows(sets, "rid", open_.select("rid")).join(open_.hint("merge"), "rid")
+    at = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    member = full.select("cohort", spread("minors").alias("i"), at("blocks").alias("j"), F.lit(False).alias("minor"), "part", "n", "hashes")
+    minor = full.filter("part <> main").select("cohort", at("minors").alias("i"), spread("blocks").alias("j"), F.lit(True).alias("minor"), "part", "n", "hashes")
+    settled = cut(member.unionByName(minor).groupBy("cohort", "i", "j").applyInArrow(_settle(percent), "u long, v long"))
+    if not settled.isEmpty():
+        parts = tied(parts, "part", settled)
+
+    named = classes.join(parts, "rid", "left").select(F.col("set_key").alias("k"), F.coalesce("part", "rid").alias("found"))
     out = signed.join(named, signed["set_key"] == named["k"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
