@@ -123,7 +123,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     Rows that share ``doc_id`` are one document and get the same number of copies.
     """
     plan = mixed(cut(measured(docs))).filter("taken > 0").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("p")).select(F.col("doc_id").alias("p_id"), F.col("p.size").alias("p_size"), F.col("p.taken").alias("p_taken"))
-    d = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")))
+    d = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("p_id")))
     d = d.withColumn("p_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("p_taken") / F.col("p_size")).cast("int"))))
     words = F.least(F.col("p_size"), F.col("p_taken") - (F.col("p_copy") - 1) * F.col("p_size"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
