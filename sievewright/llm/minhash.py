@@ -211,7 +211,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, low
     listed = posted.join(shared, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("tokens")).filter(F.size("tokens") >= need)
     prefixes = cut(listed.select("rid", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - need + 1)).alias("t")).select("rid", "t.token"))
     survivors = prefixes.select("rid").distinct()
-    sigs = cut(classes.join(survivors, "rid").select("rid", "n", "sig", "set_key"))
+    # Pairs carry one byte of each coordinate: a chance match in 256 can only add a candidate, never lose one.
+    byte = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
+    sigs = cut(classes.join(survivors, "rid").select("rid", "n", byte.alias("sig"), "set_key"))
     # A doc_id may come in several rows; the text whose set is the class's is the one meant.
     keyed = sigs.select("rid", "set_key")
     texts = likely_rows(docs, "doc_id", keyed.select("rid")).join(keyed.hint("merge"), F.col("doc_id") == F.col("rid"))
