@@ -44,3 +44,17 @@ def test_other_queries_run(spark, name):
 
 def test_contributions_add_up_to_the_margin(spark):
     assert catalog.QUERIES["tree_shap_additivity"](spark, DATA).agg({"gap": "max"}).first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("name", ["gbt_fit_score", "tree_shap_additivity"])
+def test_models_score_every_row(spark, name):
+    rows = lambda df: sorted(map(tuple, df.select("l_orderkey", "l_linenumber").collect()))
+    assert rows(catalog.QUERIES[name](spark, DATA)) == rows(spark.read.parquet(f"{DATA}/lineitem.parquet"))
+
+
+def test_regression_is_fitted_on_every_row(spark):
+    """At the optimum the mean of the predictions is the mean of the labels of the rows that were fitted."""
+    w = {r["feature"]: r["weight"] for r in catalog.QUERIES["lr_fit"](spark, DATA).collect()}
+    margin = " + ".join([f"{v!r}D" if f == "(bias)" else f"{v!r}D * {f}" for f, v in w.items()])
+    r = spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("count(1) AS n", f"avg(1 / (1 + exp(-({margin})))) - avg(CAST(l_returnflag = 'R' AS DOUBLE)) AS gap").first()
+    assert r["n"] > 0 and abs(r["gap"]) < 1e-4
