@@ -91,6 +91,22 @@ def rows_without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return marked.filter("NOT _maybe").drop("_maybe").unionByName(rest)
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a text in hex; null as empty."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """One row of a corpus by id and digest of its text, for ids that may be null or repeat with other texts."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), F.lit(":"), digest)
+
+
+def row_number(doc_id: Column, text: Column) -> Column:
+    """``row_key`` as 63 bits of a SHA-256: among 15 million rows two meet with odds of about one in 80,000."""
+    key = F.sha2(row_key(doc_id, digest(text)), 256)
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long") * 8 + F.conv(F.substring(key, 16, 1), 16, 10).cast("long") % 8
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``size`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, rows_with, rows_without, table
+from .common import columns_of, cut, likely_rows, row_key, rows_with, rows_without, table
 
 _BITS = 60
 
@@ -153,9 +153,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def exact_stage(docs: DataFrame) -> DataFrame:
-    """``docs`` without copies of documents with a smaller id."""
-    gone = cut(exact_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
-    return columns_of(rows_without(docs, "doc_id", gone), docs)
+    """``docs`` with one row of each normalised text: that with the smallest id, null last; among rows of that id the smallest row.
+
+    Rows are dropped by id and digest, so a null or repeated id drops no other text. Columns must have an order.
+    """
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)))
+    several = exact_duplicates(docs).filter("group_size > 1").groupBy(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    found = cut(several.agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone, repeated = found.filter("NOT kept OR n > 1").select("_key"), found.filter("kept AND n > 1").select(F.col("_key").alias("_one"))
+    rest = columns_of(rows_without(keyed, "_key", gone), docs)
+    if repeated.isEmpty():
+        return rest
+    # Combined before the shuffle, likely rows first: a group of repeats may be large.
+    one = likely_rows(keyed, "_key", repeated).groupBy("_key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    one = one.join(repeated.hint("merge"), F.col("_key") == F.col("_one"), "left_semi")
+    return rest.unionByName(columns_of(one.select("_row.*"), docs))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, columns_of, cut, likely_rows, rows_without, table
+from .common import as_bytes, blocks, columns_of, cut, likely_rows, row_number, rows_without, table
 from .components import components, roots
 from .hashing import Block, mix
 
@@ -283,6 +283,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies of documents with a smaller id (five-word shingles, 0.8)."""
-    gone = cut(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
-    return columns_of(rows_without(docs, "doc_id", gone), docs)
+    """``docs`` without near copies (five-word shingles, 0.8): of each component the row with the smallest id stays, null last.
+
+    Rows are numbered by id and text, so null and repeated ids are rows like all others; exact repeats of a row share its outcome.
+    """
+    keyed = docs.withColumn("_row", row_number(F.col("doc_id"), F.col("text")))
+    found = cut(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id").distinct())
+    several = found.filter("rid <> component_id").select(F.col("component_id").alias("c")).distinct()
+    members = found.join(several, F.col("component_id") == F.col("c"), "left_semi")
+    ids = likely_rows(keyed.select("doc_id", "_row"), "_row", members.select("rid"))
+    named = cut(members.join(ids.hint("merge"), F.col("rid") == F.col("_row")).select("component_id", F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid").alias("m")))
+    best = named.groupBy("component_id").agg(F.min("m").alias("best")).select(F.col("component_id").alias("c"), F.col("best.rid").alias("stays"))
+    gone = cut(named.join(best, F.col("component_id") == F.col("c")).select(F.col("m.rid").alias("rid"), "stays").filter("rid <> stays").select("rid").distinct())
+    return columns_of(rows_without(keyed, "_row", gone), docs)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import as_bytes, blocks, columns_of, cut, rows_without, table
+from .common import as_bytes, blocks, columns_of, cut, digest, rows_without, table
 from .hashing import Block, mix
 
 #: Labelled rows that the trees are fitted to, at most.
@@ -71,16 +71,17 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([s["n_symbols"] / words, s["n_repeat_words"] / words, s["n_dup_lines"] / lines, np.log1p(s["n_words"]), s["word_chars"] / words, s["n_upper"] / chars, s["n_digits"] / chars, s["n_stops"] / words, s["n_distinct_words"] / words, s["n_words"] / lines], axis=1).astype(float)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id with BASE and EXTRA for every row of ``docs`` (doc_id, text)."""
+def document_statistics(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id and ``others`` with BASE and EXTRA for every row of ``docs`` (doc_id, text)."""
+    kept = ["doc_id", *others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             s = statistics(as_bytes(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(s[c].astype(np.int64)) for c in BASE + EXTRA)], ["doc_id", *BASE, *EXTRA])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(s[c].astype(np.int64)) for c in BASE + EXTRA)], [*kept, *BASE, *EXTRA])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE + EXTRA)]))
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in BASE + EXTRA)]))
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> tuple[boosting.FlatTrees, float] | None:
@@ -97,22 +98,22 @@ def fit_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_go
     return trees, threshold
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> DataFrame:
-    """doc_id, BASE, base_failed, score and kept for every row of ``docs``."""
-    stats = cut(document_statistics(docs))
+def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``others``, BASE, base_failed, score and kept for every row of ``docs``."""
+    stats = cut(document_statistics(docs, *others))
     model = fit_rules(stats, labels, sample, keep_good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features({c: batch.column(c).to_numpy() for c in BASE + EXTRA})
             score = model[0].probability(x) if model else np.ones(len(x))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *BASE)), pa.array(score)], ["doc_id", *BASE, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *others, *BASE)), pa.array(score)], ["doc_id", *others, *BASE, "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stats.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE), "score double"]))
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *others)]
+    scored = stats.mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in BASE), "score double"]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     threshold = model[1] if model else 0.0
-    return scored.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+    return scored.select("doc_id", *others, *BASE, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep; a document that comes in several rows stays if all of them pass."""
-    gone = cut(quality_rules(docs, labels).groupBy("doc_id").agg(F.min("kept").alias("ok")).filter("NOT ok").select("doc_id"))
-    return columns_of(rows_without(docs, "doc_id", gone), docs)
+    """Rows of ``docs`` that the rules keep. The verdict follows from the text alone, so texts are dropped by their digest, whatever the id."""
+    keyed = docs.withColumn("_text", digest(F.col("text")))
+    gone = cut(quality_rules(keyed, labels, others=("_text",)).filter("NOT kept").select("_text").distinct())
+    return columns_of(rows_without(keyed, "_text", gone), docs)

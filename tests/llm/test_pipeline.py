@@ -50,3 +50,24 @@ def test_truncated_copies_are_prefixes(spark, folder):
     whole = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in mixing.mix_stage(docs).collect():
         assert whole[r["doc_id"]].startswith(r["text"]) and re.search(r"\S", r["text"])
+
+
+def test_null_and_repeated_ids_lose_no_other_text(spark, tmp_path):
+    """Each stage decides by row: a copy, near copy or junk row takes none of its namesakes with it, and copies go whatever their ids."""
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(60))
+    stages = dict(corpus_pipeline.STAGES)
+    labels = f"{tmp_path}/labels.parquet"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").limit(0).write.parquet(labels)
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+        return sorted(((r["doc_id"], r["text"], r["source"]) for r in stages[stage](spark, docs, str(tmp_path)).collect()), key=str)
+
+    clean = [(None, text(1), "a"), (None, text(2), "a"), (7, text(3), "a")]
+    assert left("quality rules", [*clean, (None, "junk", "a"), (7, "too short", "a"), (None, None, "a")]) == sorted(clean, key=str)
+    copies = [(None, text(4), "a"), (7, text(4), "a"), (None, text(5).replace(" ", "\n"), "b"), (8, text(6), "b")]
+    rows = [*clean, (4, text(4), "a"), *copies, (None, text(5), "a"), (8, text(6), "a"), (8, text(6), "a")]
+    assert left("exact dedup", rows) == sorted([*clean, (4, text(4), "a"), (None, text(5).replace(" ", "\n"), "b"), (8, text(6), "a")], key=str)
+    near = [(4, text(4), "a"), (7, text(4) + " end", "a"), (None, text(4) + " other", "a"), (9, text(5), "a"), (9, text(5) + " end", "a")]
+    got = left("near dedup", [*clean, *near])
+    assert len(got) == 5 and set(got) > {*clean, near[0]} and {r for r in got if r[0] == 9} < set(near)
