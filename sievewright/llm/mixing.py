@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, table
+from .common import columns_of, cut, row_number, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -118,16 +118,15 @@ SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(siz
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """The mix itself: a document comes once for each pass that takes it, its last copy cut to the words taken.
+    """The mix itself: a document comes whole, once for each pass that takes it.
 
-    Rows that share ``doc_id`` are one document and get the same number of copies.
+    The document on a source's budget edge is taken when that is nearer to the target than leaving it. Rows are planned by id and
+    text; exact repeats of a row get the same number of copies. Rows without ``doc_id`` draw by their text.
     """
-    plan = mixed(cut(measured(docs))).filter("taken > 0").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("p")).select(F.col("doc_id").alias("p_id"), F.col("p.size").alias("p_size"), F.col("p.taken").alias("p_taken"))
-    d = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("p_id")))
-    d = d.withColumn("p_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("p_taken") / F.col("p_size")).cast("int"))))
-    words = F.least(F.col("p_size"), F.col("p_taken") - (F.col("p_copy") - 1) * F.col("p_size"))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    d = d.withColumn("text", F.when(words < F.col("p_size"), head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(words < F.col("p_size"), F.length("text")).otherwise(F.col("n_chars")))
-    return columns_of(d, docs)
+    keyed = docs.withColumn("_row", row_number(F.col("doc_id"), F.col("text")))
+    drawn = keyed.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("_row").cast("string"))))
+    plan = mixed(cut(measured(drawn, "_row"))).filter("taken > 0").groupBy("_row").agg(F.max(F.struct("taken", "size")).alias("p"))
+    copies = F.floor(F.col("p.taken") / F.col("p.size")) + (2 * (F.col("p.taken") % F.col("p.size")) > F.col("p.size")).cast("long")
+    plan = plan.select(F.col("_row").alias("p_row"), copies.cast("int").alias("p_copies")).filter("p_copies > 0")
+    d = keyed.join(plan.hint("merge"), F.col("_row") == F.col("p_row"))
+    return columns_of(d.withColumn("p_copy", F.explode(F.sequence(F.lit(1), F.col("p_copies")))), docs)

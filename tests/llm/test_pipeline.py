@@ -71,3 +71,18 @@ def test_null_and_repeated_ids_lose_no_other_text(spark, tmp_path):
     near = [(4, text(4), "a"), (7, text(4) + " end", "a"), (None, text(4) + " other", "a"), (9, text(5), "a"), (9, text(5) + " end", "a")]
     got = left("near dedup", [*clean, *near])
     assert len(got) == 5 and set(got) > {*clean, near[0]} and {r for r in got if r[0] == 9} < set(near)
+
+
+def test_mix_gives_whole_documents_near_the_targets(spark):
+    from sievewright.llm import mixing
+
+    size = lambda k: 40 + k * 7 % 60
+    rows = [(None if k % 9 == 0 else k % 70, " ".join(f"m{k}x{i}" for i in range(size(k))), "abc"[k % 3], size(k)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = [tuple(r) for r in mixing.mix_stage(docs).collect()]
+    assert set(got) <= set(rows)
+    for r in mixing.mixed(mixing.measured(docs)).select("source", "target").distinct().collect():
+        assert abs(sum(n for *_, s, n in got if s == r["source"]) - r["target"]) <= 50.5
+    low = [(k, " ".join(f"l{k}x{i}" for i in range(size(k))), s, size(k)) for k, s in enumerate("a" * 10 + "b" * 10 + "c" * 100)]
+    got = [tuple(r) for r in mixing.mix_stage(spark.createDataFrame(low, docs.schema)).collect()]
+    assert set(got) <= set(low) and len(got) > 100
