@@ -3,8 +3,8 @@
 1. One pass over the texts makes each document's set of shingle hashes, a digest of the set, and ``coords`` minima. Documents
    with equal sets become one class, so a group of exact copies is one node from here on.
 2. A class is posted under each pair (coordinate, value). Values posted once link nothing. Two classes of similarity ``threshold``
-   agree in ``need`` coordinates but for odds below a millionth (``required_matches``), so a class with fewer shared values has no
-   partner, and of two linked classes the ``shared - need + 1`` rarest shared values (the prefix) of each meet.
+   agree in ``need`` coordinates but for odds of 3.3 in a million at the defaults (exact binomial tail; ``required_matches`` uses its normal
+   approximation), so a class with fewer shared values is taken to have no partner, and of two linked classes the ``shared - need + 1`` rarest shared values (the prefix) of each meet.
 3. Each posting list of a prefix first links its members to its smallest one only: a list of n makes n - 1 candidates. Candidates'
    collisions are counted over all coordinates in strides, and a pair is skipped once the rest can't reach ``need``.
    Of the rest, each member's best candidate is confirmed on full sets.

@@ -153,3 +153,10 @@ def test_network_learns_and_handles_odd_documents():
     net.train(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, language_id.WINDOW), np.repeat([0, 1], 60), steps=60, batch=32)
     p = net.documents([b"abcab abc cab", b"", b"zyx" * 500, b"x"])
     assert p[0].argmax() == 0 and p[2].argmax() == 1 and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
+def test_stated_odds_of_a_missed_pair_are_the_exact_tail():
+    from math import comb
+
+    miss = sum(comb(48, k) * 0.8**k * 0.2 ** (48 - k) for k in range(minhash.required_matches(minhash.COORDS, 0.8)))
+    assert minhash.COORDS == 48 and f"odds of {miss * 1e6:.1f} in a million" in minhash.__doc__
