@@ -187,7 +187,7 @@ def clustered(df: DataFrame, vector: str, k: int, dims: int | None = None, seed:
 
 
 def density_clusters(df: DataFrame, vector: str, reach: float, least: int = 5) -> DataFrame:
-    """``df`` (id, vector) with cluster, -1 for noise: density clustering of a bounded sample in one task (a few thousand rows)."""
+    """``df`` (id, vector) with cluster, -1 for noise: density clustering in one task; all rows are taken, so the caller must bound them (a few thousand)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf[vector].to_numpy()).astype(float)
