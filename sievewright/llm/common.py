@@ -6,10 +6,11 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
@@ -21,31 +22,88 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is set (tests), a temporary one."""
+    """The folder that all executors share. Where none is set, a temporary one in local mode and an error on a cluster."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="sievewright-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
+#: Tables written by ``cut`` that are still there: path -> session, and name if the catalog knows them.
+_written: dict[str, tuple[SparkSession, str | None]] = {}
+
+
+def _remove(path: str) -> None:
+    spark, name = _written.pop(path, (None, None))
+    if spark is None or spark.sparkContext._jsc is None:
         return
     try:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
     except Exception:  # the session has ended; the folder's owner clears it
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and any executor can reread it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sievewright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_written):
+        _remove(path)
+
+
+def cut(df: DataFrame, by: str | None = None, buckets: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and any executor can reread it.
+
+    With ``by`` the table is bucketed by that column, and grouping the result by it needs no shuffle.
+    """
+    spark, name = df.sparkSession, f"sievewright_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _written[path] = spark, name if by else None
+    if by:
+        df.write.format("parquet").bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = spark.table(name)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for t in tables:
+        _remove(getattr(t, "_cut_path", ""))
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Deletes on leaving all tables cut inside but those put into the list."""
+    before, stay = set(_written), []
+    yield stay
+    kept = {getattr(t, "_cut_path", "") for t in stay}
+    for path in set(_written) - before - kept:
+        _remove(path)
+
+
+#: Keys with more than this part of all rows are hot. There can be no more than so many, which bounds their broadcast.
+HOT_KEYS = 20_000
+
+
+def meet(rows: DataFrame, one: DataFrame, key: str, many: str, how: str = "inner", least: int = 1_000, total: int | None = None) -> DataFrame:
+    """``rows`` joined (inner or left) with ``one``, which has one row a key and in ``many`` the number of rows that hold it.
+
+    Keys held by more than a ``HOT_KEYS``-th of ``total`` rows (and ``least``) meet by broadcast, so that no task gets all rows of
+    one of them; the others are left to a plain join. ``rows`` is read twice and should be a written table.
+    """
+    bound = max(least, (rows.count() if total is None else total) // HOT_KEYS)
+    hot = one.filter(F.col(many) > bound)
+    warm = rows.join(F.broadcast(hot), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one, key, how)
+    return warm.unionByName(cold)
 
 
 #: Bits of a membership filter. Its table has a row for every 64, so that its size is fixed whatever the ids are.
@@ -57,7 +115,7 @@ def _place(key: Column) -> Column:
 
 
 def _maybe(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``_maybe``: false where ``key`` is surely not among the one column of ``ids``.
+    """``df`` (no columns that begin with an underscore) with ``_maybe``: false where ``key`` is surely not among the one column of ``ids``.
 
     A one-hash filter of fixed size is broadcast (262,144 rows at most). Beyond some ten million ids it lets more and more rows
     through, and the exact join that follows does all the work.
@@ -107,6 +165,23 @@ def row_number(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long") * 8 + F.conv(F.substring(key, 16, 1), 16, 10).cast("long") % 8
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name in ``sums``, that column's sum over all rows before a row in the order.
+
+    Rows are dealt by ranges of the order and written with their place; sums of ranges (a row a partition) are added up
+    first, then running sums come inside a range. No task holds more than a range.
+    """
+    values = {f"v_{k}": c.alias(f"v_{k}") for k, c in sums.items()}
+    placed = cut(df.select("*", *values.values()).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("range", F.shiftright("place", 33))
+    inside = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(*(F.sum(v).alias(v) for v in values))
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"o_{k}") for k, v in zip(sums, values, strict=True)))
+    out = placed.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in zip(sums, values, strict=True)}).join(F.broadcast(offsets), "range")
+    return out.select(*df.columns, *((F.col(k) + F.col(f"o_{k}")).alias(k) for k in sums))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``size`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -125,6 +200,11 @@ def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).to_pylist()]
 
 
-def columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
-    """``df`` with the columns and types of ``like``."""
-    return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in like.schema.fields))
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``row``, each whole row of ``docs`` as one struct, and ``keys``: no helper column can clash with one of the rows'."""
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows of ``packed`` with their own columns and types again."""
+    return df.select("row.*")

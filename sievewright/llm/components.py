@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        before, now = now, cut(_small_star(_large_star(now)))
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -41,10 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def roots(forest: DataFrame) -> DataFrame:
     """(node, parent), one parent a node -> (node, root) for all nodes that have a parent, by pointer jumping: a join a round."""
-    now = forest
+    now, written = forest, None
     while True:
         up = now.select(F.col("node").alias("p"), F.col("parent").alias("above"))
-        now = cut(now.join(up, now["parent"] == up["p"], "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
-        if now.filter("moved").isEmpty():
-            return now.select("node", F.col("parent").alias("root"))
-        now = now.select("node", "parent")
+        before, written = written, cut(now.join(up, now["parent"] == up["p"], "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        if before is not None:
+            discard(before)
+        if written.filter("moved").isEmpty():
+            return written.select("node", F.col("parent").alias("root"))
+        now = written.select("node", "parent")

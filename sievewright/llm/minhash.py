@@ -1,19 +1,21 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-1. One pass over the texts makes each document's set of shingle hashes, a digest of the set, and ``coords`` minima. Documents
-   with equal sets become one class, so a group of exact copies is one node from here on.
+1. One pass over the texts makes each document's set of shingle hashes, a digest of the set, ``coords`` minima, and ``PLANES`` bits of
+   every minimum. Documents with equal sets become one class, so a group of exact copies is one node from here on.
 2. A class is posted under each pair (coordinate, value). Values posted once link nothing. Two classes of similarity ``threshold``
-   agree in ``need`` coordinates but for odds of 3.3 in a million at the defaults (exact binomial tail; ``required_matches`` uses its normal
-   approximation), so a class with fewer shared values is taken to have no partner, and of two linked classes the ``shared - need + 1`` rarest shared values (the prefix) of each meet.
-3. Each posting list of a prefix first links its members to its smallest one only: a list of n makes n - 1 candidates. Candidates'
-   collisions are counted over all coordinates in strides, and a pair is skipped once the rest can't reach ``need``.
-   Of the rest, each member's best candidate is confirmed on full sets.
-4. Candidates, confirmed or not, tie members into cohorts; members of a list outside its head's cohort are counted against the list, inside the
-   join, and tie cohorts together. So two linked documents are in one cohort. Where confirmed links leave a cohort in several
-   parts, the members outside the largest part meet all members block by block: a block's intersections are exact matrix products, and only a
-   link that joins two parts leaves it. A group of n near copies so makes about n rows and n n' / BLOCK block rows, n' being those outside.
-
-Sets are of 64-bit hashes; confirmations count hashes equal in their upper ``KEPT`` bytes. Defined results: null or wordless texts have no shingles, link with
+   agree in ``need`` coordinates but for odds of 0.8 in a million at the defaults (exact binomial tail, ``MISS`` at most), so a class with fewer
+   shared values is taken to have no partner, and of two linked classes the ``shared - need + 1`` rarest shared values (the prefix) of each meet.
+3. A posting list of a prefix links its members to its smallest one, the head: a list of n makes n - 1 candidates. Collisions are counted on
+   the planes inside the join (unequal minima pass for equal once in ``2 ** PLANES``: a candidate more, never one less), and only pairs that
+   reach ``need`` leave it. Lists of hot values are cut into sublists, whose heads meet the value's head.
+4. Candidates tie members into cohorts. Members of a list outside its head's cohort are counted against the list's members of other cohorts,
+   again inside the join, and only pairs of cohorts leave it. So two linked documents are in one cohort. This step compares
+   all pairs of such members: prefixes keep those lists short, but nothing bounds them.
+5. Only now full sets are made, for members of cohorts of two or more. Each member's best candidate is confirmed. Where confirmed links leave a
+   cohort in several parts, the members outside the largest part meet all members block by block: a block's intersections are exact
+   matrix products, and only a link that joins two parts leaves it. Of n members n' outside make n n' / BLOCK block rows.
+
+All confirmations count whole 64-bit hashes. Defined results: null or wordless texts have no shingles, link with
 nothing and stay; rows without ``doc_id`` are not linked and stay (component null); rows that share ``doc_id`` and text share
 their outcome. Other columns are not read; tables without rows give none.
 """
@@ -25,25 +27,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, columns_of, cut, likely_rows, row_number, rows_without, table
+from .common import HOT_KEYS, as_bytes, blocks, cut, discard, likely_rows, meet, packed, passing, row_number, rows_without, table, unpacked
 from .components import components, roots
 from .hashing import Block, mix
 
 COORDS = 48
-#: Bytes kept of a hash in the sets that confirm links: two sets of 1,000 share one by chance once in a million pairs.
-KEPT = 5
+#: Odds of missing a pair at the threshold, at most.
+MISS = 1e-6
+#: Bits of each coordinate that posting lists carry.
+PLANES = 3
+#: Members of a posting list, or of the group of one candidate, from which on it may be cut into sublists.
+LIST = 1_000
 #: Members of one block, and hashes of their sets, about, when the members of a cohort meet.
 BLOCK, BLOCK_HASHES = 1_000, 1_500_000
-#: Coordinates whose collisions are counted between two looks at which pairs can be skipped.
-STRIDE = 12
 
 
-def required_matches(coords: int, threshold: float, sigmas: float = 4.75) -> int:
-    """Equal coordinates that a pair at the threshold has but for a tail of ``sigmas`` standard deviations."""
-    return max(1, math.floor(coords * threshold - sigmas * math.sqrt(coords * threshold * (1 - threshold))))
+def required_matches(coords: int, threshold: float, miss: float = MISS) -> int:
+    """The most equal coordinates that a pair at the threshold has but for odds of ``miss`` (exact binomial tail)."""
+    tail, need = 0.0, 0
+    while need < coords:
+        tail += math.comb(coords, need) * threshold**need * (1 - threshold) ** (coords - need)
+        if tail > miss:
+            break
+        need += 1
+    return max(1, need)
 
 
 def _salts(coords: int) -> np.ndarray:
@@ -58,8 +68,13 @@ def signature(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def planes(sig: np.ndarray) -> list[int]:
+    """The lowest ``PLANES`` bits of a signature, one integer a bit (62 coordinates at most)."""
+    return [int((((sig >> k) & 1).astype(np.int64) << np.arange(len(sig))).sum()) for k in range(PLANES)]
+
+
 def signatures(docs: DataFrame, width: int, lower: bool, coords: int = COORDS) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set, null without words), sig (array<int>)."""
+    """doc_id, n_shingles, set_key (digest of the set, null without words), sig and planes."""
     salts = _salts(coords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +83,13 @@ def signatures(docs: DataFrame, width: int, lower: bool, coords: int = COORDS) -
             sizes = [len(s) for s in sets]
             keys = [set_key(s) for s in sets]
             sigs = [None if not len(s) else signature(s, salts) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"])
+            bits = [None if s is None else planes(s) for s in sigs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "sig", "planes"],
+            )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>, planes array<long>")
 
 
 def set_key(hashes: np.ndarray) -> bytes | None:
@@ -78,54 +97,31 @@ def set_key(hashes: np.ndarray) -> bytes | None:
     return np.array([np.bitwise_xor.reduce(mix(hashes)), np.add.reduce(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))]).tobytes() if len(hashes) else None
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """Sorted hashes by their upper ``KEPT`` bytes."""
-    return np.ascontiguousarray((hashes >> np.uint64(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // KEPT, 8), np.uint8)
-    out[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
-    return out.view(np.uint64).reshape(-1)
+def as_set(data: pa.Scalar) -> np.ndarray:
+    """Sorted distinct hashes from their bytes."""
+    return np.frombuffer(data.as_buffer(), np.uint64)
 
 
 def _sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
-    """rid and its packed set, for rows (rid, set_key, text) whose text has that set."""
+    """rid, best and the set's hashes, for rows (rid, best, set_key, text) whose text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = Block(as_bytes(batch), lower).shingle_sets(width)
             mine = [k for k, (s, want) in enumerate(zip(sets, batch.column("set_key").to_pylist(), strict=True)) if set_key(s) == want]
-            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(mine, pa.int64())), pa.array([pack(sets[k]) for k in mine], pa.binary())], ["rid", "hashes"])
+            take = pa.array(mine, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("best").take(take), pa.array([sets[k].tobytes() for k in mine], pa.binary())], ["rid", "best", "hashes"])
 
-    return docs.select("rid", "set_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid long, hashes binary")
+    return docs.select("rid", "best", "set_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid long, best long, hashes binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
-
-
-def _collide(need: int, percent: int):
-    """Pairs with signatures and sizes in, pairs with ``need`` equal coordinates and sizes near enough out, with that number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            live = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            a, b = _matrix(batch.column("siga")), _matrix(batch.column("sigb"))
-            count, coords = np.zeros(len(na), np.int64), a.shape[1]
-            for at in range(0, coords, STRIDE):
-                count[live] += (a[live, at : at + STRIDE] == b[live, at : at + STRIDE]).sum(axis=1)
-                live = live[count[live] + max(coords - at - STRIDE, 0) >= need]
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(live)), batch.column("b").take(pa.array(live)), pa.array(count[live])], ["a", "b", "hits"])
-
-    return run
+def linked(both, na, nb, percent: int):
+    """Whether sets of these sizes and intersection are similar enough."""
+    return 100 * both >= percent * (na + nb - both)
 
 
 def _confirm(percent: int):
-    """Candidates with full sets in, those with 100 * intersection >= percent * union out."""
+    """Candidates with full sets in, the links among them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +129,10 @@ def _confirm(percent: int):
             last, x = None, None
             for k, (ia, sa, sb) in enumerate(zip(batch.column("a").to_pylist(), batch.column("seta"), batch.column("setb"), strict=True)):
                 if ia != last:
-                    last, x = ia, unpack(sa.as_buffer())
-                y = unpack(sb.as_buffer())
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                    last, x = ia, as_set(sa)
+                y = as_set(sb)
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                if linked(int((x[at] == y).sum()), len(x), len(y), percent):
                     ok.append(k)
             yield batch.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
@@ -171,13 +165,13 @@ def _settle(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         part, minor = (np.array(t.column(c).to_pylist()) for c in ("part", "minor"))
-        sets = [np.unique(unpack(x.as_buffer())) for x in t.column("hashes").combine_chunks()]
+        sets = [as_set(x) for x in t.column("hashes").combine_chunks()]
         size = t.column("n").to_numpy()
         one, all_ = np.flatnonzero(minor), np.flatnonzero(~minor)
         links = ([], [])
         if len(one) and len(all_):
             both = intersections([sets[i] for i in one], [sets[j] for j in all_])
-            ok = (100 * both >= percent * (size[one][:, None] + size[all_] - both)) & (part[one][:, None] != part[all_])
+            ok = linked(both, size[one][:, None], size[all_], percent) & (part[one][:, None] != part[all_])
             up: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -197,85 +191,133 @@ def _settle(percent: int):
     return run
 
 
+def _similar(a: str, b: str, need: int, percent: int, coords: int) -> tuple[Column, Column]:
+    """Collisions of two structs (n, planes), and whether these and the sizes allow a link."""
+    differ = F.lit(0).cast("long")
+    for k in range(PLANES):
+        differ = differ.bitwiseOR(F.col(f"{a}.planes")[k].bitwiseXOR(F.col(f"{b}.planes")[k]))
+    hits = F.lit(coords) - F.bit_count(differ)
+    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    return hits, sizes & (hits >= need)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, lower: bool = True, coords: int = COORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    percent = round(100 * threshold)
-    need = required_matches(coords, threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(signatures(docs, width, lower, coords))
-    usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("c")).select("set_key", F.col("c.doc_id").alias("rid"), F.col("c.n_shingles").alias("n"), "c.sig"))
-
-    posted = classes.select("rid", F.posexplode("sig")).select("rid", (F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))).alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    listed = posted.join(shared, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("tokens")).filter(F.size("tokens") >= need)
-    prefixes = cut(listed.select("rid", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - need + 1)).alias("t")).select("rid", "t.token"))
-    survivors = prefixes.select("rid").distinct()
-    # Pairs carry one byte of each coordinate: a chance match in 256 can only add a candidate, never lose one.
-    byte = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
-    sigs = cut(classes.join(survivors, "rid").select("rid", "n", byte.alias("sig"), "set_key"))
-    # A doc_id may come in several rows; the text whose set is the class's is the one meant.
-    keyed = sigs.select("rid", "set_key")
-    texts = likely_rows(docs, "doc_id", keyed.select("rid")).join(keyed.hint("merge"), F.col("doc_id") == F.col("rid"))
-    sets = cut(_sets(texts, width, lower))
+    with passing() as stay:
+        signed = cut(signatures(docs, width, lower, coords))
+        usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "planes")).alias("c"), F.count(F.lit(1)).alias("copies"))
+        classes = cut(classes.select("set_key", "copies", F.col("c.doc_id").alias("rid"), F.col("c.n_shingles").alias("n"), "c.sig", "c.planes"))
+        named = _components(docs, classes, width, round(100 * threshold), lower, coords, required_matches(coords, threshold))
+        named = cut(classes.join(named, "rid", "left").select("set_key", "copies", F.coalesce("part", "rid").alias("found")))
+        stay += [signed, named]
+    out = meet(signed.drop("sig", "planes"), named, "set_key", "copies", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-    def collided(pairs: DataFrame) -> DataFrame:
-        sa, sb = sigs.select("rid", "n", "sig").toDF("a", "na", "siga"), sigs.select("rid", "n", "sig").toDF("b", "nb", "sigb")
-        return cut(pairs.join(sb, "b").join(sa, "a").select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_collide(need, percent), "a long, b long, hits long"))
 
-    def confirmed(near: DataFrame) -> DataFrame:
-        sa, sb = (likely_rows(sets, "rid", near.select(c).distinct()).toDF(c, f"set{c}") for c in "ab")
-        full = near.select("a", "b").join(sb.hint("merge"), "b").join(sa.hint("merge"), "a").select("a", "b", "seta", "setb")
-        return cut(full.mapInArrow(_confirm(percent), "a long, b long").toDF("u", "v"))
+def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, lower: bool, coords: int, need: int) -> DataFrame:
+    """(rid, part) for classes with a candidate: the smallest rid of each linked group."""
+    posts = coords * classes.count()
+    posted = classes.select("rid", F.posexplode("sig")).select("rid", (F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))).alias("token"))
+    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    tokens = meet(posted, counts, "token", "many", total=posts).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("tokens")).filter(F.size("tokens") >= need)
+    # A hot value's list is cut into sublists 1, 2, ...; others are sublist 0.
+    bound = max(LIST, posts // HOT_KEYS)
+    prefix = F.transform(
+        F.slice("tokens", F.lit(1), F.size("tokens") - need + 1),
+        lambda t: F.struct(t["token"].alias("token"), F.when(t["many"] > bound, 1 + F.pmod(F.xxhash64("rid"), F.ceil(t["many"] / bound))).otherwise(0).cast("int").alias("sub")),
+    )
+    listed = cut(tokens.select("rid", prefix.alias("prefix")).join(classes.select("rid", "n", "planes"), "rid"))
 
     def named_by(forest: DataFrame, name: str) -> DataFrame:
         r = roots(forest.toDF("parent", "node"))
-        return cut(sigs.select("rid").join(r.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias(name)))
+        return cut(listed.select("rid").join(r.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias(name)))
 
     def tied(groups: DataFrame, name: str, edges: DataFrame) -> DataFrame:
         """``groups`` (rid, name) with groups that ``edges`` between members' groups connect made one, by their smallest name."""
-        merged = components(edges).toDF("from", "to")
-        return groups.join(merged, groups[name] == merged["from"], "left").select("rid", F.coalesce("to", name).alias(name))
-
-    heads = prefixes.groupBy("token").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("token", "head")
-    stars = prefixes.join(heads, "token").filter("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
-    best = cut(collided(stars).groupBy("b").agg(F.max(F.struct("hits", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b"))
-    links = confirmed(best)
+        merged = components(edges).toDF(name, "to")
+        sizes = groups.groupBy(name).agg(F.count(F.lit(1)).alias("of")).join(merged, name)
+        return cut(meet(groups, sizes, name, "of", "left").select("rid", F.coalesce("to", name).alias(name)))
+
+    def against_head(rows: DataFrame, *of: str) -> DataFrame:
+        """Rows of posting lists with the head of theirs: one sort of a list, nothing collected."""
+        return rows.withColumn("head", F.first(F.struct("rid", "n", "planes")).over(Window.partitionBy(*of).orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        hits, ok = _similar("me", "head", need, percent, coords)
+        return rows.filter("rid <> head.rid").withColumn("me", F.struct("n", "planes")).filter(ok).select(F.col("rid").alias("b"), hits.alias("hits"), F.col("head.rid").alias("a"))
+
+    lists = listed.select("rid", "n", "planes", F.explode("prefix").alias("t")).select("rid", "n", "planes", "t.token", "t.sub")
+    headed = against_head(lists, "token", "sub")
+    subheads = against_head(headed.filter("sub > 0 AND rid = head.rid").drop("head"), "token")
+    best = candidates(headed).unionByName(candidates(subheads)).groupBy("b").agg(F.max(F.struct("hits", (-F.col("a")).alias("less"))).alias("m"))
+    best = cut(best.select((-F.col("m.less")).alias("a"), "b"))
     # A head is its list's smallest, so candidates and links are forests: each member has one parent, with a smaller id.
-    parts, cohorts = named_by(links, "part"), named_by(best, "cohort")
-
-    # Members of a list that did not end up in its head's cohort meet the list; collisions are counted inside the join.
-    placed = prefixes.join(cohorts, "rid")
-    mains = placed.join(heads, "token").filter("rid = head").select("token", F.col("cohort").alias("main"))
-    others = cut(placed.join(mains, "token").filter("cohort <> main").select("token", F.col("rid").alias("a"), F.col("cohort").alias("ca"), "main"))
-    members = likely_rows(placed, "token", others.select("token").distinct()).select(F.col("token").alias("t"), F.col("rid").alias("b"), F.col("cohort").alias("cb"))
-    sa, sb = sigs.select("rid", "n", "sig").toDF("a", "na", "siga"), sigs.select("rid", "n", "sig").toDF("b", "nb", "sigb")
-    hits = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = others.join(sa, "a").join(members.join(sb, "b"), (F.col("token") == F.col("t")) & apart & (hits >= need))
-    across = cut(met.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct())
-    if not across.isEmpty():
-        cohorts = cut(tied(cohorts, "cohort", across))
+    cohorts = named_by(best, "cohort")
 
-    # Inside a cohort of several parts, all members outside the largest part meet all members, block by block.
-    of = parts.join(cohorts, "rid").join(sigs.select("rid", "n"), "rid")
+    # Members of a list outside its head's cohort meet the list's members of other cohorts.
+    placed = cut(listed.join(cohorts, "rid"))
+    across = _across(placed.select("rid", "cohort", F.struct("n", "planes").alias("me"), F.explode("prefix").alias("t")).select("rid", "cohort", "me", "t.token", "t.sub"), need, percent, coords)
+    if not across.isEmpty():
+        cohorts = tied(cohorts, "cohort", across)
+    discard(placed)
+
+    # Full sets of all members of cohorts of two or more. A doc_id may come in several rows; the text whose set is the class's is meant.
+    grouped = cohorts.filter("rid <> cohort")
+    members = cut(
+        grouped.select("rid").union(grouped.select("cohort").distinct()).join(classes.select("rid", "n", "set_key"), "rid").join(best.select(F.col("b").alias("rid"), F.col("a").alias("best")), "rid", "left")
+    )
+    texts = likely_rows(docs, "doc_id", members.select("rid")).join(members.hint("merge"), F.col("doc_id") == F.col("rid")).select("rid", "best", "set_key", "text").distinct()
+    sets = cut(_sets(texts, width, lower))
+    parts = named_by(_confirmed(sets, best, percent), "part")
+    settled = cut(_settled(sets, parts, cohorts, members, percent))
+    return parts if settled.isEmpty() else tied(parts, "part", settled)
+
+
+def _across(placed: DataFrame, need: int, percent: int, coords: int) -> DataFrame:
+    """Pairs (u, v) of cohorts with members that collide often enough in some posting list of ``placed`` (rid, cohort, me, token, sub)."""
+    first = Window.partitionBy("token").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
+    cold = placed.filter("sub = 0").withColumn("main", F.first("cohort").over(first))
+    # The cohort of a hot value's head; there are HOT_KEYS such values at most.
+    hot = F.broadcast(placed.filter("sub > 0").groupBy("token").agg(F.min(F.struct("rid", "cohort")).alias("h"), F.max("sub").alias("subs")).select("token", "subs", F.col("h.cohort").alias("main")))
+    warm = placed.filter("sub > 0").join(hot, "token")
+    others = cold.select("*", F.lit(0).alias("subs")).unionByName(warm.select(cold.columns + ["subs"])).filter("cohort <> main")
+    others = cut(others.select("token", F.explode(F.sequence(F.least("subs", F.lit(1)), "subs")).alias("sub"), F.col("rid").alias("a"), F.col("cohort").alias("ca"), "main", F.col("me").alias("x")))
+    members = likely_rows(placed, "token", others.select("token").distinct()).select("token", "sub", F.col("rid").alias("b"), F.col("cohort").alias("cb"), F.col("me").alias("y"))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    met = others.alias("o").join(members.alias("m"), (F.col("o.token") == F.col("m.token")) & (F.col("o.sub") == F.col("m.sub")) & apart & _similar("x", "y", need, percent, coords)[1])
+    found = cut(met.select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).distinct())
+    discard(others)
+    return found
+
+
+def _confirmed(sets: DataFrame, best: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of ``best`` those that full sets confirm, as (u, v). A candidate of many is copied to several tasks."""
+    centres = best.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
+    bound = max(LIST, best.count() // HOT_KEYS)
+    hot = F.broadcast(centres.filter(F.col("many") > bound).select("a", F.ceil(F.col("many") / bound).cast("int").alias("cuts")))
+    b = sets.filter("best IS NOT NULL").select(F.col("best").alias("a"), F.col("rid").alias("b"), F.col("hashes").alias("setb")).join(hot, "a", "left")
+    b = b.withColumn("cut", F.coalesce(F.pmod(F.xxhash64("b"), F.col("cuts")), F.lit(0)).cast("int")).drop("cuts")
+    a = likely_rows(sets, "rid", centres.select("a")).select(F.col("rid").alias("a"), F.col("hashes").alias("seta")).join(hot, "a", "left")
+    a = a.withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts") - 1, F.lit(0))))).drop("cuts")
+    return cut(b.join(a.hint("merge"), ["a", "cut"]).select("a", "b", "seta", "setb").mapInArrow(_confirm(percent), "a long, b long").toDF("u", "v"))
+
+
+def _settled(sets: DataFrame, parts: DataFrame, cohorts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of parts of one cohort that a link joins: members outside a cohort's largest part meet all its members."""
+    of = cut(members.select("rid", "n").join(parts, "rid").join(cohorts, "rid"))
     sizes = of.groupBy("cohort", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).groupBy("cohort").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "part", "n")).alias("m"), F.count(F.lit(1)).alias("several"))
     cuts = lambda c, n: F.greatest(F.ceil(c / BLOCK), F.ceil(n / BLOCK_HASHES), F.lit(1))
-    sizes = sizes.filter("several > 1").select("cohort", cuts(F.col("c"), F.col("n")).alias("blocks"), cuts(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("minors"), F.col("m.part").alias("main"))
-    open_ = cut(of.join(sizes, "cohort"))
-    full = likely_rows(sets, "rid", open_.select("rid")).join(open_.hint("merge"), "rid")
+    sizes = sizes.filter("several > 1").select("cohort", F.col("c").alias("many"), cuts(F.col("c"), F.col("n")).alias("blocks"), cuts(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("minors"), F.col("m.part").alias("main"))
+    open_ = cut(meet(of, cut(sizes), "cohort", "many"))
+    full = likely_rows(sets.drop("best"), "rid", open_.select("rid")).join(open_.hint("merge"), "rid")
     at = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     member = full.select("cohort", spread("minors").alias("i"), at("blocks").alias("j"), F.lit(False).alias("minor"), "part", "n", "hashes")
     minor = full.filter("part <> main").select("cohort", at("minors").alias("i"), spread("blocks").alias("j"), F.lit(True).alias("minor"), "part", "n", "hashes")
-    settled = cut(member.unionByName(minor).groupBy("cohort", "i", "j").applyInArrow(_settle(percent), "u long, v long"))
-    if not settled.isEmpty():
-        parts = tied(parts, "part", settled)
-
-    named = classes.join(parts, "rid", "left").select(F.col("set_key").alias("k"), F.coalesce("part", "rid").alias("found"))
-    out = signed.join(named, signed["set_key"] == named["k"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return member.unionByName(minor).groupBy("cohort", "i", "j").applyInArrow(_settle(percent), "u long, v long")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,14 +327,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_stage(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies (five-word shingles, 0.8): of each component the row with the smallest id stays, null last.
 
-    Rows are numbered by id and text, so null and repeated ids are rows like all others; exact repeats of a row share its outcome.
+    Rows are numbered by id and text, so null and repeated ids are rows like all others; exact repeats of a row share its outcome. Null and
+    wordless texts stay. Any other columns, whatever their names, come through as they are; tables without rows give none.
     """
-    keyed = docs.withColumn("_row", row_number(F.col("doc_id"), F.col("text")))
-    found = cut(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id").distinct())
-    several = found.filter("rid <> component_id").select(F.col("component_id").alias("c")).distinct()
-    members = found.join(several, F.col("component_id") == F.col("c"), "left_semi")
-    ids = likely_rows(keyed.select("doc_id", "_row"), "_row", members.select("rid"))
-    named = cut(members.join(ids.hint("merge"), F.col("rid") == F.col("_row")).select("component_id", F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid").alias("m")))
-    best = named.groupBy("component_id").agg(F.min("m").alias("best")).select(F.col("component_id").alias("c"), F.col("best.rid").alias("stays"))
-    gone = cut(named.join(best, F.col("component_id") == F.col("c")).select(F.col("m.rid").alias("rid"), "stays").filter("rid <> stays").select("rid").distinct())
-    return columns_of(rows_without(keyed, "_row", gone), docs)
+    number = row_number(F.col("doc_id"), F.col("text"))
+    with passing() as stay:
+        found = cut(near_duplicates(docs.select(number.alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id").distinct())
+        # A component is named by a row of it, so its rows are those of another's name, and that one.
+        others = found.filter("rid <> component_id")
+        members = others.unionByName(others.groupBy("component_id").agg(F.first("component_id").alias("rid")))
+        ids = likely_rows(docs.select("doc_id", number.alias("num")), "num", members.select("rid"))
+        named = cut(members.join(ids.hint("merge"), F.col("rid") == F.col("num")).select("component_id", F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid").alias("m")))
+        best = cut(named.groupBy("component_id").agg(F.min("m").alias("best"), F.count(F.lit(1)).alias("many")).select("component_id", F.col("best.rid").alias("stays"), "many"))
+        gone = cut(meet(named, best, "component_id", "many").select(F.col("m.rid").alias("rid"), "stays").filter("rid <> stays").select("rid").distinct())
+        stay.append(gone)
+    return unpacked(rows_without(packed(docs, key=number), "key", gone))

@@ -5,8 +5,8 @@ first; what is left of the word budget goes to documents by ascending key, found
 slices of the key's range, sums of slices are added up first, and only then come running sums inside a slice: a source
 with a third of all rows spreads over as many tasks as it has slices.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; size 0 takes 0. Rows that share
-source and doc_id have the same key and are ordered by size; exact repeats are one after the other. Tables without rows give none.
+Defined results: null text has size 0; a null source is a source of its own, last in order; size 0 takes 0; rows without doc_id draw by
+their text. Rows that share source and doc_id (or text) have the same key and are ordered by size; exact repeats are one after the other. Tables without rows give none.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, row_number, table
+from .common import cut, meet, packed, passing, row_number, running, table, unpacked
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -40,37 +40,37 @@ def quality_weight(size: Column, symbols: Column) -> Column:
 
 
 def uniform(key: Column) -> Column:
-    """A number in (0, 1) by md5 of the id's text: the same in every run and engine."""
-    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    """A number in (0, 1) by md5 of a text: the same in every run and engine."""
+    return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, any others) -> with target: share of all words by weight, none above ``most`` times its source.
 
     The excess of full sources is reshared by weight until none is above. Sorted by words a unit of weight, the full ones are
-    a prefix, so one running sum finds the level that the others get. One row a source comes in.
+    a prefix, so running sums find the level that the others get. One row a source comes in; ranks and sums run over ranges of rows.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy("per_weight", F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    t = sources.withColumn("rank", F.row_number().over(order)).withColumn("w", w.cast("double"))
+    by_name = F.col("source").asc_nulls_last()
+    t = running(sources, [by_name], {"rank": F.lit(1)})
+    t = t.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double"))
     t = t.withColumn("cap", (F.col("source_size") * most).cast("double")).withColumn("per_weight", F.col("cap") / F.col("w"))
-    every = Window.partitionBy()
-    t = t.withColumn("words", F.sum("source_size").over(every).cast("double") * share).withColumn("w_all", F.sum("w").over(every))
-    upto = fill.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("level", (F.col("words") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (F.col("w_all") - F.coalesce(F.sum("w").over(upto), F.lit(0.0))))
-    t = t.withColumn("place", F.row_number().over(fill))
-    level = F.min(F.when(F.col("level") <= F.col("per_weight"), F.struct("place", "level"))).over(every)["level"]
+    t = running(t, [F.col("per_weight").asc(), by_name], {"place": F.lit(1), "caps": F.col("cap"), "ws": F.col("w")})
+    size, weight = t.agg(F.sum("source_size").cast("double")).scalar(), t.agg(F.sum("w")).scalar()
+    t = t.withColumn("level", (size * share - F.col("caps")) / (weight - F.col("ws")))
+    level = t.filter("level <= per_weight").agg(F.min(F.struct("place", "level"))["level"]).scalar()
     t = t.withColumn("target", F.least(F.col("cap"), F.col("w") * F.coalesce(level, F.col("per_weight"))))
     return t.select(*(c for c in sources.columns if c != "source"), "target")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, source, size, weight, any others) with source_size, target and taken."""
+    """A table like ``measured`` gives, with source_size, target and taken."""
     d = docs.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     sizes = d.groupBy("src").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("weight").alias("usual"))
-    d = d.join(source_targets(sizes), "src")
-    d = d.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("weight"))
+    with passing() as stay:
+        targets = cut(source_targets(sizes))
+        stay.append(targets)
+    d = meet(d, targets, "src", "n")
+    d = d.withColumn("key", -F.log(uniform(F.col("draw"))) / F.col("weight"))
     # 1 - exp(-key * usual weight) runs from 0 to 1 with the key, about evenly: slices of the key's range in its order.
     slices = F.ceil(F.col("n") / F.greatest(F.lit(SLICE_ROWS), 10 * F.sqrt("n")))
     d = d.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("usual"))) * slices), slices - 1))
@@ -84,11 +84,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     rest = words - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - prefix))
-    return d.withColumn("taken", (passes * F.col("size") + part).cast("long")).drop("src", "key", "slice", "offset", "n", "usual", "weight")
+    return d.withColumn("taken", (passes * F.col("size") + part).cast("long")).drop("src", "key", "slice", "offset", "n", "usual", "weight", "draw")
 
 
-def measured(docs: DataFrame, *others: str) -> DataFrame:
-    size = docs.select("doc_id", "source", *others, word_count(F.col("text")).alias("size"), symbol_count(F.col("text")).alias("symbols"))
+def measured(docs: DataFrame, **others: Column) -> DataFrame:
+    """doc_id, source, size, weight, draw and ``others``. What a row draws by is its id, or without one a digest of its text."""
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    size = docs.select("doc_id", "source", draw.alias("draw"), *(c.alias(k) for k, c in others.items()), word_count(F.col("text")).alias("size"), symbol_count(F.col("text")).alias("symbols"))
     return size.withColumn("weight", quality_weight(F.col("size"), F.col("symbols"))).drop("symbols")
 
 
@@ -100,7 +102,7 @@ OP9_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0)::BIGINT AS symbols,
-         (('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / greatest(0.05, size / (size + 4 * symbols + 1)) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (list_value(5, 2, 1)[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)])::DOUBLE AS w
@@ -121,12 +123,14 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     """The mix itself: a document comes whole, once for each pass that takes it.
 
     The document on a source's budget edge is taken when that is nearer to the target than leaving it. Rows are planned by id and
-    text; exact repeats of a row get the same number of copies. Rows without ``doc_id`` draw by their text.
+    text; exact repeats of a row get the same number of copies. Rows without ``doc_id`` draw by their text; null and wordless texts take
+    no words and don't come. Other columns come through whatever their names; tables without rows give none.
     """
-    keyed = docs.withColumn("_row", row_number(F.col("doc_id"), F.col("text")))
-    drawn = keyed.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("_row").cast("string"))))
-    plan = mixed(cut(measured(drawn, "_row"))).filter("taken > 0").groupBy("_row").agg(F.max(F.struct("taken", "size")).alias("p"))
-    copies = F.floor(F.col("p.taken") / F.col("p.size")) + (2 * (F.col("p.taken") % F.col("p.size")) > F.col("p.size")).cast("long")
-    plan = plan.select(F.col("_row").alias("p_row"), copies.cast("int").alias("p_copies")).filter("p_copies > 0")
-    d = keyed.join(plan.hint("merge"), F.col("_row") == F.col("p_row"))
-    return columns_of(d.withColumn("p_copy", F.explode(F.sequence(F.lit(1), F.col("p_copies")))), docs)
+    number = row_number(F.col("doc_id"), F.col("text"))
+    with passing() as stay:
+        plan = mixed(cut(measured(docs, num=number))).filter("taken > 0").groupBy("num").agg(F.max(F.struct("taken", "size")).alias("p"))
+        copies = F.floor(F.col("p.taken") / F.col("p.size")) + (2 * (F.col("p.taken") % F.col("p.size")) > F.col("p.size")).cast("long")
+        plan = cut(plan.select(F.col("num").alias("planned"), copies.cast("int").alias("copies")).filter("copies > 0"))
+        stay.append(plan)
+    d = packed(docs, num=number).join(plan.hint("merge"), F.col("num") == F.col("planned"))
+    return unpacked(d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))

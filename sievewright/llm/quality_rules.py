@@ -2,7 +2,7 @@
 
 Statistics come from whole texts in one vectorised pass and are written once. The trees are fitted on the driver to a bounded
 sample of labelled rows (``SAMPLE`` by smallest hash of the id), with the score falling in symbols, repeated words and repeated
-lines; scoring walks flat node arrays.
+lines; the threshold comes from held-out folds; scoring walks flat node arrays.
 
 Defined results: null or empty texts have all statistics 0 and fail the base rule (fewer than 50 words). Without labelled rows of
 both classes the verdict is the base rule's alone. Labels without quality or document are left out; of repeated labels
@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import as_bytes, blocks, columns_of, cut, digest, rows_without, table
+from .common import as_bytes, blocks, cut, digest, packed, passing, rows_without, table, unpacked
 from .hashing import Block, mix
 
 #: Labelled rows that the trees are fitted to, at most.
 SAMPLE = 20_000
 #: Share of labelled good documents whose score the threshold must not exceed.
 KEEP_GOOD = 0.998
+#: Folds in which rows are held out to choose the threshold.
+FOLDS = 4
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_bytes", "n_lines", "n_upper", "n_digits", "n_stops", "n_distinct_words")
 #: Fixed value: the characters that count as symbols.
@@ -85,17 +87,25 @@ def document_statistics(docs: DataFrame, *others: str) -> DataFrame:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> tuple[boosting.FlatTrees, float] | None:
-    """Trees and the score that a document must reach; None without rows of both classes. At most ``sample`` rows reach the driver."""
+    """Trees and the score that a document must reach; None without rows of both classes.
+
+    ``sample`` labelled ids are chosen by hash, and of rows that share one the smallest counts, so at most ``sample`` rows reach the driver.
+    The threshold is a quantile of scores that rows get from trees which have not seen them (``FOLDS`` folds); the trees returned have seen all.
+    """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    pdf = stats.join(F.broadcast(chosen), "doc_id").limit(2 * sample).toPandas().sort_values(["doc_id", "n_bytes"])
+    rows = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*BASE, *EXTRA)).alias("s"), F.max("quality").alias("quality"))
+    pdf = rows.select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
     y = pdf["quality"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         return None
-    x = features({c: pdf[c].to_numpy() for c in BASE + EXTRA})
-    trees = boosting.fit(x, y, np.array(list(FEATURES.values())))
-    threshold = min(0.5, float(np.quantile(trees.probability(x)[y == 1], 1 - keep_good, method="lower")))
-    return trees, threshold
+    x, monotone = features({c: pdf[c].to_numpy() for c in BASE + EXTRA}), np.array(list(FEATURES.values()))
+    trees = boosting.fit(x, y, monotone)
+    unseen, fold = trees.probability(x), np.arange(len(y)) % FOLDS
+    for k in range(FOLDS):
+        if len(set(y[fold != k].tolist())) == 2:
+            unseen[fold == k] = boosting.fit(x[fold != k], y[fold != k], monotone).probability(x[fold == k])
+    return trees, min(0.5, float(np.quantile(unseen[y == 1], 1 - keep_good, method="lower")))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD, others: tuple[str, ...] = ()) -> DataFrame:
@@ -121,7 +131,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep. The verdict follows from the text alone, so texts are dropped by their digest, whatever the id."""
-    keyed = docs.withColumn("_text", digest(F.col("text")))
-    gone = cut(quality_rules(keyed, labels, others=("_text",)).filter("NOT kept").select("_text").distinct())
-    return columns_of(rows_without(keyed, "_text", gone), docs)
+    """Rows of ``docs`` that the rules keep. The verdict follows from the text alone, so texts are dropped by their digest, whatever the id.
+
+    Null and empty texts go; repeated rows share their verdict. Other columns come through whatever their names; tables without rows give none.
+    """
+    key = digest(F.col("text"))
+    with passing() as stay:
+        judged = quality_rules(docs.select("doc_id", "text", key.alias("digest")), labels, others=("digest",))
+        gone = cut(judged.filter("NOT kept").select("digest").distinct())
+        stay.append(gone)
+    return unpacked(rows_without(packed(docs, key=key), "key", gone))

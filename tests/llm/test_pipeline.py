@@ -86,3 +86,36 @@ def test_mix_gives_whole_documents_near_the_targets(spark):
     low = [(k, " ".join(f"l{k}x{i}" for i in range(size(k))), s, size(k)) for k, s in enumerate("a" * 10 + "b" * 10 + "c" * 100)]
     got = [tuple(r) for r in mixing.mix_stage(spark.createDataFrame(low, docs.schema)).collect()]
     assert set(got) <= set(low) and len(got) > 100
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that helpers might use, names with dots and marks, nested types: all come through, from every stage, with and without rows."""
+    text = lambda k: " ".join(f"c{k}x{i}" for i in range(60))
+    names = ["_word", "_p", "_maybe", "_bits", "_id", "_key", "_row", "_text", "p_id", "p_size", "p_copy", "row", "key", "num", "copy", "copies", "planned", "rid", "part", "sha", "a.b", "tick`s", "size", "token", "kept"]
+    rows = [(k, t, "en", s, len(t or ""), [k], *([k] * len(names))) for k, (t, s) in enumerate([(text(1), "a"), (text(1), "a"), (text(2), "b"), (text(2) + " end", None), (text(3), "a"), ("short", "a"), ("", "b"), (None, None), (" ".join(f"l{i % 4099}" for i in range(40_000)), "b")])]
+    rows += [rows[4], (None, text(4), "en", "a", 9, None, *([0] * len(names)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, nested array<long>, " + ", ".join("`" + n.replace("`", "``") + "` long" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(k, k % 2, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        got = stage(spark, docs, str(tmp_path))
+        assert none.count() == 0 and none.columns == got.columns, name
+        if name != "byte-level BPE":
+            assert got.schema == docs.schema, name
+            out = [tuple(r) for r in got.collect()]
+            assert out and all(r in rows for r in out), name
+            ids = {r[0] for r in out}
+            assert {"quality rules": ids.isdisjoint({5, 6, 7}), "exact dedup": ids == {None, 0, 2, 3, 4, 5, 6, 8} and len(out) == 8, "near dedup": ids == {None, 0, 2, 4, 5, 6, 7, 8}, "source mixing": None in ids and 6 not in ids}[name], (name, ids)
+        else:
+            assert got.count() == len(rows)
+
+
+def test_a_cluster_without_shared_folder_is_refused(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sievewright.llm import common
+
+    far = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(SimpleNamespace(sparkContext=far, conf=SimpleNamespace(get=lambda *_: None)))

@@ -58,7 +58,7 @@ def test_long_runs_and_small_caches(libraries):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 2**60 - 1), min_size=1, max_size=200, unique=True))
+@given(st.lists(st.integers(0, 2**exact_dedup.BITS - 1), min_size=1, max_size=200, unique=True))
 def test_golomb_round_trip(values):
     v = np.array(sorted(values), np.uint64)
     assert exact_dedup.golomb_decode(len(v), *exact_dedup.golomb_encode(v)).tolist() == v.tolist()
@@ -100,7 +100,6 @@ def test_shingle_sets_have_the_sizes_and_overlaps_of_brute_force(batch, width):
     for a, x in zip(got, sets):
         for b, y in zip(got, sets):
             assert len(np.intersect1d(a, b)) == len(x & y)
-        assert minhash.unpack(minhash.pack(a)).tolist() == (a >> np.uint64(24)).tolist()
 
 
 def test_signatures_estimate_similarity():
@@ -159,4 +158,4 @@ def test_stated_odds_of_a_missed_pair_are_the_exact_tail():
     from math import comb
 
     miss = sum(comb(48, k) * 0.8**k * 0.2 ** (48 - k) for k in range(minhash.required_matches(minhash.COORDS, 0.8)))
-    assert minhash.COORDS == 48 and f"odds of {miss * 1e6:.1f} in a million" in minhash.__doc__
+    assert miss <= minhash.MISS and minhash.COORDS == 48 and f"odds of {miss * 1e6:.1f} in a million" in minhash.__doc__
