@@ -40,6 +40,33 @@ def smallest_n(rule: DataFrame, benign: DataFrame, n_benign: int | Column, fpr:
     return over.filter(F.col("wrong") / F.greatest(m, F.lit(1)) <= fpr).agg(F.min("least").cast("long").alias("threshold"))
 
 
+def mined_by(atoms: DataFrame, support: float = 0.3, rate: float = 0.002, most: int = 8, order: list[Column] = []) -> DataFrame:  # noqa: B006
+    """family, atom, n_in, n_out, place: ``mined`` for every family at once. ``atoms``: sample, family (null for benign), atom.
+
+    One count by atom serves all families. A family's atoms with enough support are at most sum of its atoms / support, so its ranking is short.
+    """
+    counts = atoms.groupBy("family", "atom").agg(F.countDistinct("sample").alias("n"))
+    totals = atoms.groupBy("family").agg(F.countDistinct("sample").alias("all"))
+    m = F.coalesce(totals.filter("family IS NULL").select("all").scalar(), F.lit(0))
+    own = counts.filter("family IS NOT NULL").join(totals, "family").filter(F.col("n") >= F.greatest(F.lit(1), F.ceil(support * F.col("all"))))
+    benign = counts.filter("family IS NULL").select("atom", F.col("n").alias("n_out"))
+    c = own.withColumnRenamed("n", "n_in").join(benign, "atom", "left").na.fill(0, ["n_out"]).filter(F.col("n_out") / F.greatest(m, F.lit(1)) <= rate)
+    worth = F.col("n_in") / F.col("all") - 5 * F.col("n_out") / F.greatest(m, F.lit(1))
+    place = F.row_number().over(Window.partitionBy("family").orderBy(worth.desc(), *order, F.col("atom")))
+    return c.withColumn("place", place).filter(F.col("place") <= most).select("family", "atom", "n_in", "n_out", "place")
+
+
+def smallest_n_by(rules: DataFrame, benign: DataFrame, fpr: float = 0.0) -> DataFrame:
+    """family, atoms, threshold: for every rule (family, atom) the least N of which at most ``fpr`` of the benign samples have as many; null if none."""
+    m = benign.agg(F.countDistinct("sample")).scalar()
+    hits = benign.join(rules.select("family", "atom"), "atom").groupBy("family", "sample").agg(F.countDistinct("atom").alias("hits"))
+    have = hits.groupBy("family", "hits").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.collect_list(F.struct("hits", "n")).alias("have"))
+    sets = rules.groupBy("family").agg(F.array_sort(F.collect_list("atom")).alias("atoms")).join(have, "family", "left").withColumn("have", F.coalesce("have", F.array().cast("array<struct<hits:bigint,n:bigint>>")))
+    wrong = lambda n: F.aggregate(F.filter("have", lambda h: h["hits"] >= n), F.lit(0).cast("long"), lambda a, h: a + h["n"])
+    steps = F.filter(F.sequence(F.lit(1), F.size("atoms")), lambda n: wrong(n) / F.greatest(m, F.lit(1)) <= fpr)
+    return sets.select("family", "atoms", F.array_min(steps).cast("long").alias("threshold"))
+
+
 def sweep(samples: DataFrame, rule_atoms: DataFrame) -> DataFrame:
     """(rule, sample) that fire. ``samples``: sample, atom; ``rule_atoms``: rule, threshold, atom. One equi join, no rules x samples product.
 

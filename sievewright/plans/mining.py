@@ -277,11 +277,6 @@ def pe_rules(spark, d):
     calls = F.flatten(F.transform("record.imports", lambda i: F.transform(F.filter(i["functions"], lambda f: (f != "") & ~f.startswith("ordinal") & ~f.isin(*fixed.COMMON_FUNCTIONS)), lambda f: F.concat(F.lit("imp:"), F.lower(i["dll"]), F.lit(":"), f))))
     secs = F.transform(F.filter("record.section.sections", lambda s: (s["name"] != "") & ~F.lower(s["name"]).isin(*fixed.ATOM_STANDARD_SECTIONS)), lambda s: F.concat(F.lit("sec:"), s["name"]))
     atoms = F.concat(calls, secs, F.array(F.concat(F.lit("imphash:"), T.import_digest(F.col("record.imports")))))
-    a = rules.exploded(t, "path", atoms, "family").cache()
-    out = None
-    for family in [f for f in corpus.FAMILIES if f != "benign"]:
-        benign = a.filter("family = 'benign'")
-        m = rules.mined(a.filter(F.col("family") == family), benign, 12, 36, order=[F.expr("NOT atom LIKE 'imphash:%'")])
-        one = m.agg(F.lit(family).alias("family"), F.array_sort(F.collect_list("atom")).alias("atoms")).crossJoin(rules.smallest_n(m, benign, 36))
-        out = one if out is None else out.unionByName(one)
-    return out
+    a = rules.exploded(t, "path", atoms, "family").withColumn("family", F.when(F.col("family") != "benign", F.col("family")))
+    best = rules.mined_by(a, order=[F.expr("NOT atom LIKE 'imphash:%'")])
+    return rules.smallest_n_by(best, a.filter("family IS NULL").select("sample", "atom"))

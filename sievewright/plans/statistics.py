@@ -236,10 +236,13 @@ def zero_share(spark, d):
     return drift.zero_share(li, _COLUMNS, ["part", "ref"]).withColumn("zero_share", F.round("zero_share", 9))
 
 
-@query("""SELECT CASE WHEN feature LIKE 'cap:%' THEN 'capability' WHEN feature LIKE 'api_%' OR feature IN ('n_dlls', 'n_imports', 'n_exports') THEN 'imports' WHEN feature LIKE '%section%' OR feature LIKE 'entry\\_%' ESCAPE '\\' THEN 'sections' ELSE 'header' END AS grp, count(*) AS n
-FROM (SELECT unnest(['cap:' || p_type, 'api_' || p_brand, 'n_imports', p_name || '_section', 'entry_' || p_size, 'is_dll']) AS feature FROM part) GROUP BY ALL""")
+_SOME = ["n_imports", "size_kb", "max_section_entropy", "file_entropy", "capability_count", "api_gui", "cap:create process", "entry_missing"]
+
+
+@query(f"""SELECT CASE WHEN f IN ('capability_count', 'cap:create process') THEN 'capability' WHEN f IN ('n_imports', 'api_gui') THEN 'imports' WHEN f IN ('max_section_entropy', 'entry_missing') THEN 'sections'
+WHEN f = 'file_entropy' THEN 'bytes_strings' ELSE 'header' END AS grp, count(*) AS n FROM (SELECT (list_value({", ".join(f"'{x}'" for x in _SOME)}))[p_size % 8 + 1] AS f FROM part) GROUP BY ALL""")
 def feature_groups(spark, d):
-    from ..operators.features import feature_group
+    from ..operators.features import feature_groups
 
-    f = table(spark, d, "part").select(F.explode(F.array(F.concat(F.lit("cap:"), "p_type"), F.concat(F.lit("api_"), "p_brand"), F.lit("n_imports"), F.concat("p_name", F.lit("_section")), F.concat(F.lit("entry_"), F.col("p_size").cast("string")), F.lit("is_dll"))).alias("feature"))
-    return f.groupBy(feature_group(F.col("feature")).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    f = table(spark, d, "part").select(F.get(F.array(*map(F.lit, _SOME)), (F.col("p_size") % 8).cast("int")).alias("feature"))
+    return f.join(feature_groups(spark), "feature").groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"))

@@ -33,7 +33,7 @@ def test_what_is_no_executable_is_an_error(data):
 
 
 def test_truncated_and_mutated_files_never_crash():
-    rng, whole = random.Random(7), corpus.sample("downloader", 3)
+    rng, whole = random.Random(7), corpus.sample("t1105", 3)
     cases = [whole[: rng.randrange(len(whole))] for _ in range(100)]
     for _ in range(300):
         b = bytearray(whole)
@@ -64,10 +64,10 @@ def test_murmur_and_hashing():
 def test_features_and_verdicts(spark):
     t = records.from_reports(pe.dissected(corpus.corpus(spark, 2))).withColumn("signals", policy.packing_signals(F.col("report")))
     rows = features.named_features(t, "record", "path", "family", "signals").collect()
-    assert len(rows) == 14 and len(rows[0]) - 3 == features.N_FEATURES == 91
+    assert len(rows) == 18 and len(rows[0]) - 3 == features.N_FEATURES == 91
     for r in rows:
-        assert (len(r["signals"]) >= 2) == (r["family"] == "packed") == bool(r["packer_section_name"])
-        assert bool(r["high_risk_capabilities"]) == (r["family"] in ("injector", "downloader", "keylogger"))
+        assert (len(r["signals"]) >= 2) == (r["family"] == "dense") == bool(r["packer_section_name"])
+        assert bool(r["high_risk_capabilities"]) == (r["family"] in {x.attack_id.lower().replace(".", "_") for x in fixed.RULES if x.high_risk})
         assert r["cap:run-key persistence string"] == 0
     sets = hashing.hashed_vectors(t, "record", ["path"]).collect()
     chars = {r["path"]: r["vector"] for r in hashing.hashed_vectors(t, "record", ["path"], "chars").collect()}
