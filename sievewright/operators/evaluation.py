@@ -1,7 +1,7 @@
 """Model evaluation as DataFrame queries: ROC, thresholds, confusion, intervals, paired tests, bootstrap.
 
-A curve first counts both classes by distinct score, a map-side combined aggregation; only that table is ordered. ``by`` columns give one
-curve per group, each ordered in a partition of its own.
+A curve first counts both classes by distinct score, a map-side combined aggregation; only that table is ordered, in slices of the
+score's range (``ranking.below``). ``by`` columns give one curve per group.
 """
 
 from __future__ import annotations
@@ -10,17 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import below
+
 Z = 1.959963984540054
 
 
-def curve(df: DataFrame, score: str, positive: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """by, score, pos, neg (rows at the score), tp, fp (rows at the score or above), all_pos, all_neg."""
-    at = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    down, every = Window.partitionBy(*by).orderBy(F.desc("score")), Window.partitionBy(*by)
-    run = down.rowsBetween(Window.unboundedPreceding, 0)
-    return at.select(
-        *by, "score", "pos", "neg", F.sum("pos").over(run).alias("tp"), F.sum("neg").over(run).alias("fp"), F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg")
-    )
+def curve(df: DataFrame, score: str, positive: Column, by: list[str] = [], weight: Column | None = None) -> DataFrame:  # noqa: B006
+    """by, score, pos, neg (weight of the rows at the score; 1 a row by default), tp, fp (at the score or above), all_pos, all_neg."""
+    w = F.lit(1).cast("long") if weight is None else weight
+    sum_if = lambda c: F.sum(F.when(c, w).otherwise(F.lit(0)))
+    at = df.groupBy(*by, F.col(score).alias("score")).agg(sum_if(positive).alias("pos"), sum_if(~positive).alias("neg"))
+    c = below(at, "score", ["pos", "neg"], by)
+    return c.select(*by, "score", "pos", "neg", (F.col("all_pos") - F.col("below_pos")).alias("tp"), (F.col("all_neg") - F.col("below_neg")).alias("fp"), "all_pos", "all_neg")
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -47,10 +48,9 @@ def threshold_for_fpr(df: DataFrame, score: str, negative: Column, fpr: float) -
     Counts by distinct score come first, so the ordered table has a row for each score, not for each negative.
     """
     at = df.filter(negative).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    c = at.select("score", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    place = F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(1 - fpr)))
-    return c.filter(F.col("upto") > place).agg(F.min("score").alias("threshold"))
+    c = below(at, "score", ["n"])
+    place = F.least(F.col("all_n") - 1, F.floor(F.col("all_n") * F.lit(1 - fpr)))
+    return c.filter(F.col("below_n") + F.col("n") > place).agg(F.min("score").alias("threshold"))
 
 
 def confusion(df: DataFrame, flagged: Column, positive: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -86,14 +86,18 @@ def exact_two_sided(k: Column, n: Column) -> Column:
     """Two-sided binomial(1/2) p of min(k, n - k) or less, 1 at most: the exact McNemar test on n discordant pairs."""
     @F.pandas_udf("double")
     def p(k: pd.Series, n: pd.Series) -> pd.Series:
-        from math import exp, lgamma, log
-
-        def tail(k: int, n: int) -> float:
-            k = min(k, n - k)
-            log_c = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2)
-            return min(1.0, 2 * sum(exp(log_c(i)) for i in range(k + 1))) if n else 1.0
-
-        return pd.Series([tail(int(x), int(y)) for x, y in zip(k, n)])
+        import numpy as np
+
+        n, k = n.to_numpy(np.int64), k.to_numpy(np.int64)
+        k, out = np.minimum(k, n - k), np.ones(len(n))
+        logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(1, n.max(initial=0)) + 1)))])
+        # One running sum of the tail for each n that occurs.
+        for trials in np.unique(n[n > 0]):
+            i = np.arange(trials // 2 + 1)
+            tail = np.cumsum(np.exp(logs[trials] - logs[i] - logs[trials - i] - trials * np.log(2)))
+            mine = n == trials
+            out[mine] = np.minimum(1.0, 2 * tail[k[mine]])
+        return pd.Series(out)
 
     return p(k, n)
 
@@ -133,9 +137,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks, from counts by distinct value."""
 
     def ranks(c: str) -> DataFrame:
-        at = df.groupBy(F.col(c).alias(c)).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return at.select(c, (below + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        at = below(df.groupBy(F.col(c).alias(c)).agg(F.count(F.lit(1)).alias("n")), c, ["n"])
+        return at.select(c, (F.col("below_n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
 
@@ -152,6 +155,98 @@ def trapezoid(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(((F.col(y) + before) / 2).alias("piece")).agg((F.sum("piece") / F.count("piece")).alias("area"))
 
 
+def roc_metrics(df: DataFrame, score: str, positive: Column, by: list[str], weight: Column | None = None) -> DataFrame:
+    """by, auc, tpr_1 and tpr_01 (true-positive rate at the last point with at most 1 % and 0.1 % false positives), from one curve."""
+    c = curve(df, score, positive, by, weight)
+    best = lambda fpr: F.max(F.when(F.col("fp") / F.col("all_neg") <= fpr, F.col("tp")))
+    m = c.groupBy(*by).agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("won"), best(0.01).alias("t1"), best(0.001).alias("t01"), F.max("all_pos").alias("p"), F.max("all_neg").alias("n"))
+    return m.filter("p > 0 AND n > 0").select(*by, (F.col("won") / F.col("p") / F.col("n")).alias("auc"), (F.coalesce("t1", F.lit(0)) / F.col("p")).alias("tpr_1"), (F.coalesce("t01", F.lit(0)) / F.col("p")).alias("tpr_01"))
+
+
+METRICS = ("auc", "tpr_1", "tpr_01")
+
+
+def _resampled(df: DataFrame, key: str, keep: dict[str, Column], reps: int, salt: Column | None = None) -> DataFrame:
+    """Each row with its replicates rep (from 0) and weights w, rows of weight 0 left out.
+
+    Weights are Poisson(1) by hash. Metrics divide by each class's own weight, so that classes are resampled apart from each other.
+    """
+    k = F.col(key).cast("string") if salt is None else F.concat_ws("/", salt, F.col(key).cast("string"))
+    r = df.select(k.alias("_k"), *(c.alias(n) for n, c in keep.items()), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    return r.withColumn("w", hash_weights(F.col("_k"), F.col("rep")).cast("long")).filter("w > 0").drop("_k")
+
+
+def _in_turn(columns: list[str], rep: Column) -> Column:
+    """Replicate i has the scores of model i modulo their number."""
+    return F.get(F.array(*(F.col(c).cast("double") for c in columns)), (rep % len(columns)).cast("int"))
+
+
+def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    return df.select(*keep, F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("model", "score"))
+
+
+def _bounds(draws: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    each = draws.unpivot(["rep"], list(metrics), "metric", "v").groupBy("metric")
+    return each.agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
+
+
+def _points(per_model: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    return per_model.agg(*(F.avg(m).alias(m) for m in metrics)).unpivot([], list(metrics), "metric", "point")
+
+
+def bootstrap_roc(df: DataFrame, key: str, positive: str, scores: list[str], reps: int) -> DataFrame:
+    """metric, point (mean over models), low, high: the interval covers the sample and, models taking turns, their variance."""
+    r = _resampled(df, key, {"y": F.col(positive), **{c: F.col(c) for c in scores}}, reps).select("rep", "y", "w", _in_turn(scores, F.col("rep")).alias("score"))
+    draws = roc_metrics(r, "score", F.col("y"), ["rep"], F.col("w"))
+    point = roc_metrics(_long(df, scores, positive), "score", F.col(positive), ["model"])
+    return _points(point, METRICS).join(_bounds(draws, METRICS), "metric").select("metric", "point", "low", "high")
+
+
+def paired_bootstrap(df: DataFrame, key: str, positive: str, a: list[str], b: list[str], reps: int) -> DataFrame:
+    """metric, point, mean, low, high of the difference of two models' metrics on the same resamples."""
+    r = _resampled(df, key, {"y": F.col(positive), **{c: F.col(c) for c in {*a, *b}}}, reps)
+    both = F.explode(F.array(F.struct(F.lit(1).alias("sign"), _in_turn(a, F.col("rep")).alias("score")), F.struct(F.lit(-1).alias("sign"), _in_turn(b, F.col("rep")).alias("score")))).alias("m")
+    each = roc_metrics(r.select("rep", "y", "w", both).select("rep", "y", "w", "m.*"), "score", F.col("y"), ["rep", "sign"], F.col("w"))
+    draws = each.groupBy("rep").agg(*(F.sum(F.col("sign") * F.col(m)).alias(m) for m in METRICS))
+    k = max(len(a), len(b))
+    pairs = [f"{side}{i}" for side in "ab" for i in range(k)]
+    wide = df.select(F.col(positive).alias("y"), *(F.col((a, b)[j][i % len((a, b)[j])]).alias(f"{'ab'[j]}{i}") for j in (0, 1) for i in range(k)))
+    point = roc_metrics(_long(wide, pairs, "y"), "score", F.col("y"), ["model"])
+    sign = F.when(F.col("model") < k, 1).otherwise(-1)
+    point = point.agg(*((F.sum(sign * F.col(m)) / k).alias(m) for m in METRICS)).unpivot([], list(METRICS), "metric", "point")
+    return point.join(_bounds(draws, METRICS), "metric")
+
+
+def independent_bootstrap(df: DataFrame, key: str, positive: str, first: str, scores: list[str], reps: int) -> DataFrame:
+    """metric, point, low, high of the difference of the same models' metrics on two test sets (``first`` or not), each resampled on its own."""
+    sign = F.when(F.col(first), 1).otherwise(-1)
+    r = _resampled(df, key, {"y": F.col(positive), "sign": sign, **{c: F.col(c) for c in scores}}, reps, sign.cast("string"))
+    each = roc_metrics(r.select("rep", "y", "w", "sign", _in_turn(scores, F.col("rep")).alias("score")), "score", F.col("y"), ["rep", "sign"], F.col("w"))
+    draws = each.groupBy("rep").agg(*(F.sum(F.col("sign") * F.col(m)).alias(m) for m in METRICS))
+    point = roc_metrics(_long(df.withColumn("sign", sign), scores, positive, "sign"), "score", F.col(positive), ["model", "sign"])
+    point = point.agg(*((F.sum(F.col("sign") * F.col(m)) / len(scores)).alias(m) for m in METRICS)).unpivot([], list(METRICS), "metric", "point")
+    return point.join(_bounds(draws, METRICS).drop("mean"), "metric")
+
+
+def bootstrap_threshold(df: DataFrame, key: str, positive: str, scores: list[str], thresholds: list[float], reps: int) -> DataFrame:
+    """metric (recall, fpr), point (mean over models), low, high at fixed thresholds, one a model; models take turns in the replicates."""
+    hit = F.array(*(F.col(c) >= t for c, t in zip(scores, thresholds, strict=True)))
+    r = _resampled(df, key, {"y": F.col(positive), "hits": hit}, reps).withColumn("hit", F.get("hits", (F.col("rep") % len(scores)).cast("int")))
+    rate = lambda c, w: F.sum(F.when(c & F.col("hit"), w).otherwise(0)) / F.sum(F.when(c, w).otherwise(0))
+    draws = r.groupBy("rep").agg(rate(F.col("y"), F.col("w")).alias("recall"), rate(~F.col("y"), F.col("w")).alias("fpr"))
+    point = df.select(F.col(positive).alias("y"), F.posexplode(hit).alias("model", "hit")).groupBy("model").agg(rate(F.col("y"), F.lit(1)).alias("recall"), rate(~F.col("y"), F.lit(1)).alias("fpr"))
+    return _points(point, ("recall", "fpr")).join(_bounds(draws, ("recall", "fpr")).drop("mean"), "metric")
+
+
+def family_bootstrap(families: DataFrame, key: str, coverage: Column, size: Column, reps: int) -> DataFrame:
+    """metric (macro: mean over families; pooled: by size), point, low, high, over resampled families. One row a family comes in."""
+    f = families.select(F.col(key).alias("k"), F.coalesce(coverage, F.lit(0.0)).alias("c"), size.cast("double").alias("n"))
+    r = _resampled(f, "k", {"c": F.col("c"), "n": F.col("n")}, reps)
+    rates = lambda w: ((F.sum(w * F.col("c")) / F.sum(w)).alias("macro"), (F.sum(w * F.col("c") * F.col("n")) / F.sum(w * F.col("n"))).alias("pooled"))
+    point = f.agg(*rates(F.lit(1.0))).unpivot([], ["macro", "pooled"], "metric", "point")
+    return point.join(_bounds(r.groupBy("rep").agg(*rates(F.col("w"))), ("macro", "pooled")).drop("mean"), "metric")
+
+
 def sign_flip_p(values: list[float]) -> float:
     """Two-sided p of the mean over all sign patterns of at most 20 values."""
     import numpy as np

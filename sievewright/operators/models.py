@@ -8,7 +8,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, Log
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -186,25 +186,72 @@ def clustered(df: DataFrame, vector: str, k: int, dims: int | None = None, seed:
     return KMeans(k=k, seed=seed, featuresCol=last, predictionCol="cluster").fit(x).transform(x).drop("_x", "_z", "_p")
 
 
-def density_clusters(df: DataFrame, vector: str, reach: float, least: int = 5) -> DataFrame:
-    """``df`` (id, vector) with cluster, -1 for noise: density clustering in one task; all rows are taken, so the caller must bound them (a few thousand)."""
+def density_clusters(df: DataFrame, key: str, vector: str, reach: float, least: int = 5, most: int = 4_000) -> DataFrame:
+    """key, vector, cluster (-1 for noise) of a bounded sample: the ``most`` rows whose key hashes lowest, clustered by density in one task.
+
+    Neighbours are within ``reach``; a row with ``least`` of them is dense. Clusters need all distances, so the sample is the operator's bound.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
         x = np.stack(pdf[vector].to_numpy()).astype(float)
-        near = [np.flatnonzero(((x - p) ** 2).sum(axis=1) <= reach * reach) for p in x]
-        cluster, now = np.full(len(x), -1), -1
-        for i in range(len(x)):
-            if cluster[i] >= 0 or len(near[i]) < least:
-                continue
-            now += 1
-            todo = [i]
-            while todo:
-                j = todo.pop()
-                if cluster[j] < 0:
-                    cluster[j] = now
-                    if len(near[j]) >= least:
-                        todo += near[j].tolist()
-        return pdf.assign(cluster=cluster)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "cluster long"])
-    return df.groupBy(F.lit(1)).applyInPandas(run, schema)
+        square = (x * x).sum(axis=1)
+        near = square[:, None] + square - 2 * x @ x.T <= reach * reach + 1e-12
+        dense = near.sum(axis=1) >= least
+        # Dense rows in reach of each other share a label: the smallest spreads until nothing changes.
+        label = np.where(dense, np.arange(len(x)), len(x))
+        links = near & dense[:, None] & dense
+        while True:
+            low = np.minimum(label, np.where(links, label, len(x)).min(axis=1, initial=len(x)))
+            low = np.where(dense, low, len(x))
+            if (low == label).all():
+                break
+            label = low
+        label = np.where(dense, label, np.where(near & dense, label, len(x)).min(axis=1, initial=len(x)))
+        names = np.unique(label[label < len(x)])
+        return pdf.assign(cluster=np.where(label < len(x), np.searchsorted(names, label), -1))
+
+    rows = df.select(key, vector).orderBy(F.xxhash64(key), key).limit(most)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "cluster long"])
+    return rows.groupBy(F.lit("all")).applyInPandas(run, schema)
+
+
+def noise_share(df: DataFrame, cluster: str) -> DataFrame:
+    return df.agg(F.avg((F.col(cluster) < 0).cast("int")).alias("noise"))
+
+
+def with_noise(df: DataFrame, key: str, cluster: str, singletons: bool) -> DataFrame:
+    """``df`` with noise (negative clusters) as clusters of one row each, or as one cluster (-1)."""
+    own = -2 - F.abs(F.xxhash64(key)) % (1 << 60) if singletons else F.lit(-1)
+    return df.withColumn(cluster, F.when(F.col(cluster) < 0, own.cast("long")).otherwise(F.col(cluster).cast("long")))
+
+
+def mean_sizes(df: DataFrame, contributions: str, names: list[str], top: int = 20) -> DataFrame:
+    """feature, mean_size, place: mean absolute contribution of each feature over all rows, the largest ``top``."""
+    m = df.agg(*(F.avg(F.abs(F.col(contributions)[i])).alias(f"c{i}") for i in range(len(names)))).select(F.posexplode(F.array(*(f"c{i}" for i in range(len(names))))).alias("i", "mean_size"))
+    m = m.select(F.get(F.array(*map(F.lit, names)), F.col("i")).alias("feature"), "mean_size").orderBy(F.desc("mean_size"), "feature").limit(top)
+    return m.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_size"), "feature")))
+
+
+def save_boosted(model: GBTClassificationModel, columns: list[str], path: str, thresholds: dict[str, float] = {}) -> None:  # noqa: B006
+    """The model with the names of its features, in order, and its thresholds beside it (one JSON row)."""
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(columns, thresholds)], "columns array<string>, thresholds map<string,double>").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+
+def load_boosted(path: str, columns: list[str]) -> tuple[GBTClassificationModel, dict[str, float]]:
+    """The saved model and its thresholds; an error if it was fitted to other features or another order of them."""
+    from pyspark.sql import SparkSession
+
+    row = SparkSession.getActiveSession().read.schema("columns array<string>, thresholds map<string,double>").json(f"{path}/features").first()
+    if list(row["columns"]) != list(columns):
+        raise ValueError("the model was fitted to other features")
+    return GBTClassificationModel.load(f"{path}/model"), dict(row["thresholds"] or {})
+
+
+def without(columns: list[str], dropped: list[str]) -> list[str]:
+    """Columns of an ablation: fit again on these."""
+    return [c for c in columns if c not in set(dropped)]

@@ -44,3 +44,28 @@ def verdict(df: DataFrame, score: Column, high_risk: Column, packed: Column, t_s
     floored = (by_score == "BENIGN") & high_risk
     final = F.when(floored, "SUSPICIOUS").otherwise(by_score)
     return df.withColumns({"verdict": final, "floored": floored, "route": packed | (final == "SUSPICIOUS"), "score": F.round(score, 4)})
+
+
+PACKED_NOTE = "packed: the static view is partial; run it in a sandbox"
+
+
+def documented(df: DataFrame, top: int = 5) -> DataFrame:
+    """Result of a triage from the columns of ``verdict`` and more: sha256, verdict, score, family, packed, route, capabilities, contributions, rules, notes.
+
+    ``df`` needs verdict, floored, score, packed, nearest (closest family), techniques (of high risk), anomalies, signals, contributions, and
+    rule, structural (rule texts, null without). A family and rules are given unless the verdict is BENIGN; notes are anomalies,
+    signals, why the verdict was raised, and what packing means, in this order.
+    """
+    benign = F.col("verdict") == "BENIGN"
+    raised = F.concat(F.lit("low score, but high-risk capabilities "), F.array_join(F.array_sort(F.array_distinct("techniques")), ", "), F.lit(": raised to SUSPICIOUS"))
+    more = F.array_compact(F.array(F.when(F.col("floored"), raised), F.when(F.col("packed"), F.lit(PACKED_NOTE))))
+    return df.withColumns({
+        "family": F.when(~benign, F.col("nearest")), "notes": F.concat("anomalies", "signals", more), "rule": F.when(~benign, F.col("rule")), "structural": F.when(~benign, F.col("structural")),
+        "contributions": F.slice("contributions", 1, top),
+    }).drop("nearest", "anomalies", "signals")
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """key, document: each row as strict JSON; numbers that JSON can't hold become null."""
+    safe = [F.when(~F.isnan(c.name) & (F.abs(c.name) < float("inf")), F.col(c.name)).alias(c.name) if c.dataType.typeName() in ("double", "float") else F.col(c.name) for c in df.schema.fields]
+    return df.select(F.col(key), F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("document"))

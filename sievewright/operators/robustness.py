@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import hash_weights
+from .ranking import md5_number, numbered
 
 
 def parity(a: DataFrame, b: DataFrame, key: str, columns: list[str], share: float = 0.01) -> DataFrame:
@@ -23,10 +24,11 @@ def with_donors(targets: DataFrame, donors: DataFrame, key: str, draw: int) -> D
 
     ``donors`` is numbered once; targets meet their number by an equi join. The donor table is a bounded pool.
     """
-    pool = donors.select(F.struct("*").alias("donor"), (F.row_number().over(Window.orderBy(F.md5(F.col(key).cast("string")), key)) - 1).alias("_n"))
-    n = pool.agg(F.count(F.lit(1)).alias("_all"))
+    d = donors.select(F.struct("*").alias("donor"), F.col(key).alias("_k"), md5_number(F.col(key)).alias("_d"))
+    pool = numbered(d, "_d", [], [F.col("_d"), F.md5(F.col("_k").cast("string")), F.col("_k")])
+    pool = pool.select("donor", (F.col("place") - 1).alias("_n"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(draw))), 1, 8), 16, 10).cast("long")
-    return targets.crossJoin(F.broadcast(n)).withColumn("_n", (pick % F.col("_all")).cast("int")).join(pool, "_n").drop("_n", "_all")
+    return targets.withColumn("_n", pick % donors.agg(F.count(F.lit(1))).scalar()).join(pool, "_n").drop("_n")
 
 
 def merged_counts(own: Column, donor: Column) -> Column:

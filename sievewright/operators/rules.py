@@ -58,12 +58,12 @@ def mined_by(atoms: DataFrame, support: float = 0.3, rate: float = 0.002, most:
 
 def smallest_n_by(rules: DataFrame, benign: DataFrame, fpr: float = 0.0) -> DataFrame:
     """family, atoms, threshold: for every rule (family, atom) the least N of which at most ``fpr`` of the benign samples have as many; null if none."""
-    m = benign.agg(F.countDistinct("sample")).scalar()
     hits = benign.join(rules.select("family", "atom"), "atom").groupBy("family", "sample").agg(F.countDistinct("atom").alias("hits"))
     have = hits.groupBy("family", "hits").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.collect_list(F.struct("hits", "n")).alias("have"))
     sets = rules.groupBy("family").agg(F.array_sort(F.collect_list("atom")).alias("atoms")).join(have, "family", "left").withColumn("have", F.coalesce("have", F.array().cast("array<struct<hits:bigint,n:bigint>>")))
+    sets = sets.withColumn("m", F.greatest(benign.agg(F.countDistinct("sample")).scalar(), F.lit(1)))
     wrong = lambda n: F.aggregate(F.filter("have", lambda h: h["hits"] >= n), F.lit(0).cast("long"), lambda a, h: a + h["n"])
-    steps = F.filter(F.sequence(F.lit(1), F.size("atoms")), lambda n: wrong(n) / F.greatest(m, F.lit(1)) <= fpr)
+    steps = F.filter(F.sequence(F.lit(1), F.size("atoms")), lambda n: wrong(n) / F.col("m") <= fpr)
     return sets.select("family", "atoms", F.array_min(steps).cast("long").alias("threshold"))
 
 
@@ -92,14 +92,61 @@ def validated(fired: DataFrame, rules: DataFrame, samples: DataFrame) -> DataFra
     )
 
 
+#: Characters of a candidate's beginning by which it meets texts; the shorter length is the least that a candidate may have.
+LONG, SHORT = 24, 6
+_BITS = 1 << 24
+
+
 def absent_strings(candidates: DataFrame, benign: DataFrame, text: str) -> DataFrame:
-    """Candidates (s) that no benign text contains. Candidates are few: they are held in one array that every text meets once.
+    """Candidates (s, ``SHORT`` characters at least; shorter ones are left out) that no benign text contains.
 
-    The table of candidates must come limited; a text's hits are combined before they are shuffled.
+    All windows of ``LONG`` and ``SHORT`` characters of a text are looked up in a bit table of the candidates' beginnings (262,144 rows at
+    most, so it can be broadcast whatever the candidates are); only windows found there meet their candidates, by an equi join, and the
+    whole candidate is then sought in the text.
+    """
+    c = candidates.filter(F.length("s") >= SHORT).withColumn("gram", F.when(F.length("s") >= LONG, F.substring("s", 1, LONG)).otherwise(F.substring("s", 1, SHORT)))
+    place = F.pmod(F.xxhash64("gram"), F.lit(_BITS))
+    bits = c.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(gram), {_BITS}) & 63 AS int))")).alias("bits"))
+    windows = F.concat(*(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (LONG, SHORT)))
+    grams = benign.select(F.col(text).alias("text"), F.explode(F.array_distinct(windows)).alias("gram")).withColumn("word", F.shiftright(place, 6))
+    likely = grams.join(F.broadcast(bits), "word").filter(F.expr(f"shiftright(bits, cast(pmod(xxhash64(gram), {_BITS}) & 63 AS int)) & 1 = 1"))
+    hit = likely.select("text", "gram").join(c, "gram").filter(F.instr("text", F.col("s")) > 0).select("s").distinct()
+    return candidates.filter(F.length("s") >= SHORT).join(hit, "s", "left_anti")
+
+
+def candidate_strings(group: DataFrame, benign: DataFrame, names: DataFrame, support: float = 0.6, most: int = 8) -> DataFrame:
+    """s, support, place: strings that tell a group from benign texts.
+
+    ``group``: sample, strings (array), header (text in which a string is an artifact of the format); ``benign``: text; ``names``: name, of imported
+    functions, which families share and which only fill in if nothing else is left. A string needs ``SHORT`` characters and ``support`` of the samples, and
+    no benign text may contain it. Most shared first, then longest, then by text; the best ``most``.
     """
-    every = candidates.agg(F.collect_set("s").alias("all"))
-    hit = benign.crossJoin(F.broadcast(every)).select(F.explode(F.filter("all", lambda s: F.instr(F.col(text), s) > 0)).alias("s")).distinct()
-    return candidates.join(hit, "s", "left_anti")
+    own = group.select("sample", "header", F.explode(F.array_distinct("strings")).alias("s")).filter((F.length("s") >= SHORT) & (F.instr(F.coalesce("header", F.lit("")), F.col("s")) == 0))
+    n = group.agg(F.countDistinct("sample")).scalar()
+    shared = own.groupBy("s").agg(F.countDistinct("sample").alias("support")).filter(F.col("support") >= F.greatest(F.lit(1), F.ceil(support * n)))
+    c = absent_strings(shared, benign, "text").join(names.select(F.col("name").alias("s"), F.lit(True).alias("api")).distinct(), "s", "left")
+    c = c.withColumn("distinctive", F.coalesce(c.agg(F.count_if(F.col("api").isNull())).scalar(), F.lit(0))).filter(F.col("api").isNull() | (F.col("distinctive") == 0))
+    order = [F.desc("support"), F.desc(F.length("s")), F.asc("s")]
+    best = c.select("s", "support").orderBy(*order).limit(most)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
+def synthesized(candidates: DataFrame) -> DataFrame:
+    """One row, strings in order and threshold (half of them, rounded up); no row without candidates."""
+    s = candidates.agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("x")).filter(F.size("x") > 0)
+    return s.select(F.transform("x", lambda x: x["s"]).alias("strings"), F.ceil(F.size("x") / 2).cast("int").alias("threshold"))
+
+
+def filtered_mode(keys: DataFrame, benign: DataFrame, tries: int = 5) -> DataFrame:
+    """family, key: the most common of a family's ``tries`` most common keys (sample, family, key) that no benign row (key) has. Empty keys don't count."""
+    c = keys.groupBy("family", "key").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("n"), "key"))).filter((F.col("r") <= tries) & (F.col("key") != ""))
+    return c.join(benign.select("key").distinct(), "key", "left_anti").groupBy("family").agg(F.min_by("key", "r").alias("key"))
+
+
+def without_abstention(rules: DataFrame, fallback: DataFrame) -> DataFrame:
+    """family, atoms, threshold of ``rules``, and of ``fallback`` for families that have no rule."""
+    return rules.unionByName(fallback.join(rules.select("family"), "family", "left_anti"))
 
 
 def quoted(s: Column) -> Column:

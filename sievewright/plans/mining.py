@@ -34,9 +34,8 @@ def _atoms(spark, d):
 
 
 def _sizes(spark, d, lang):
-    docs = table(spark, d, "documents").groupBy("lang").count()
-    n = {r["lang"]: r["count"] for r in docs.collect()}
-    return n.get(lang, 0), sum(n.values()) - n.get(lang, 0)
+    r = table(spark, d, "documents").agg(F.count_if(F.col("lang") == lang).alias("n"), F.count_if(F.col("lang") != lang).alias("m")).first()
+    return r["n"], r["m"]
 
 
 @query(f"WITH {_TOKENS} SELECT lang, atom, count(DISTINCT doc_id) AS support FROM a GROUP BY ALL HAVING count(DISTINCT doc_id) >= 20")
@@ -94,10 +93,51 @@ def specificity_coverage(spark, d):
     return rules.validated(fired, names, samples).withColumns({"specificity": F.round("specificity", 9), "coverage": F.round("coverage", 9)})
 
 
-@query("""WITH c AS (SELECT DISTINCT substr(text, 1, 24) AS s FROM benchmark) SELECT s FROM c WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, s))""")
+@query("""SELECT DISTINCT text AS s FROM benchmark WHERE length(text) >= 6 AND NOT EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, benchmark.text))""")
 def anti_substring(spark, d):
-    c = table(spark, d, "benchmark").select(F.substring("text", 1, 24).alias("s")).distinct()
-    return rules.absent_strings(c, table(spark, d, "documents").select("text"), "text")
+    """Whole benchmark texts that no document contains."""
+    return rules.absent_strings(table(spark, d, "benchmark").select(F.col("text").alias("s")).distinct(), table(spark, d, "documents").select("text"), "text")
+
+
+_STRINGS_SQL = """g AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[a-zà-ÿA-ZÀ-ß]+')) AS w, substr(text, 1, 40) AS header FROM documents WHERE lang = 'fr' AND length(text) > 200),
+o AS (SELECT doc_id, header, unnest(w) AS s FROM g), n AS (SELECT count(*) AS n FROM g),
+c AS (SELECT s, count(DISTINCT doc_id) AS support FROM o WHERE length(s) >= 6 AND NOT contains(header, s) GROUP BY s HAVING count(DISTINCT doc_id) >= greatest(1, ceil(0.02 * (SELECT n FROM n)))),
+a AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang IN ('de', 'en') AND contains(text, c.s))),
+x AS (SELECT a.*, EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zà-ÿA-ZÀ-ß]+')) AS name FROM documents WHERE lang = 'es') t WHERE t.name = a.s) AS api FROM a),
+k AS (SELECT s, support, row_number() OVER (ORDER BY support DESC, length(s) DESC, s)::INT AS place FROM x WHERE NOT api OR (SELECT count(*) FROM x WHERE NOT api) = 0 QUALIFY place <= 8)"""
+
+
+def _string_candidates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.regexp_extract_all("text", F.lit("[a-zà-ÿA-ZÀ-ß]+"), F.lit(0)).alias("w"))
+    group = docs.filter("lang = 'fr' AND length(text) > 200").select(F.col("doc_id").alias("sample"), F.col("w").alias("strings"), F.substring("text", 1, 40).alias("header"))
+    names = docs.filter("lang = 'es'").select(F.explode("w").alias("name")).distinct()
+    return rules.candidate_strings(group, docs.filter("lang IN ('de', 'en')").select("text"), names, support=0.02)
+
+
+@query(f"WITH {_STRINGS_SQL} SELECT s, support, place FROM k")
+def candidate_strings(spark, d):
+    """Strings that tell one language's documents from two others', a fourth one's words standing for imported names."""
+    return _string_candidates(spark, d)
+
+
+@query(f"""WITH {_STRINGS_SQL} SELECT 'rule fr_words' || chr(10) || '{{' || chr(10) || '  strings:' || chr(10) || string_agg('    $s' || (place - 1) || ' = "' || s || '"', chr(10) ORDER BY place) || chr(10) || '  condition:' || chr(10) || '    uint16(0) == 0x5A4D and '
+|| ceil(count(*) / 2)::INT || ' of them' || chr(10) || '}}' || chr(10) AS text, ceil(count(*) / 2)::INT AS threshold FROM k HAVING count(*) > 0""")
+def synthesized_rule(spark, d):
+    from ..functions import rule_text
+
+    s = rules.synthesized(_string_candidates(spark, d))
+    return s.select(rule_text.rendered(F.lit("fr words"), F.col("strings"), F.col("threshold").cast("string")).alias("text"), "threshold")
+
+
+@query("""WITH k AS (SELECT l_orderkey, md5(string_agg(l_partkey % 4, ',' ORDER BY l_linenumber, l_partkey)) AS key, CASE min(l_returnflag) WHEN 'N' THEN NULL ELSE min(l_returnflag) END AS family FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT family, key, row_number() OVER (PARTITION BY family ORDER BY count(*) DESC, key) AS r FROM k WHERE family IS NOT NULL GROUP BY family, key QUALIFY r <= 5)
+SELECT family, arg_min(key, r) AS key FROM c WHERE key NOT IN (SELECT key FROM k WHERE family IS NULL) GROUP BY family""")
+def filtered_mode_rule(spark, d):
+    """Each family's most common digest that no benign order has."""
+    line = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    k = table(spark, d, "lineitem").groupBy("l_orderkey").agg(line.alias("x"), F.min("l_returnflag").alias("f"))
+    k = k.select(F.nullif("f", F.lit("N")).alias("family"), F.md5(F.array_join(F.transform("x", lambda s: (s["l_partkey"] % 4).cast("string")), ",")).alias("key"))
+    return rules.filtered_mode(k.filter("family IS NOT NULL"), k.filter("family IS NULL"))
 
 
 @query("SELECT p_partkey, '\"' || replace(replace(p_name || '\\x\"' || p_size, '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM part")
@@ -175,6 +215,19 @@ def verdict_policy(spark, d):
     return policy.verdict(s, F.col("score"), F.col("toxic") == 1, F.col("quality") == 0).select("doc_id", "score", "verdict", "floored", "route")
 
 
+@query("""WITH s AS (SELECT doc_id, length(text) % 100 / 100.0::DOUBLE AS score, toxic = 1 AS risky, quality = 0 AS packed, lang, source FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT *, CASE WHEN score >= 0.7 THEN 'MALICIOUS' WHEN score >= 0.3 THEN 'SUSPICIOUS' ELSE 'BENIGN' END AS v FROM s)
+SELECT doc_id, CASE WHEN v = 'BENIGN' AND risky THEN 'SUSPICIOUS' ELSE v END AS verdict, CASE WHEN v = 'BENIGN' AND NOT risky THEN NULL ELSE lang END AS family,
+concat_ws('; ', 'from ' || coalesce(source, '?'), CASE WHEN v = 'BENIGN' AND risky THEN 'low score, but high-risk capabilities T1, T2: raised to SUSPICIOUS' END, CASE WHEN packed THEN 'packed: the static view is partial; run it in a sandbox' END) AS notes FROM b""")
+def triage_document(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    s = j.select("doc_id", (F.length("text") % 100 / 100.0).alias("score"), "toxic", "quality", "lang", "source")
+    v = policy.verdict(s, F.col("score"), F.col("toxic") == 1, F.col("quality") == 0)
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    more = {"packed": F.col("quality") == 0, "nearest": F.col("lang"), "techniques": F.array(F.lit("T2"), F.lit("T1"), F.lit("T2")), "anomalies": F.array(F.concat(F.lit("from "), F.coalesce("source", F.lit("?")))), "signals": nothing, "contributions": nothing, "rule": none, "structural": none}
+    return policy.documented(v.withColumns(more)).select("doc_id", "verdict", "family", F.array_join("notes", "; ").alias("notes"))
+
+
 @query("""WITH s AS (SELECT toxic = 1 AS theirs, regexp_matches(text, 'idiot|moron|trash') AS ours, lang FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT lang, count(*) FILTER (ours AND theirs) AS tp, count(*) FILTER (ours AND NOT theirs) AS fp, count(*) FILTER (NOT ours AND theirs) AS fn FROM s GROUP BY lang)
 SELECT lang, tp, fp, fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall FROM c""")
@@ -218,9 +271,18 @@ def kmeans_pca(spark, d):
     return models.agreement(models.clustered(e, "v", 10, 20), "label", "cluster")
 
 
-@query()
+_ENTROPY_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, h, n, unnest(range(0, CASE WHEN n < 256 THEN 1 ELSE (n - 256) // 128 + 1 END)) AS k FROM b WHERE n > 0),
+p AS (SELECT doc_id, k, unnest(range(k * 128, least(k * 128 + 256, n))) AS i, h FROM w),
+c AS (SELECT doc_id, k, substr(h, (2 * i + 1)::INT, 1) AS nibble, count(*) AS n FROM p GROUP BY ALL),
+e AS (SELECT doc_id, k, least(floor(round(-sum(n / 256 * log2(n / 256)), 12) * 4), 15)::INT AS bin FROM c GROUP BY ALL),
+s AS (SELECT doc_id, bin * 16 + strpos('0123456789ABCDEF', nibble) - 1 AS cell, sum(n)::BIGINT AS n FROM c JOIN e USING (doc_id, k) GROUP BY ALL)
+SELECT doc_id, cell::BIGINT AS cell, n FROM s"""
+
+
+@query(_ENTROPY_SQL)
 def sliding_entropy_hist(spark, d):
-    """Byte-entropy histogram of each document's UTF-8 bytes, by the parser's own kernel."""
+    """Cells of the byte-entropy histogram of each document's UTF-8 bytes (windows of 256 in steps of 128), by the parser's own kernel."""
     import pyarrow as pa
 
     def run(batches):
@@ -230,7 +292,8 @@ def sliding_entropy_hist(spark, d):
             h = [pe.byte_entropy(np.frombuffer(x or b"", np.uint8), 256, 128).tolist() for x in b.column("b").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "hist"])
 
-    return table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).mapInArrow(run, "doc_id long, hist array<long>")
+    h = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).mapInArrow(run, "doc_id long, hist array<long>")
+    return h.select("doc_id", F.posexplode("hist").alias("cell", "n")).filter("n > 0").withColumn("cell", F.col("cell").cast("long"))
 
 
 def _triaged(spark, n=12):
