@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-All new pieces of a block of texts lie end to end in one array of symbols. An inverted index keeps, for each
-adjacent pair that has a rank, the places where it stands. Ranks are applied in order: the lowest pair is merged
-at all of its places, and only the neighbours of touched places enter the index. A merge can create a pair of
-lower rank in its own piece; the piece's other places then wait until that one is done, as they would piece by piece.
+1. Spark counts the corpus's words (runs between single spaces) and picks the ``VOCABULARY`` most frequent that occur again.
+2. Merges are replayed on that table of distinct words, once for the corpus: all pieces of a task's words lie end to end in one array of symbols, and
+   an inverted index keeps, for each adjacent pair that has a rank, the places where it stands. Ranks are applied in order: the lowest pair is
+   merged at all of its places, and only the neighbours of touched places enter the index. A merge can create a pair of
+   lower rank in its own piece; the piece's other places then wait until that one is done, as they would piece by piece.
+3. The encoded words, bounded in number and length, are broadcast. Texts are encoded by looking words up; words beyond the table
+   are replayed where they stand, all new ones of a block together. So the table never changes a result.
 
 Defined results: null text is empty (no ids, hashes of nothing); repeated rows and ties stay as they are; tables without rows
 give none; other columns are not read.
@@ -15,15 +18,28 @@ import base64
 import functools
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, table
-from .pieces import CACHE_ENTRIES, Generations, Parts
+from .common import as_bytes, blocks, cut, passing, table
+from .pieces import CACHE_ENTRIES, Generations, regular
+
+#: Words of the corpus's table, at most, and characters of one: with 4 bytes a character and an id a byte, under 350 MB in theory, some 10 MB in fact.
+VOCABULARY, LONGEST = 1 << 18, 64
+#: Bytes of a piece that is replayed together with all others.
+SHORT = 256
+#: No rank: larger than any.
+_NONE = 1 << 40
+#: Bytes of text that are encoded together.
+BLOCK = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,17 +48,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes pieces by a table of ranks, all pieces of a call together."""
+    """Encodes texts by a table of ranks, all new pieces of a block together. ``ready``: encoded words of the corpus."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES, ready: dict[str, bytes] | None = None):
+        self.ranks, self.find, self.ready = ranks, regex.compile(pattern).findall, ready or {}
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t
+        self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
+        self.token_size = np.fromiter(map(len, self.token), np.int64, len(self.token))
+        self.token_start = np.cumsum(self.token_size) - self.token_size
         self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single_of = np.array(self.single)
         self.pair: dict[int, int] = {}
-        self.known = Generations(entries)
-        self.parts = Parts(pattern, self._packed, entries)
+        every = {ranks[t[:k]] * len(self.token) + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pairs = np.array(sorted(every), np.int64)
+        self.merged = np.array([every[k] for k in self.pairs.tolist()], np.int64)
+        self.words, self.known = Generations(entries), Generations(entries)
 
     def _rank(self, a: int, b: int) -> int:
         """Rank of the pair, which is also the id of the merged token; -1 without one."""
@@ -56,6 +78,62 @@ class MergeReplay:
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
+        short = [p for p in pieces if len(p) <= SHORT]
+        if len(short) == len(pieces):
+            return self._replay_together(pieces)
+        done, rest = iter(self._replay_together(short)), iter(self._replay_indexed([p for p in pieces if len(p) > SHORT]))
+        return [next(done if len(p) <= SHORT else rest) for p in pieces]
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of adjacent pairs, each distinct pair looked up once for all of its places."""
+        pairs, places = np.unique(a * len(self.token) + b, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.merged[at], _NONE)[places]
+
+    def _replay_together(self, pieces: list[bytes]) -> list[bytes]:
+        """All pieces at once: a step applies each piece's lowest-ranked pair (its first place), and only the two pairs around it get new ranks.
+
+        Pieces don't touch each other, so this is the order of ranks within every piece. Pieces that are done leave when they are half of all.
+        """
+        symbols = self.single_of[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        rank = np.full(len(symbols), _NONE)
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inner] = self._ranks_of(symbols[inner], symbols[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            size = np.diff(np.append(first, len(owner)))
+            lowest = np.minimum.reduceat(rank, first)
+            live = lowest < _NONE
+            if 2 * live.sum() <= len(live):
+                stay = np.repeat(live, size)
+                done.append((owner[~stay], symbols[~stay]))
+                symbols, owner, rank = symbols[stay], owner[stay], rank[stay]
+                first, size = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]), size[live]
+                lowest = lowest[live]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero((rank == np.repeat(lowest, size)) & (rank < _NONE))
+            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
+            symbols[at] = rank[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            at -= np.arange(len(at))
+            around = np.concatenate([at, at[at > 0] - 1])
+            rank[around] = _NONE
+            around = around[around + 1 < len(owner)]
+            around = around[owner[around] == owner[around + 1]]
+            rank[around] = self._ranks_of(symbols[around], symbols[around + 1])
+        owner = np.concatenate([o for o, _ in done]) if done else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        ids = np.concatenate([x for _, x in done])[order].astype("<u4").tobytes() if done else b""
+        ends = (np.cumsum(np.bincount(owner, minlength=len(pieces))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _replay_indexed(self, pieces: list[bytes]) -> list[bytes]:
+        """The same for long pieces, in which a step for each merge would be too many: by an index of places and a heap of ranks."""
         n = sum(map(len, pieces)) + len(pieces)
         single, rank, pair = self.single, self._rank, self.pair
         sym: list[int] = []
@@ -124,23 +202,133 @@ class MergeReplay:
         return [packed[s:e] for s, e in zip([0, *stop], stop)]
 
     def _packed(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces; pieces not seen before are replayed together."""
         new = self.known.missing({p for pieces in parts for p in pieces})
         known = self.known.young
         known.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
         get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in parts]
 
+    def of_words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words that follow a space; None for a word that needs its neighbours (it touches other white space)."""
+        ready = self.ready
+        new = self.words.missing([w for w in words if w not in ready])
+        known, ok = self.words.young, [w for w in new if regular(w)]
+        known.update(dict.fromkeys(new))
+        known.update(zip(ok, self._packed([self.find(" " + w) for w in ok]), strict=True))
+        return [ready[w] if w in ready else known[w] for w in words]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (one more at the end).
+
+        A single space between two characters that are no white space always begins a piece, so texts are cut there and each distinct word is
+        looked up once. A text in which words touch other white space is matched as a whole.
+        """
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, code, first = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
+        values = self.of_words(words)
+        odd = np.fromiter((v is None for v in values), bool, len(values))
+        several = np.diff(first) > 1
+        inside = np.ones(len(code), bool)
+        inside[first[:-1]] = False
+        plain = np.logical_or.reduceat(odd[code] & inside, first[:-1]) if len(texts) else np.zeros(0, bool)
+        heads = [words[c] for c in code[first[:-1]]]
+        plain |= several & np.fromiter((not h or h[-1].isspace() for h in heads), bool, len(heads))
+        # Each text's first entry is its head, or all of it; then the others' entries, or nothing.
+        own = self._packed([self.find(t if p else h) for t, h, p in zip(texts, heads, plain.tolist(), strict=True)])
+        table = [v or b"" for v in values] + own + [b""]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        starts = np.cumsum(sizes) - sizes
+        entry = code.astype(np.int64)
+        entry[np.repeat(plain, np.diff(first))] = len(table) - 1
+        entry[first[:-1]] = len(values) + np.arange(len(texts))
+        ids = _gathered(np.frombuffer(b"".join(table), "<u4"), starts[entry], sizes[entry])
+        ends = np.concatenate([[0], np.cumsum(sizes[entry])])
+        return ids, ends[first]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.parts.of(texts)]
+        ids, at = self.flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def flat_decoded(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids end to end, and where those from each place in ``at`` begin."""
+        sizes = self.token_size[ids]
+        return _gathered(self.token_bytes, self.token_start[ids], sizes), np.concatenate([[0], np.cumsum(sizes)])[at]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids = np.frombuffer(packed, "<u4")
+        return self.flat_decoded(ids, np.array([0, len(ids)]))[0].tobytes()
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of all spans, end to end."""
+    return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
+#: One encoder for each Python worker, so that its caches serve all of the worker's tasks.
+_encoder: list = [None, None]
+
+
+def _encoder_of(path: str, pattern: str, shared: Broadcast) -> MergeReplay:
+    words, data, sizes = shared.value
+    key = path, pattern, len(words), hashlib.sha256(data).digest()
+    if _encoder[0] != key:
+        ends = np.cumsum(sizes).tolist()
+        _encoder[:] = key, MergeReplay(_ranks(path), pattern, ready={w: data[b - n : b] for w, n, b in zip(words, sizes, ends)})
+    return _encoder[1]
 
 
 @functools.cache
-def replay_of(path: str, pattern: str) -> MergeReplay:
-    """One encoder for each Python worker, so that its caches serve all of the worker's tasks."""
-    return MergeReplay(read_ranks(path), pattern)
+def _ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(path)
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: how often each word of ``LONGEST`` characters at most follows a single space in all texts; blocks are counted, then their counts added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        for batch in blocks(batches, size=BLOCK):
+            parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), " ")
+            inside = np.ones(len(parts.flatten()), bool)
+            inside[parts.offsets.to_numpy()[:-1]] = False
+            seen = parts.flatten().filter(pa.array(inside)).value_counts()
+            for w, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist()):
+                if len(w) <= LONGEST:
+                    held[w] += n
+            if len(held) > CACHE_ENTRIES:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", most: int = VOCABULARY) -> pa.Table:
+    """word, ids of the ``most`` most frequent words at most (ties at the edge stay out) that occur twice or more, replayed in Spark tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = MergeReplay(_ranks(ranks_path), pattern)
+        words = [w for b in batches for w in b.column("word").to_pylist() if regular(w)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(replay.of_words(words), pa.binary())], ["word", "ids"])
+
+    with passing():
+        counts = cut(word_counts(docs, text).filter("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
+        # How many words there are at each level of counts: a few hundred rows.
+        level, room = None, most
+        for r in counts.groupBy("level").count().orderBy(F.desc("level")).limit(1_000).collect():
+            room -= r["count"]
+            if room < 0:
+                break
+            level = r["level"]
+        chosen = counts.filter(F.col("level") >= level) if level is not None else counts.limit(0)
+        return chosen.select("word").mapInArrow(run, "word string, ids binary").toArrow()
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
@@ -148,17 +336,20 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     keep = ["doc_id"] if keep is None else keep
     chosen = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("binary").alias("text"))
     names = [f"k{i}" for i in range(len(keep))]
+    words = encoded_words(docs, ranks_path, pattern, text)
+    data = words.column("ids").to_pylist()
+    shared = docs.sparkSession.sparkContext.broadcast((words.column("word").to_pylist(), b"".join(data), list(map(len, data))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = replay_of(ranks_path, pattern)
-        for batch in blocks(batches):
-            packed = replay.encode([x.decode("utf-8", "replace") for x in as_bytes(batch)])
-            back = [replay.decode(p) for p in packed]
+        replay = _encoder_of(ranks_path, pattern, shared)
+        for batch in blocks(batches, size=BLOCK):
+            flat, at = replay.flat([x.decode("utf-8", "replace") for x in as_bytes(batch)])
+            back, places = replay.flat_decoded(flat, at)
+            spans = lambda values, p: [values[a:b] for a, b in zip(p[:-1].tolist(), p[1:].tolist())]
             arrays = [batch.column(c) for c in names]
-            arrays += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([hashlib.sha256(b).hexdigest() for b in back])]
+            arrays += [pa.array(np.diff(at)), *(pa.array([hashlib.sha256(v).hexdigest() for v in spans(values, p)], pa.string()) for values, p in ((flat, at), (back, places)))]
             if ids:
-                flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-                arrays += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // 4 for p in packed)]), pa.int32()), pa.array(flat)), pa.array(back, pa.binary())]
+                arrays += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32))), pa.array([v.tobytes() for v in spans(back, places)], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [*names, *(c for c, _ in fields)])
 
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>"), ("decoded", "binary")] * ids
