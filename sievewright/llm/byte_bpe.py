@@ -34,6 +34,8 @@ from .pieces import CACHE_ENTRIES, Generations, regular
 
 #: Words of the corpus's table, at most, and characters of one: with 4 bytes a character and an id a byte, under 350 MB in theory, some 10 MB in fact.
 VOCABULARY, LONGEST = 1 << 18, 64
+#: Entries of each generation of a worker's own caches, for words that the corpus's table doesn't have.
+OWN_ENTRIES = 50_000
 #: Bytes of a piece that is replayed together with all others.
 SHORT = 256
 #: No rank: larger than any.
@@ -50,7 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Encodes texts by a table of ranks, all new pieces of a block together. ``ready``: encoded words of the corpus."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES, ready: dict[str, bytes] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = OWN_ENTRIES, ready: dict[str, bytes] | None = None):
         self.ranks, self.find, self.ready = ranks, regex.compile(pattern).findall, ready or {}
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
