@@ -1,14 +1,15 @@
 """Quality classification by co-training a text view and a page-metadata view.
 
 The text view sees hashed words and document statistics of whole texts; the metadata view sees language, source and length only.
-Both start from a bounded sample of labelled rows and share a bounded pool of unlabelled ones. Each round, a view's most
-confident pool rows (``CONFIDENT`` at least, ``EXCHANGE`` of each class at most) become labels of the other view. On labelled rows
-that took no part in this, each view is calibrated, and the calibrated log-odds are added with weights that aren't negative.
-Then every document is scored in one pass.
+Both start from a bounded sample of labelled rows. Each round, both score all documents, and a view's most confident ones outside the sample
+(``CONFIDENT`` at least, the ``EXCHANGE`` best of each class, ties by hash) become labels of the other view: the classes' best of the whole table, a
+bounded training set. On labelled rows that took no part in fitting, each view is calibrated. A view whose calibrated scores don't beat
+the base rate there by two standard errors teaches nothing and gets no weight. The calibrated log-odds are added with weights that aren't
+negative, and every document is scored once more.
 
 Defined results: null text is empty; null metadata is a value of its own. Without labelled rows of both classes all scores are 0.5
-and every document is kept. Repeated labels of an id count by their largest; rows stay as they come in; other columns are not
-read; tables without rows give none.
+and every document is kept. Repeated labels of an id count by their largest; of rows that share an id the smallest text is learned from, and rows
+without an id are only scored. Rows stay as they come in; other columns are not read; tables without rows give none.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, table
+from .common import as_bytes, blocks, cut, passing, table
 from .hashing import Block
-from .quality_rules import features, statistics
+from .quality_rules import FEATURES, features, statistics
 
-#: Labelled rows and unlabelled rows that reach the driver, at most about.
-LABELLED, POOL = 4_000, 4_000
-ROUNDS = 4
+#: Labelled rows that reach the driver, at most.
+LABELLED = 4_000
+#: Exchanges; each takes a pass over all documents.
+ROUNDS = 2
 CONFIDENT = 0.95
 EXCHANGE = 150
 WORD_BUCKETS = 1 << 10
@@ -94,8 +96,10 @@ class Views:
     meta_bias: float
     text_line: tuple[float, float]
     meta_line: tuple[float, float]
-    mix: tuple[float, float, float]
+    mix: tuple[float, float]
     threshold: float
+    #: Pseudo-labels given: (round, from which view, class, how many).
+    given: tuple[tuple[int, str, int, int], ...] = ()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,65 +124,100 @@ def one_hot(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def co_train(text: np.ndarray, codes: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Views | None:
-    """Rows of the sample: text view (words, then statistics), metadata codes, label (nan without)."""
-    known = np.flatnonzero(~np.isnan(label))
-    if len(set(label[known].tolist())) < 2:
-        return None
-    aside, start, pool = known[::4], np.setdiff1d(known, known[::4]), np.flatnonzero(np.isnan(label))
-    if len(set(label[aside].tolist())) < 2 or len(set(label[start].tolist())) < 2:
-        aside = start = known
-    views = [text, one_hot(codes)]
-    own = [dict(zip(start.tolist(), label[start].tolist())) for _ in views]
-    fitted: list[Logistic] = []
-    for turn in range(rounds + 1):
-        fitted = [Logistic.fit(x[list(o)], np.array(list(o.values())), 0.01) for x, o in zip(views, own, strict=True)]
-        if turn == rounds:
-            break
-        for k, x in enumerate(views):
-            p = sigmoid(fitted[k].logit(x[pool]))
-            for sure, y in ((p, 1.0), (1 - p, 0.0)):
-                best = np.argsort(-sure, kind="stable")[:EXCHANGE]
-                for i in pool[best[sure[best] >= CONFIDENT]].tolist():
-                    own[1 - k].setdefault(i, y)
-    y = label[aside]
-    raw = [f.logit(x[aside]) for f, x in zip(fitted, views, strict=True)]
-    lines = [_line(r, y) for r in raw]
-    even = [a * r + b for (a, b), r in zip(lines, raw, strict=True)]
-    # What a view adds: its share of the log-likelihood gained over the base rate.
-    rate = y.mean()
-    gain = [max(0.0, float(np.log(np.where(y == 1, sigmoid(e), 1 - sigmoid(e)) + 1e-12).mean() - (rate * np.log(rate) + (1 - rate) * np.log(1 - rate)))) for e in even]
-    total = sum(gain) or 1.0
-    mix = (gain[0] / total, gain[1] / total, 0.0) if sum(gain) else (1.0, 0.0, 0.0)
-    score = sigmoid(mix[0] * even[0] + mix[1] * even[1])
-    threshold = min(0.5, float(np.quantile(score[y == 1], 1 - KEEP_GOOD, method="lower")) * 0.999)
-    t, m = fitted
-    w = t.w / t.scale
-    return Views(w[:WORD_BUCKETS], w[WORD_BUCKETS:], t.b - float(t.mean @ w), m.w / m.scale, m.b - float(m.mean @ (m.w / m.scale)), lines[0], lines[1], mix, threshold)
-
-
-def _sampled(rows: DataFrame) -> pd.DataFrame:
+class CoTraining:
+    """Labelled rows of both views (text, codes, label), and what each view has learned from."""
+
+    def __init__(self, text: np.ndarray, codes: np.ndarray, label: np.ndarray):
+        self.views, self.label = [text, one_hot(codes)], label
+        rows = np.arange(len(label))
+        self.aside, start = rows[::4], np.setdiff1d(rows, rows[::4])
+        if len(set(label[self.aside].tolist())) < 2 or len(set(label[start].tolist())) < 2:
+            self.aside = start = rows
+        self.learned = [[(x[start], label[start])] for x in self.views]
+        self.given: list[tuple[int, str, int, int]] = []
+
+    def fitted(self) -> tuple[Views, list[bool]]:
+        """Both views fitted to what they have, and which of them may teach."""
+        fits = [Logistic.fit(np.concatenate([x for x, _ in own]), np.concatenate([y for _, y in own]), 0.01) for own in self.learned]
+        y, rate = self.label[self.aside], self.label[self.aside].mean()
+        base = np.where(y == 1, np.log(rate), np.log(1 - rate)) if 0 < rate < 1 else np.zeros(len(y))
+        lines, even, gain, good = [], [], [], []
+        for f, x in zip(fits, self.views, strict=True):
+            raw = f.logit(x[self.aside])
+            a, b = _line(raw, y)
+            p = sigmoid(a * raw + b)
+            more = np.log(np.where(y == 1, p, 1 - p) + 1e-12) - base
+            lines.append((a, b))
+            even.append(a * raw + b)
+            gain.append(float(more.mean()))
+            good.append(bool(more.mean() > 2 * more.std() / np.sqrt(len(y))))
+        # What a view adds: its share of the log-likelihood gained over the base rate.
+        share = [g if ok else 0.0 for g, ok in zip(gain, good)]
+        mix = (share[0] / sum(share), share[1] / sum(share)) if sum(share) else (1.0, 0.0)
+        score = sigmoid(mix[0] * even[0] + mix[1] * even[1])
+        threshold = min(0.5, float(np.quantile(score[y == 1], 1 - KEEP_GOOD, method="lower")) * 0.999)
+        t, m = fits
+        w = t.w / t.scale
+        v = Views(w[:WORD_BUCKETS], w[WORD_BUCKETS:], t.b - float(t.mean @ w), m.w / m.scale, m.b - float(m.mean @ (m.w / m.scale)), lines[0], lines[1], mix, threshold, tuple(self.given))
+        return v, good
+
+    def teach(self, turn: int, view: int, text: np.ndarray, codes: np.ndarray, label: np.ndarray) -> None:
+        """Rows that ``view`` is sure of become labels of the other one."""
+        if len(label):
+            self.learned[1 - view].append(((one_hot(codes), text)[view], label))
+        self.given += [(turn, ("text", "page")[view], k, int((label == k).sum())) for k in (0, 1)]
+
+
+def _rows_of(docs: DataFrame, chosen: DataFrame) -> pd.DataFrame:
+    """One row for each id of ``chosen`` (doc_id, others; bounded): its features x (float32 bytes) and codes."""
+    others = [c for c in chosen.columns if c != "doc_id"]
+    codes = ["m_lang", "m_source", "m_length"]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *metadata_codes(), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    d = d.groupBy("doc_id", *others).agg(F.min(F.struct("text", *codes)).alias("r")).select("doc_id", *others, *(f"r.{c}" for c in codes), F.col("r.text").cast("binary").alias("text"))
+    names = ["doc_id", *others, *codes]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            docs = as_bytes(batch)
-            x = np.hstack([bags(Block(docs, lower=True)), features(statistics(docs))]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "quality", "m_lang", "m_source", "m_length")), pa.array([r.tobytes() for r in x])], ["doc_id", "quality", "m_lang", "m_source", "m_length", "x"])
+            raw = as_bytes(batch)
+            x = np.hstack([bags(Block(raw, lower=True)), features(statistics(raw))]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([r.tobytes() for r in x], pa.binary())], [*names, "x"])
 
-    return rows.mapInArrow(run, "doc_id long, quality int, m_lang int, m_source int, m_length int, x binary").toPandas()
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in names)
+    return d.mapInArrow(run, f"{kinds}, x binary").toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
-def fit_views(docs: DataFrame, labels: DataFrame) -> Views | None:
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), WORD_BUCKETS + len(FEATURES))
+    return x, pdf[["m_lang", "m_source", "m_length"]].to_numpy(np.int64)
+
+
+def fit_views(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Views | None:
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    share = min(1.0, POOL / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id", "left").filter(F.col("quality").isNotNull() | drawn)
-    pdf = _sampled(rows.select("doc_id", "quality", *metadata_codes(), F.col("text").cast("binary").alias("text")).limit(2 * (LABELLED + POOL)))
-    if not len(pdf):
+    sample = _rows_of(docs, chosen)
+    label = sample["quality"].to_numpy(float)
+    if len(set(label.tolist())) < 2:
         return None
-    pdf = pdf.sort_values(["doc_id", "x"]).reset_index(drop=True)
-    x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1)
-    return co_train(x, pdf[["m_lang", "m_source", "m_length"]].to_numpy(np.int64), pdf["quality"].to_numpy(float))
+    co, seen = CoTraining(*_arrays(sample), label), chosen.select("doc_id")
+    for turn in range(rounds):
+        views, may = co.fitted()
+        if not any(may):
+            break
+        with passing():
+            scored = cut(score_views(docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")), views).select("doc_id", "text_score", "page_score").join(F.broadcast(seen), "doc_id", "left_anti"))
+            picks = None
+            for view, score in enumerate(("text_score", "page_score")):
+                for k in (0, 1):
+                    sure = F.col(score) if k else 1 - F.col(score)
+                    if may[view]:
+                        best = scored.filter(sure >= CONFIDENT).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(EXCHANGE).select("doc_id", F.lit(view).alias("view"), F.lit(k).alias("label"))
+                        picks = best if picks is None else picks.unionByName(best)
+            picks = cut(picks.distinct())
+            rows = _rows_of(docs, picks)
+        for view in (0, 1):
+            mine = rows[rows["view"] == view]
+            co.teach(turn, view, *_arrays(mine), mine["label"].to_numpy(float))
+    return co.fitted()[0]
 
 
 def score_views(docs: DataFrame, v: Views | None) -> DataFrame:
@@ -197,7 +236,7 @@ def score_views(docs: DataFrame, v: Views | None) -> DataFrame:
                 codes = np.stack([batch.column(c).to_numpy() for c in ("m_lang", "m_source", "m_length")], axis=1)
                 page = v.meta[codes].sum(axis=1) + v.meta_bias
                 text, page = v.text_line[0] * text + v.text_line[1], v.meta_line[0] * page + v.meta_line[1]
-                scores = [sigmoid(text), sigmoid(page), sigmoid(v.mix[0] * text + v.mix[1] * page + v.mix[2])]
+                scores = [sigmoid(text), sigmoid(page), sigmoid(v.mix[0] * text + v.mix[1] * page)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, scores)], ["doc_id", "text_score", "page_score", "score"])
 
     rows = docs.select("doc_id", *metadata_codes(), F.col("text").cast("binary").alias("text"))

@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-Texts are cut into windows of ``WINDOW`` bytes. In each direction a small gated unit reads a window byte by byte; at every byte
-both states give the languages' probabilities, and a document's are the mean over all of its bytes. Gates are
+In each direction a small gated unit reads the text byte by byte; at every byte both states give the languages' probabilities, and a document's are
+the mean over all of its bytes. So that many stretches run side by side, a text is cut into windows of ``WINDOW`` bytes, each read together with
+``CONTEXT`` bytes before and after it: these bring the states to where they would be, and give no probabilities of their own. Gates are
 piecewise linear, so that a byte costs little. Training is backpropagation through time with Adam on windows of a bounded
-sample: about ``PER_LANGUAGE`` documents of each language and ``PER_DOCUMENT`` windows spread over each whole text.
+sample: about ``PER_LANGUAGE`` documents of each language (fewer if there are more than ``SAMPLE / PER_LANGUAGE`` languages) and ``PER_DOCUMENT`` windows spread over each whole text.
 
 Only text and language of rows outside the held-out quarter are learned from; a prediction reads the text alone. Defined results:
 null text or text without a letter is ``und`` with score 0, as is every text if nothing can be learned. Rows stay as they
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, cut, meet, table
 
-WINDOW = 96
+WINDOW, CONTEXT = 96, 16
+WIDTH = WINDOW + 2 * CONTEXT
 PER_LANGUAGE = 400
+#: Documents in the sample at most, about.
+SAMPLE = 20_000
 PER_DOCUMENT = 6
 UNITS = 8
 STEPS = 260
@@ -149,17 +153,20 @@ class ByteGru:
         out = np.full((len(docs), len(self.languages)), 1 / max(len(self.languages), 1))
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         count = -(-lengths // WINDOW)
-        buf = np.full(int(count.sum()) * WINDOW, 32, np.uint8)
+        # Each document has its context's width before it and blanks after it, up to whole windows and once more the context.
+        place = np.concatenate([[0], np.cumsum(count * WINDOW + 2 * CONTEXT)])
+        buf = np.full(int(place[-1]), 32, np.uint8)
+        for at, d in zip((place[:-1] + CONTEXT).tolist(), docs):
+            buf[at : at + len(d)] = np.frombuffer(d, np.uint8)
         first = np.concatenate([[0], np.cumsum(count)])
-        for k, d in enumerate(docs):
-            buf[first[k] * WINDOW : first[k] * WINDOW + len(d)] = np.frombuffer(d, np.uint8)
-        windows = buf.reshape(-1, WINDOW)
-        filled = np.full(len(windows), WINDOW)
+        nth = np.arange(int(first[-1])) - np.repeat(first[:-1], count)
+        starts = np.repeat(place[:-1], count) + nth * WINDOW
         some = np.flatnonzero(count)
+        filled = np.full(len(starts), WINDOW)
         filled[first[some + 1] - 1] = lengths[some] - (count[some] - 1) * WINDOW
-        sums = np.empty((len(windows), len(self.languages)))
-        for at in range(0, len(windows), SIDE_BY_SIDE):
-            p = self.positions(windows[at : at + SIDE_BY_SIDE])
+        sums = np.empty((len(starts), len(self.languages)))
+        for at in range(0, len(starts), SIDE_BY_SIDE):
+            p = self.positions(buf[starts[at : at + SIDE_BY_SIDE, None] + np.arange(WIDTH)])[:, CONTEXT : CONTEXT + WINDOW]
             p *= np.arange(WINDOW)[:, None] < filled[at : at + SIDE_BY_SIDE]
             sums[at : at + SIDE_BY_SIDE] = p.sum(axis=1).T
         if len(some):
@@ -174,20 +181,20 @@ def held_out(key: Column) -> Column:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteGru | None:
     """A network fitted to a bounded sample of rows outside the held-out quarter; None if there is no language."""
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    # One number a language reaches the driver: the share of its rows to take.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not counts:
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("many")))
+    n, total = counts.agg(F.count(F.lit(1)), F.sum("many")).first()
+    if not n:
         return None
-    share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, per_language / n))))
+    least = max(4, min(per_language, SAMPLE // n))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(draw < share[F.col("lang")]).select("lang", F.encode("text", "UTF-8").alias("b"))
-    spread = f"transform(sequence(0, {PER_DOCUMENT - 1}), k -> substring(b, 1 + cast(k * greatest(length(b) - {WINDOW}, 0) / {PER_DOCUMENT - 1} as int), {WINDOW}))"
+    chosen = meet(rows.select("lang", draw.alias("draw"), F.encode("text", "UTF-8").alias("b")), counts, "lang", "many", total=total).filter(F.col("draw") < least / F.col("many"))
+    spread = f"transform(sequence(0, {PER_DOCUMENT - 1}), k -> substring(b, 1 + cast(k * greatest(length(b) - {WIDTH}, 0) / {PER_DOCUMENT - 1} as int), {WIDTH}))"
     pdf = chosen.select("lang", F.explode(F.expr(spread)).alias("w")).distinct().toPandas().sort_values(["lang", "w"])
     pdf = pdf[pdf["w"].map(len) > 0]
     if not len(pdf):
         return None
     languages = sorted(set(pdf["lang"]))
-    x = np.frombuffer(b"".join(bytes(w).ljust(WINDOW, b" ") for w in pdf["w"]), np.uint8).reshape(-1, WINDOW)
+    x = np.frombuffer(b"".join(bytes(w).ljust(WIDTH, b" ") for w in pdf["w"]), np.uint8).reshape(-1, WIDTH)
     net = ByteGru(languages)
     if len(languages) > 1:
         net.train(x, np.searchsorted(languages, pdf["lang"].to_numpy(str)))

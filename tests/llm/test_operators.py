@@ -303,3 +303,99 @@ def test_cotraining(docs, none, labels, spark):
     assert len(collected(cotraining.score_views(docs, cotraining.fit_views(docs, labels)))) == len(rows())
     assert cotraining.score_views(none, cotraining.fit_views(none, labels)).count() == 0
     assert all(r["kept"] for r in collected(cotraining.score_views(docs, cotraining.fit_views(docs, labels.limit(0)))))
+
+
+def two_views(spark, n, meta_tells=True):
+    """Documents whose words tell the class in one half and whose source tells it in the other; a few are labelled."""
+    import random
+
+    rng, rows, labels = random.Random(8), [], []
+    for k in range(n):
+        y = rng.random() < 0.5
+        words = [rng.choice("river hill calm page lake stone".split() if y else "win cash free click now deal".split()) if rng.random() < (0.5 if k % 2 else 0.02) else rng.choice("and the of to in with by for".split()) for _ in range(30)]
+        source = rng.choice(["good.org", "fine.edu"] if y else ["spam.biz", "ads.biz"]) if k % 2 == 0 and meta_tells else rng.choice("abcdefgh")
+        rows.append((k, " ".join(words), "en", source, 200))
+        if k < 300:
+            labels.append((k, int(y)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_cotraining_exchanges_both_ways(spark):
+    docs, labels = two_views(spark, 1_500)
+    v = cotraining.fit_views(docs, labels)
+    given = {(turn, view): n for turn, view, _, n in v.given if n}
+    assert {(0, "text"), (0, "page")} <= set(given) and all(n <= cotraining.EXCHANGE for *_, n in v.given)
+    assert min(v.mix) > 0.1
+    alone = cotraining.fit_views(docs, labels, rounds=0)
+    assert alone.given == () and not (alone.words == v.words).all() and not (alone.meta == v.meta).all()
+
+
+def test_a_view_no_better_than_chance_teaches_nothing(spark):
+    docs, labels = two_views(spark, 900, meta_tells=False)
+    v = cotraining.fit_views(docs, labels)
+    assert all(n == 0 for _, view, _, n in v.given if view == "page") and v.mix[1] == 0
+    assert any(n for _, view, _, n in v.given if view == "text")
+
+
+def test_cotraining_scores_equal_plain_sums(spark, docs, labels):
+    """Each document's score by its own dense features, one at a time."""
+    import numpy as np
+
+    from sievewright.llm.hashing import Block
+
+    d, known = two_views(spark, 400)
+    v = cotraining.fit_views(d, known, rounds=1)
+    codes = {tuple(r[:4]): r[4:] for r in docs.select("doc_id", "lang", "source", "n_chars", *cotraining.metadata_codes()).collect()}
+    got = by_row(cotraining.score_views(docs, v), "doc_id", "score")
+    want = []
+    for r in rows():
+        raw = (r[1] or "").encode()
+        x = np.hstack([cotraining.bags(Block([raw], lower=True))[0], quality_rules.features(quality_rules.statistics([raw]))[0]]).astype(float)
+        text = v.text_line[0] * (x @ np.concatenate([v.words, v.stats]) + v.text_bias) + v.text_line[1]
+        page = v.meta_line[0] * (sum(v.meta[c] for c in codes[r[0], r[2], r[3], r[4]]) + v.meta_bias) + v.meta_line[1]
+        want.append((r[0], float(1 / (1 + np.exp(-np.clip(v.mix[0] * text + v.mix[1] * page, -35, 35))))))
+    order = lambda x: (str(x[0]), x[1])
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(sorted(got, key=order), sorted(want, key=order)))
+
+
+def test_languages_of_held_out_documents(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are needed")
+    d = spark.read.parquet(f"{folder}/documents.parquet")
+    out = language_id.op7_language_id(spark, folder).join(d.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    r = out.selectExpr("count(1) AS n", "avg(CAST(lang = lang_pred AS DOUBLE)) AS right").first()
+    assert r["n"] > 150 and r["right"] > 0.97
+
+
+def test_rare_languages_are_learned(spark):
+    data = [(k, f"{'abc' if k % 3 else 'xyz'} " * 20, "big" if k % 3 else "huge") for k in range(90)] + [(1000 + k, "qqq www " * 20, "rare") for k in range(4)]
+    net = language_id.learn(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert net.languages == ["big", "huge", "rare"]
+
+
+def test_rules_equal_a_walk_through_the_trees(spark, docs, labels):
+    """The flattened trees' verdict against a walk from each root, and the threshold's quantile from rows that trees have not seen."""
+    import numpy as np
+
+    stats = quality_rules.document_statistics(docs)
+    extra = spark.createDataFrame([(i, i % 2, 0) for i in range(16)], labels.schema)
+    trees, threshold = quality_rules.fit_rules(stats, extra)
+
+    def walk(x, node):
+        while trees.feature[node] >= 0:
+            node = trees.left[node] if x[trees.feature[node]] <= trees.cut[node] else trees.right[node]
+        return trees.value[node]
+
+    got = {}
+    for r in collected(quality_rules.quality_rules(docs, extra)):
+        got.setdefault(r["doc_id"], set()).add((round(r["score"], 9), r["kept"], r["base_failed"]))
+    for r in rows():
+        s = quality_rules.statistics([(r[1] or "").encode()])
+        x = quality_rules.features(s)[0]
+        score = 1 / (1 + np.exp(-np.clip(trees.bias + sum(walk(x, root) for root in trees.roots), -35, 35)))
+        n, again = int(s["n_words"][0]), int(s["n_repeat_words"][0])
+        failed = n < 50 or 100 * again > 50 * n
+        assert (round(float(score), 9), not failed and score >= threshold, failed) in got[r[0]]
