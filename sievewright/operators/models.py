@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Centers that ``nearest`` compares every row with, at most.
+CENTERS = 10_000
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mu and sigma (population, 1 for a constant column) as arrays, in one aggregation."""
     sd = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
@@ -54,8 +58,9 @@ def centroids(df: DataFrame, vector: str, group: str, most: int | None = None) -
 
 
 def nearest(df: DataFrame, vector: str, centers: DataFrame, group: str) -> DataFrame:
-    """``df`` with nearest (group) and distance (squared); the centers are held once, as one array, and ties go to the first group."""
-    every = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "centroid"))).alias("_all"))
+    """``df`` with nearest (group) and distance (squared); ties go to the first group. The centers are one broadcast array: more than ``CENTERS`` are an error."""
+    few = F.when(F.count(F.lit(1)) > CENTERS, F.raise_error(F.lit(f"more than {CENTERS} centers")).cast("boolean"))
+    every = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "centroid"))).alias("_all"), few.alias("_few")).filter("_few IS NULL").select("_all")
     far = lambda c: F.aggregate(F.zip_with(F.col(vector), c["centroid"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     d = df.crossJoin(F.broadcast(every)).withColumn("_best", F.array_min(F.transform("_all", lambda c: F.struct(far(c).alias("d"), c["g"].alias("g")))))
     return d.withColumn("nearest", F.col("_best.g")).withColumn("distance", F.col("_best.d")).drop("_all", "_best")

@@ -296,19 +296,21 @@ def sliding_entropy_hist(spark, d):
     return h.select("doc_id", F.posexplode("hist").alias("cell", "n")).filter("n > 0").withColumn("cell", F.col("cell").cast("long"))
 
 
-def _triaged(spark, n=12):
+def _triaged(spark, d):
+    """The synthetic corpus, read: it grows with the folder's tables (a benign file for each 160 parts or so, 27 at least)."""
+    n = max(9, table(spark, d, "part").count() // 500)
     c = records.from_reports(pe.dissected(corpus.corpus(spark, n)))
     return c.filter("error IS NULL").withColumn("signals", policy.packing_signals(F.col("report")))
 
 
 @query()
 def pe_features(spark, d):
-    return features.named_features(_triaged(spark), "record", "path", "family", "label")
+    return features.named_features(_triaged(spark, d), "record", "path", "family", "label")
 
 
 @query()
 def pe_vectors(spark, d):
-    return hashing.hashed_vectors(_triaged(spark), "record", ["path"])
+    return hashing.hashed_vectors(_triaged(spark, d), "record", ["path"])
 
 
 @query()
@@ -316,13 +318,13 @@ def pe_triage(spark, d):
     """Corpus -> report -> features -> logistic score -> verdict with capabilities and packing."""
     from ..functions import text as T
 
-    t = _triaged(spark)
+    t = _triaged(spark, d)
     names = F.flatten(F.transform(F.concat("report.imports", "report.delay_imports"), lambda i: i["functions"]))
     texts = T.printable_runs(T.latin(F.col("content")), most=fixed.MAX_STRINGS)
     ignored = T.printable_runs(T.latin(F.col("report.certificate")))
     t = t.withColumn("capabilities", tagging.capabilities(fixed.RULES, names, texts, ignored))
     columns = ["file_entropy", "n_imports", "capability_count", "n_wx_sections", "printable_ratio"]
-    x = models.assembled(t.select("path", "family", "label", "signals", "capabilities", *(features.feature_columns(F.col("record"))[c].alias(c) for c in columns)), columns)
+    x = models.assembled(features.named_features(t, "record", "path", "family", "label", "signals", "capabilities").select("path", "family", "label", "signals", "capabilities", *columns), columns)
     m = models.fit_logistic(x.withColumn("label", F.col("label").cast("double")), "label")
     s = models.linear_score(F.array(*columns), [float(w) for w in m.coefficients], float(m.intercept))
     ids = tagging.strings(tuple(r.attack_id for r in fixed.RULES if r.high_risk))
@@ -336,7 +338,7 @@ def pe_rules(spark, d):
     """Structural atoms of the corpus, mined per family against benign files, with the least N that hits no benign file."""
     from ..functions import text as T
 
-    t = _triaged(spark)
+    t = _triaged(spark, d)
     calls = F.flatten(F.transform("record.imports", lambda i: F.transform(F.filter(i["functions"], lambda f: (f != "") & ~f.startswith("ordinal") & ~f.isin(*fixed.COMMON_FUNCTIONS)), lambda f: F.concat(F.lit("imp:"), F.lower(i["dll"]), F.lit(":"), f))))
     secs = F.transform(F.filter("record.section.sections", lambda s: (s["name"] != "") & ~F.lower(s["name"]).isin(*fixed.ATOM_STANDARD_SECTIONS)), lambda s: F.concat(F.lit("sec:"), s["name"]))
     atoms = F.concat(calls, secs, F.array(F.concat(F.lit("imphash:"), T.import_digest(F.col("record.imports")))))
