@@ -42,7 +42,7 @@ PLANES = 3
 #: Members of a posting list, or of the group of one candidate, from which on it may be cut into sublists.
 LIST = 1_000
 #: Members of one block, and hashes of their sets, about, when the members of a cohort meet.
-BLOCK, BLOCK_HASHES = 1_000, 1_500_000
+BLOCK, BLOCK_HASHES = 500, 1_000_000
 
 
 def required_matches(coords: int, threshold: float, miss: float = MISS) -> int:
@@ -171,21 +171,15 @@ def _settle(percent: int):
         links = ([], [])
         if len(one) and len(all_):
             both = intersections([sets[i] for i in one], [sets[j] for j in all_])
-            ok = linked(both, size[one][:, None], size[all_], percent) & (part[one][:, None] != part[all_])
-            up: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while up.get(x, x) != x:
-                    up[x] = up.get(up[x], up[x])
-                    x = up[x]
-                return x
-
-            for i, j in np.argwhere(ok).tolist():
-                x, y = root(int(part[one[i]])), root(int(part[all_[j]]))
-                if x != y:
-                    up[x] = y
-                    links[0].append(int(part[one[i]]))
-                    links[1].append(int(part[all_[j]]))
+            ok = linked(both, size[one][:, None], size[all_], percent)
+            names, code = np.unique(part, return_inverse=True)
+            label = np.arange(len(names))
+            for i, row in zip(one, ok, strict=True):
+                met = np.unique(label[np.append(code[all_[row]], code[i])])
+                if len(met) > 1:
+                    links[0].extend([names[met[0]]] * (len(met) - 1))
+                    links[1].extend(names[met[1:]])
+                    label[np.isin(label, met)] = met[0]
         return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
 
     return run
