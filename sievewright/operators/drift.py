@@ -70,15 +70,22 @@ def psi(values: DataFrame, reference: Column, bins: DataFrame, by: str = "featur
     return _psi_of(c, _every_bin(bins, by), [by], floor)
 
 
+def psi_by_floor(values: DataFrame, reference: Column, bins: DataFrame, floors: list[float], by: str = "feature") -> DataFrame:
+    """by, floor, psi at several floors, from one count by bin."""
+    c = binned(values, bins, by).groupBy(by, "bin").agg(F.count_if(reference).alias("a"), F.count_if(~reference).alias("b"))
+    every = _every_bin(bins, by).withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
+    return _psi_of(c.withColumn("floor", F.explode(F.array(*map(F.lit, floors)))), every, [by, "floor"], F.col("floor"))
+
+
 def _every_bin(bins: DataFrame, by: str) -> DataFrame:
     names = F.concat(F.transform(F.sequence(F.lit(0), F.size("edges")), lambda i: F.concat(F.lit("i"), i)), F.transform("atoms", lambda _, i: F.concat(F.lit("a"), i + 1)))
     return bins.select(by, F.explode(names).alias("bin"))
 
 
-def _psi_of(counts: DataFrame, every: DataFrame, by: list[str], floor: float) -> DataFrame:
+def _psi_of(counts: DataFrame, every: DataFrame, by: list[str], floor: float | Column) -> DataFrame:
     c = every.join(counts, [*by, "bin"], "left").na.fill(0, ["a", "b"])
     w = Window.partitionBy(*by)
-    p, q = (F.greatest(F.col(x) / F.sum(x).over(w), F.lit(floor)) for x in "ab")
+    p, q = (F.greatest(F.col(x) / F.sum(x).over(w), floor if isinstance(floor, Column) else F.lit(floor)) for x in "ab")
     return c.select(*by, ((q - p) * F.log(q / p)).alias("d")).groupBy(*by).agg(F.sum("d").alias("psi"))
 
 

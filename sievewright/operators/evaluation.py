@@ -134,13 +134,15 @@ def total_variation(df: DataFrame, value: str, first: Column) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks, from counts by distinct value."""
+    """Correlation of average ranks, from counts by distinct value; null if one side does not vary."""
 
     def ranks(c: str) -> DataFrame:
         at = below(df.groupBy(F.col(c).alias(c)).agg(F.count(F.lit(1)).alias("n")), c, ["n"])
         return at.select(c, (F.col("below_n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
-    return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
+    a, b = f"rank_{x}", f"rank_{y}"
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return df.join(ranks(x), x).join(ranks(y), y).agg(F.when(varies, F.corr(a, b)).alias("spearman"))
 
 
 def close_agreement(df: DataFrame, a: Column, b: Column, share: float = 0.01) -> DataFrame:

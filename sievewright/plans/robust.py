@@ -37,11 +37,16 @@ def extractor_parity(spark, d):
     return robustness.parity(side(0), side(1), "k", ["n", "spend", "items"], 0.1).withColumns({"exact": F.round("exact", 9), "close": F.round("close", 9)})
 
 
-@query("""WITH c AS (SELECT len(regexp_extract_all(html, 'https?://')) AS a, len(regexp_extract_all(html, '(?i)href=')) AS b FROM pages)
-SELECT round(avg((a = b)::INT), 9) AS exact, round(avg((abs(a - b) <= 0.01 * greatest(a, b))::INT), 9) AS close FROM c""")
+@query("""WITH c AS (SELECT len(regexp_extract_all(html, '(?i)<p')) AS a, len(regexp_extract_all(html, '[.] ')) AS b FROM pages), t AS (SELECT unnest([a, b]) AS v, unnest([1, 0]) AS side FROM c),
+s AS (SELECT v, sum(side) / (SELECT count(*) FROM c) AS p, sum(1 - side) / (SELECT count(*) FROM c) AS q FROM t GROUP BY v),
+k AS (SELECT a, b, row_number() OVER (ORDER BY a) AS i, row_number() OVER (ORDER BY b) AS j FROM c), r AS (SELECT avg(i) OVER (PARTITION BY a) AS x, avg(j) OVER (PARTITION BY b) AS y FROM k)
+SELECT round(avg((a = b)::INT), 9) AS exact, round(avg((abs(a - b) <= 0.01 * greatest(a, b))::INT), 9) AS close, round((SELECT sum(abs(p - q)) / 2 FROM s), 9) AS total_variation, round((SELECT corr(x, y) FROM r), 9) AS spearman FROM c""")
 def definition_parity(spark, d):
-    c = table(spark, d, "pages").select(F.regexp_count("html", F.lit("https?://")).alias("a"), F.regexp_count("html", F.lit("(?i)href=")).alias("b"))
-    return evaluation.close_agreement(c, F.col("a"), F.col("b")).select(F.round("exact", 9).alias("exact"), F.round("close", 9).alias("close"))
+    """Two definitions of a count on the same pages: agreement, total variation of their distributions, correlation of ranks."""
+    c = table(spark, d, "pages").select(F.regexp_count("html", F.lit("(?i)<p")).alias("a"), F.regexp_count("html", F.lit("[.] ")).alias("b"))
+    sides = c.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(True).alias("first")), F.struct(F.col("b").alias("v"), F.lit(False).alias("first")))).alias("s")).select("s.*")
+    one = evaluation.close_agreement(c, F.col("a"), F.col("b")).withColumns({"total_variation": evaluation.total_variation(sides, "v", F.col("first")).scalar(), "spearman": evaluation.spearman(c, "a", "b").scalar()})
+    return one.select(*(F.round(x, 9).alias(x) for x in ("exact", "close", "total_variation", "spearman")))
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -76,11 +81,15 @@ def paired_bootstrap_diff(spark, d):
     return r.select(*(F.round(c, 9).alias(c) for c in ("difference", "low", "high")))
 
 
-@query(f"""WITH {_LONG}, {_psi('feature', 'ref')}, s4 AS (SELECT feature, 1e-3 AS floor, p, q FROM s)
+_FLOORS = [1e-5, 1e-4, 1e-3, 1e-2]
+
+
+@query(f"""WITH {_LONG}, {_psi('feature', 'ref')}, raw AS (SELECT feature, bin, coalesce(a, 0) / sum(coalesce(a, 0)) OVER (PARTITION BY feature) AS p, coalesce(b, 0) / sum(coalesce(b, 0)) OVER (PARTITION BY feature) AS q FROM bins LEFT JOIN c USING (feature, bin)),
+s4 AS (SELECT raw.*, unnest({_FLOORS})::DOUBLE AS floor FROM raw)
 SELECT feature, floor, round(sum((greatest(q, floor) - greatest(p, floor)) * ln(greatest(q, floor) / greatest(p, floor))), 9) AS psi FROM s4 GROUP BY ALL""")
 def psi_floor_sensitivity(spark, d):
     v = _long(spark, d)
-    return drift.psi(v, F.col("ref"), drift.psi_bins(v.filter("ref")), floor=1e-3).select("feature", F.lit(1e-3).alias("floor"), F.round("psi", 9).alias("psi"))
+    return drift.psi_by_floor(v, F.col("ref"), drift.psi_bins(v.filter("ref")), _FLOORS).select("feature", "floor", F.round("psi", 9).alias("psi"))
 
 
 @query("""WITH m AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 1) SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM m)""")

@@ -138,3 +138,40 @@ def test_donors_are_fixed(spark):
     t, d = spark.createDataFrame([(k,) for k in range(50)], "k long"), spark.createDataFrame([(k, k * 2) for k in range(7)], "k long, v long")
     pick = lambda: {r["k"]: r["donor"]["v"] for r in robustness.with_donors(t, d, "k", 1).collect()}
     assert len(pick()) == 50 and pick() == pick() and len(set(pick().values())) > 3
+
+
+def test_streams_by_digest_and_by_folder(spark, tmp_path):
+    from sievewright.streaming import monitor
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.exe").write_bytes(corpus.sample("benign", 3))
+    (tmp_path / "in/b.exe").write_bytes(b"MZ")
+    got = []
+    q = monitor.watch(spark, f"{tmp_path}/in", lambda df, _: got.extend(df.select(F.col("report").isNull().alias("bad")).collect()), f"{tmp_path}/state")
+    q.awaitTermination()
+    assert sorted(r["bad"] for r in got) == [False, True]
+    spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("x", "2024-01-01 01:00:00"), ("y", "2024-01-01 02:00:00")], "sha256 string, t string").selectExpr("sha256", "CAST(t AS TIMESTAMP) AS seen_at").write.parquet(f"{tmp_path}/seen")
+    stream = spark.readStream.schema("sha256 string, seen_at timestamp").parquet(f"{tmp_path}/seen")
+    first = []
+    monitor.first_seen(stream).writeStream.foreachBatch(lambda df, _: first.extend(r["sha256"] for r in df.collect())).option("checkpointLocation", f"{tmp_path}/seenstate").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(first) == ["x", "y"]
+
+
+def test_small_operators(spark):
+    from sievewright.functions import rule_text
+    from sievewright.operators import drift
+    from sievewright.sources import pe, records
+
+    df = spark.createDataFrame([(k, k >= 8) for k in range(10)], "k int, extreme boolean")
+    assert evaluation.monte_carlo_p(df, F.col("extreme")).first()["p"] == pytest.approx(3 / 11)
+    r = lambda names: spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "feature string, rank int")
+    assert [x["feature"] for x in drift.top_overlap([r("abc"), r("bca"), r("bac")], 2).collect()] == ["b"]
+    atoms = spark.createDataFrame([([("imp", "k.dll", "F"), ("sec", "x", None), ("hash", "ab", None)],)], "atoms array<struct<kind:string,a:string,b:string>>")
+    text = atoms.select(rule_text.structural(F.lit("a b"), F.col("atoms"), F.lit("2")).alias("t")).first()["t"]
+    assert text.startswith("rule a_b\n") and "2 of (" in text and 'pe.imports("k.dll", "F")' in text and 'pe.imphash() == "ab"' in text
+    rec = records.from_reports(pe.dissected(corpus.corpus(spark, 1))).select(records.reduced(F.col("record")).alias("r")).schema["r"].dataType
+    assert "histogram" not in rec.names and "printabledist" not in rec["strings"].dataType.names
+    with pytest.raises(Exception, match="no strings"):
+        rule_text.parsed(spark, {"none": "rule none {\n condition: all of them\n}"}).collect()
+    many = 'rule m {\n strings:\n $a = "one"\n' + " " * 9_000 + '$b = "long line"\n $c = "t\\"wo" nocase\n condition: any of them\n}'
+    assert rule_text.parsed(spark, {"m": many}).first()[1:] == (1, ["one", 't"wo'])
