@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievewright.llm import byte_bpe, exact_dedup, minhash, mixing, quality_rules
-from sievewright.llm.common import cut, table
+from sievewright.llm.common import cut, discard, passing, table
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        # What a stage wrote on its way goes when its rows are written, and these go when the next stage's are.
+        with passing() as stay:
+            kept = cut(stage(spark, docs, sf_dir))
+            stay.append(kept)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
