@@ -139,3 +139,33 @@ def test_raw_records_and_second_format(spark, tmp_path):
     assert r["header"]["coff"]["machine"] == "AMD64" and r["header"]["optional"]["magic"] == "PE32_PLUS" and r["general"]["vsize"] == 9 and r["general"]["has_signature"] == 1
     assert r["imports"][0]["functions"] == ["ordinal3", "y"] and r["datadirectories"][0]["name"] == "CERTIFICATE_TABLE" and len(r["histogram"]) == 256
     assert features.named_features(records.from_v3(df).select(F.struct("*").alias("record"))).count() == 1
+
+
+def test_features_equal_plain_formulas(spark):
+    """Features of every file of the corpus, and blocks of its vector, from the bytes and the report in plain Python."""
+    t = records.from_reports(pe.dissected(corpus.corpus(spark, 1))).cache()
+    got = {r["path"]: r for r in features.named_features(t, "record", "path").collect()}
+    vectors = {r["path"]: r["vector"] for r in hashing.hashed_vectors(t, "record", ["path"]).collect()}
+    plain = lambda n: (lambda x: "nt" + x[2:].lower() if x.startswith("Zw") else x.lower())(n[:-1] if n[-1:] in "AW" else n)
+    for row in t.select("path", "content").collect():
+        data, f, v = bytes(row["content"]), got[row["path"]], vectors[row["path"]]
+        r, secs = pe.dissect(data), pe.dissect(data)["sections"]
+        counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        share = counts[counts > 0] / len(data)
+        names = [n for i in r["imports"] for n in i["functions"]]
+        norm = {plain(n) for n in names}
+        runs = re.findall(rb"[\x20-\x7f]{5,}", data)
+        ents = [s["entropy"] for s in secs if s["raw_size"]] or [0.0]
+        x, w = 0x20000000, 0x80000000
+        want = {
+            "size_kb": len(data) / 1024, "file_entropy": -(share * np.log2(share)).sum(), "n_sections": len(secs), "max_section_entropy": max(ents), "mean_section_entropy": sum(ents) / len(ents),
+            "min_section_entropy": min(ents), "n_wx_sections": sum(bool(s["characteristics"] & x and s["characteristics"] & w) for s in secs), "n_exec_sections": sum(bool(s["characteristics"] & x) for s in secs),
+            "n_dlls": len(r["imports"]), "n_imports": len(names), "n_exports": len(r["exports"]), "imports_tiny": len(names) <= 5, "is_dll": r["is_dll"], "is_x64": r["pe32plus"],
+            "aslr": bool(r["dll_characteristics"] & 0x40), "dep": bool(r["dll_characteristics"] & 0x100), "code_ratio": r["header"]["sizeof_code"] / len(data), "vsize_to_size": r["size_of_image"] / len(data),
+            "n_strings": len(runs), "avg_string_len": sum(map(len, runs)) / max(1, len(runs)), "n_embedded_mz": data.count(b"MZ"), "printable_ratio": sum(map(len, runs)) / len(data),
+            "packer_section_name": any(s["name"].lower() in fixed.PACKER_SECTIONS for s in secs), "timestamp_suspicious": not 788918400 <= r["timestamp"] <= 1893456000,
+            **{f"api_{k}": len(norm & {plain(n) for n in g}) for k, g in fixed.API_GROUPS.items()},
+        }
+        for k, y in want.items():
+            assert abs(f[k] - float(y)) < 1e-9, (row["path"], k, f[k], y)
+        assert np.allclose(v[:256], counts / len(data)) and np.allclose(v[256:512], pe.byte_entropy(np.frombuffer(data, np.uint8)) / max(1, pe.byte_entropy(np.frombuffer(data, np.uint8)).sum()))
