@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, likely_rows, meet, packed, passing, row_key, rows_with, rows_without, table, unpacked
+from .common import FILTER_BITS, cut, discard, likely_rows, meet, packed, passing, row_key, rows_with, rows_without, table, unpacked
 
 #: Bits of a fingerprint. Of n documents one has a namesake by chance with odds of n in 3 x 10^14; that costs a look at its bytes, no error.
 BITS = 48
@@ -135,7 +135,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         marked = cut(digests.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_mark, f"doc_id {kind}, sha binary, suspect boolean"))
         discard(written)
         suspects = cut(marked.filter("suspect").select("doc_id").distinct())
-        texts = rows_with(docs.select("doc_id", "text"), "doc_id", suspects)
+        # A row that only seems a suspect costs its text's way and changes nothing, so while the filter lets few such rows through, no exact join is needed.
+        chosen = likely_rows if suspects.count() <= FILTER_BITS // 32 else rows_with
+        texts = chosen(docs.select("doc_id", "text"), "doc_id", suspects)
         verified = texts.select("doc_id", normalised(F.col("text")).alias("norm")).groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         groups = cut(verified.select(F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)).alias("sha"), "keep_id", "group_size"))
         stay += [marked, groups]
