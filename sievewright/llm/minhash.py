@@ -232,7 +232,7 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, l
     def tied(groups: DataFrame, name: str, edges: DataFrame) -> DataFrame:
         """``groups`` (rid, name) with groups that ``edges`` between members' groups connect made one, by their smallest name."""
         merged = components(edges).toDF(name, "to")
-        sizes = groups.groupBy(name).agg(F.count(F.lit(1)).alias("of")).join(merged, name)
+        sizes = groups.groupBy(name).agg(F.count(F.lit(1)).alias("of")).join(merged, name, "left")
         return cut(meet(groups, sizes, name, "of", "left").select("rid", F.coalesce("to", name).alias(name)))
 
     def against_head(rows: DataFrame, *of: str) -> DataFrame:
