@@ -30,20 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, cut, passing, table
-from .pieces import CACHE_ENTRIES, Generations, regular
+from .pieces import Generations, regular
 
 #: Words of the corpus's table, at most, and characters of one: with 4 bytes a character and an id a byte, under 350 MB in theory, some 10 MB in fact.
 VOCABULARY, LONGEST = 1 << 18, 64
+#: Distinct words whose counts a task holds before it hands them on.
+COUNTED = 100_000
 #: Entries of each generation of a worker's own caches, for words that the corpus's table doesn't have.
 OWN_ENTRIES = 50_000
 #: Bytes of a piece that is replayed together with all others.
 SHORT = 256
 #: No rank: larger than any.
 _NONE = 1 << 40
-#: Bytes of text that are encoded together.
-BLOCK = 1 << 22
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -272,12 +270,20 @@ def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
 _encoder: list = [None, None]
 
 
+def _as_stream(table: pa.Table) -> bytes:
+    """A table as one stream of bytes: the driver makes no Python object of any row."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def _encoder_of(path: str, pattern: str, shared: Broadcast) -> MergeReplay:
-    words, data, sizes = shared.value
-    key = path, pattern, len(words), hashlib.sha256(data).digest()
+    stream = shared.value
+    key = path, pattern, hashlib.sha256(stream).digest()
     if _encoder[0] != key:
-        ends = np.cumsum(sizes).tolist()
-        _encoder[:] = key, MergeReplay(_ranks(path), pattern, ready={w: data[b - n : b] for w, n, b in zip(words, sizes, ends)})
+        words = pa.ipc.open_stream(stream).read_all()
+        _encoder[:] = key, MergeReplay(_ranks(path), pattern, ready=dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist())))
     return _encoder[1]
 
 
@@ -295,7 +301,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-        for batch in blocks(batches, size=BLOCK):
+        for batch in blocks(batches):
             parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), " ")
             inside = np.ones(len(parts.flatten()), bool)
             inside[parts.offsets.to_numpy()[:-1]] = False
@@ -303,7 +309,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for w, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist()):
                 if len(w) <= LONGEST:
                     held[w] += n
-            if len(held) > CACHE_ENTRIES:
+            if len(held) > COUNTED:
                 yield out()
                 held.clear()
         if held:
@@ -317,8 +323,9 @@ def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(_ranks(ranks_path), pattern)
-        words = [w for b in batches for w in b.column("word").to_pylist() if regular(w)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(replay.of_words(words), pa.binary())], ["word", "ids"])
+        for batch in batches:
+            words = [w for w in batch.column("word").to_pylist() if regular(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(replay.of_words(words), pa.binary())], ["word", "ids"])
 
     with passing():
         counts = cut(word_counts(docs, text).filter("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
@@ -338,13 +345,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     keep = ["doc_id"] if keep is None else keep
     chosen = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("binary").alias("text"))
     names = [f"k{i}" for i in range(len(keep))]
-    words = encoded_words(docs, ranks_path, pattern, text)
-    data = words.column("ids").to_pylist()
-    shared = docs.sparkSession.sparkContext.broadcast((words.column("word").to_pylist(), b"".join(data), list(map(len, data))))
+    shared = docs.sparkSession.sparkContext.broadcast(_as_stream(encoded_words(docs, ranks_path, pattern, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _encoder_of(ranks_path, pattern, shared)
-        for batch in blocks(batches, size=BLOCK):
+        for batch in blocks(batches):
             flat, at = replay.flat([x.decode("utf-8", "replace") for x in as_bytes(batch)])
             back, places = replay.flat_decoded(flat, at)
             spans = lambda values, p: [values[a:b] for a, b in zip(p[:-1].tolist(), p[1:].tolist())]
