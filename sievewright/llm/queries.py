@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, quality_rules, token_counts
+from . import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, quality_rules, repair, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_structure_repair": repair.op11_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_perspectives": chat.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_structure_repair": repair.OP11_SQL,
 }
