@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 1. Spark counts the corpus's words (runs between single spaces) and picks the ``VOCABULARY`` most frequent that occur again.
-2. Merges are replayed on that table of distinct words, once for the corpus: all pieces of a task's words lie end to end in one array of symbols, and
-   an inverted index keeps, for each adjacent pair that has a rank, the places where it stands. Ranks are applied in order: the lowest pair is
-   merged at all of its places, and only the neighbours of touched places enter the index. A merge can create a pair of
-   lower rank in its own piece; the piece's other places then wait until that one is done, as they would piece by piece.
+2. Merges are replayed on that table of distinct words, once for the corpus: all pieces of a task's words lie end to end in one array of symbols. An
+   inverted index keeps the places of all adjacent pairs that have a rank, sorted by rank, and is worked off from the lowest ranks up; only the
+   neighbours of touched places enter it again (``MergeReplay.replay``). A merge can create a pair of lower rank in its own piece; that one then goes first, and
+   the piece's other places wait.
 3. The encoded words, bounded in number and length, are broadcast. Texts are encoded by looking words up; words beyond the table
    are replayed where they stand, all new ones of a block together. So the table never changes a result.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,222 +30,231 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, cut, passing, table
-from .pieces import Generations, regular
+from .pieces import regular
+from .token_counts import byte_symbols
 
 #: Words of the corpus's table, at most, and characters of one: with 4 bytes a character and an id a byte, under 350 MB in theory, some 10 MB in fact.
 VOCABULARY, LONGEST = 1 << 18, 64
 #: Distinct words whose counts a task holds before it hands them on.
 COUNTED = 100_000
-#: Entries of each generation of a worker's own caches, for words that the corpus's table doesn't have.
-OWN_ENTRIES = 50_000
-#: Bytes of a piece that is replayed together with all others.
-SHORT = 256
+#: Bytes of text that are encoded at a time, and words replayed at a time: the table's words of a task are, all at once, for tables of that size.
+ENCODED_BYTES, REPLAYED = 1 << 21, 100_000
 #: No rank: larger than any.
-_NONE = 1 << 40
+_NONE_BITS = 1 << 24
+_NONE = _NONE_BITS - 1
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class MergeReplay:
-    """Encodes texts by a table of ranks, all new pieces of a block together. ``ready``: encoded words of the corpus."""
+class Merges:
+    """Tokens and the pairs that merge, with the merged token's id as rank: ``pairs`` sorted, ``merged`` beside it."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = OWN_ENTRIES, ready: dict[str, bytes] | None = None):
-        self.ranks, self.find, self.ready = ranks, regex.compile(pattern).findall, ready or {}
-        self.token = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            self.token[r] = t
-        self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
-        self.token_size = np.fromiter(map(len, self.token), np.int64, len(self.token))
+    def __init__(self, token: list[bytes], single: list[int], every: dict[tuple[int, int], int]):
+        self.width = len(token)
+        self.token_bytes = np.frombuffer(b"".join(token), np.uint8)
+        self.token_size = np.fromiter(map(len, token), np.int64, len(token))
         self.token_start = np.cumsum(self.token_size) - self.token_size
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.single_of = np.array(self.single)
-        self.pair: dict[int, int] = {}
-        every = {ranks[t[:k]] * len(self.token) + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.pairs = np.array(sorted(every), np.int64)
-        self.merged = np.array([every[k] for k in self.pairs.tolist()], np.int64)
-        self.words, self.known = Generations(entries), Generations(entries)
-
-    def _rank(self, a: int, b: int) -> int:
-        """Rank of the pair, which is also the id of the merged token; -1 without one."""
-        key = a << 32 | b
-        r = self.pair.get(key)
-        if r is None:
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            r = self.pair[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def replay(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        short = [p for p in pieces if len(p) <= SHORT]
-        if len(short) == len(pieces):
-            return self._replay_together(pieces)
-        done, rest = iter(self._replay_together(short)), iter(self._replay_indexed([p for p in pieces if len(p) > SHORT]))
-        return [next(done if len(p) <= SHORT else rest) for p in pieces]
-
-    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of adjacent pairs, each distinct pair looked up once for all of its places."""
-        pairs, places = np.unique(a * len(self.token) + b, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == pairs, self.merged[at], _NONE)[places]
-
-    def _replay_together(self, pieces: list[bytes]) -> list[bytes]:
-        """All pieces at once: a step applies each piece's lowest-ranked pair (its first place), and only the two pairs around it get new ranks.
-
-        Pieces don't touch each other, so this is the order of ranks within every piece. Pieces that are done leave when they are half of all.
+        self.single_of = np.array(single, np.int32)
+        self._slots(np.array([a * self.width + b for a, b in every], np.int64), np.array(list(every.values()), np.int64))
+        #: Ranks after whose merge a pair of lower rank can stand beside it.
+        self.unruly = np.zeros(self.width, bool)
+        for side in (self.key // self.width, self.key % self.width):
+            self.unruly[side[(self.key >= 0) & (self.rank < side)]] = True
+
+    def _slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """Pairs in a table with open slots, at most an eighth of them taken; a pair is at its slot or in the run that follows."""
+        self.shift = 64 - max(10, (8 * len(keys)).bit_length())
+        self.key, self.rank = np.full(1 << (64 - self.shift), -1, np.int64), np.full(1 << (64 - self.shift), _NONE, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.key[slot] < 0)
+            taken, which = np.unique(slot[free], return_index=True)
+            self.key[taken], self.rank[taken] = keys[free[which]], ranks[free[which]]
+            left = np.ones(len(keys), bool)
+            left[free[which]] = False
+            keys, ranks, slot = keys[left], ranks[left], (slot[left] + 1) % len(self.key)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        # Fixed value: 2^64 over the golden ratio, for multiplicative hashing.
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    @classmethod
+    def from_ranks(cls, path: str) -> Merges:
+        """Of a file of ranks: any two neighbours merge whose bytes together have a rank."""
+        ranks = read_ranks(path)
+        token = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            token[r] = t
+        every = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        return cls(token, [ranks[bytes([b])] for b in range(256)], every)
+
+    @classmethod
+    def from_json(cls, path: str) -> Merges:
+        """Of a byte-level BPE tokenizer file: the pairs that it lists merge, in their order, which must be that of the merged tokens' ids."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, byte = spec["model"]["vocab"], {c: b for b, c in byte_symbols().items()}
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+        every: dict[tuple[int, int], int] = {}
+        for a, b in pairs:
+            every.setdefault((vocab[a], vocab[b]), vocab[a + b])
+        if list(every.values()) != sorted(every.values()):
+            raise ValueError("merges in the order of their tokens' ids are needed")
+        token = [b""] * (max(vocab.values()) + 1)
+        for t, r in vocab.items():
+            token[r] = bytes(byte[c] for c in t) if all(c in byte for c in t) else b""
+        return cls(token, [vocab[c] for _, c in sorted(byte_symbols().items())], every)
+
+    def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of adjacent symbols; ``_NONE`` without one, or beside a wall (-1)."""
+        keys = a.astype(np.int64) * self.width + b
+        slot = self._slot(keys)
+        found, out = self.key[slot], self.rank[slot]
+        out[(found != keys) | (b < 0)] = _NONE
+        far = np.flatnonzero((found != keys) & (found >= 0) & (b >= 0))
+        slot = slot[far]
+        while len(far):
+            slot = (slot + 1) % len(self.key)
+            found, hit = self.key[slot], self.key[slot] == keys[far]
+            out[far[hit]] = self.rank[slot[hit]]
+            on = ~hit & (found >= 0)
+            far, slot = far[on], slot[on]
+        return out
+
+
+class MergeReplay:
+    """Encodes texts by a table of merges, all new pieces of a block together. ``ready``: encoded words of the corpus, columns word and ids."""
+
+    def __init__(self, merges: Merges, pattern: str, ready: pa.Table | None = None):
+        self.merges, self.find = merges, regex.compile(pattern).findall
+        ready = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())}) if ready is None else ready.combine_chunks()
+        self.ready, ids = (pa.concat_arrays(ready.column(c).chunks) if ready.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary())))
+        self.ready_size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        self.ready_ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+
+    def replay(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, given as the bytes' symbols end to end and each piece's number of bytes: ids end to end, each piece's number of them.
+
+        Bytes are linked to their neighbours. The inverted index holds the places of all pairs that have a rank, sorted by rank; it is
+        taken in bands of ranks from the lowest up, all places of a band at once. Inside a band every piece applies its lowest rank first, at all of its places from
+        the left, and only the two pairs around a merged place are ranked anew and enter the index: this band if their rank is in it or below, or a later one.
+        Pieces don't touch each other, so each sees its merges in rank order, whatever the width of bands; long pieces have narrow ones, which hold few of their places.
         """
-        symbols = self.single_of[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        rank = np.full(len(symbols), _NONE)
-        inner = np.flatnonzero(owner[:-1] == owner[1:])
-        rank[inner] = self._ranks_of(symbols[inner], symbols[inner + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbols):
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            size = np.diff(np.append(first, len(owner)))
-            lowest = np.minimum.reduceat(rank, first)
-            live = lowest < _NONE
-            if 2 * live.sum() <= len(live):
-                stay = np.repeat(live, size)
-                done.append((owner[~stay], symbols[~stay]))
-                symbols, owner, rank = symbols[stay], owner[stay], rank[stay]
-                first, size = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]), size[live]
-                lowest = lowest[live]
-                if not len(symbols):
+        m, n = self.merges, len(symbols)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(len(sizes), np.int64)
+        symbol = np.append(symbols, np.int32(-1)).astype(np.int32)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        stops = np.cumsum(sizes[sizes > 0])
+        after[stops - 1] = before[np.concatenate([[0], stops[:-1]])] = n
+        rank = np.append(m.of_pairs(symbol[:n], symbol[after[:n]]), np.int32(_NONE))
+        band = int(max(32, min(4096, (1 << 25) // sizes.max())))
+        index = np.flatnonzero(rank < _NONE).astype(np.int32)
+        index = index[np.argsort(rank[index], kind="stable")]
+        edges = np.searchsorted(rank[index], np.arange(0, m.width + band, band))
+        later = np.zeros(0, np.int32)
+        for k, edge in enumerate(range(band, m.width + band, band)):
+            due = rank[later] < edge
+            waiting, later = np.concatenate([index[edges[k] : edges[k + 1]], later[due]]), [later[~due]]
+            while True:
+                # A place whose pair is gone or has another rank now was entered anew with that one.
+                waiting = np.sort(waiting[rank[waiting] < edge])
+                if not len(waiting):
                     break
-            at = np.flatnonzero((rank == np.repeat(lowest, size)) & (rank < _NONE))
-            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
-            symbols[at] = rank[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
-            at -= np.arange(len(at))
-            around = np.concatenate([at, at[at > 0] - 1])
-            rank[around] = _NONE
-            around = around[around + 1 < len(owner)]
-            around = around[owner[around] == owner[around + 1]]
-            rank[around] = self._ranks_of(symbols[around], symbols[around + 1])
-        owner = np.concatenate([o for o, _ in done]) if done else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        ids = np.concatenate([x for _, x in done])[order].astype("<u4").tobytes() if done else b""
-        ends = (np.cumsum(np.bincount(owner, minlength=len(pieces))) * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _replay_indexed(self, pieces: list[bytes]) -> list[bytes]:
-        """The same for long pieces, in which a step for each merge would be too many: by an index of places and a heap of ranks."""
-        n = sum(map(len, pieces)) + len(pieces)
-        single, rank, pair = self.single, self._rank, self.pair
-        sym: list[int] = []
-        word: list[int] = []
-        for k, p in enumerate(pieces):
-            sym += [single[b] for b in p]
-            sym.append(-1)
-            word += [k] * (len(p) + 1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = sym[i], sym[i + 1]
-            if a >= 0 and b >= 0:
-                r = pair.get(a << 32 | b)
-                if r is None:
-                    r = rank(a, b)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-        heap = list(index)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
-                continue
-            places.sort()
-            held: dict[int, None] = {}
-            waiting: list[int] = []
-            for i in places:
-                a, j = sym[i], after[i]
-                if a < 0 or j >= n or (b := sym[j]) < 0 or rank(a, b) != r:
-                    continue
-                if word[i] in held:
-                    waiting.append(i)
-                    continue
-                sym[i], sym[j] = r, -2
-                k = after[i] = after[j]
-                before[k if k < n else j] = i
-                for x, y in ((before[i], i), (i, k)):
-                    if x >= 0 and y < n and (u := sym[x]) >= 0 and (v := sym[y]) >= 0:
-                        q = pair.get(u << 32 | v)
-                        if q is None:
-                            q = rank(u, v)
-                        if q >= 0:
-                            if q < r:
-                                held[word[i]] = None
-                            if q in index:
-                                index[q].append(x)
-                            else:
-                                index[q] = [x]
-                                heapq.heappush(heap, q)
-            if waiting:
-                if r in index:
-                    index[r] += waiting
-                else:
-                    index[r] = waiting
-                    heapq.heappush(heap, r)
-        flat = np.array(sym, np.int64)
-        ends = np.flatnonzero(flat == -1)
-        keep = flat >= 0
-        packed = flat[keep].astype("<u4").tobytes()
-        stop = (np.cumsum(keep)[ends] * 4).tolist()
-        return [packed[s:e] for s, e in zip([0, *stop], stop)]
-
-    def _packed(self, parts: list[list[str]]) -> list[bytes]:
-        """Ids of lists of pieces; pieces not seen before are replayed together."""
-        new = self.known.missing({p for pieces in parts for p in pieces})
-        known = self.known.young
-        known.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in parts]
-
-    def of_words(self, words: list[str]) -> list[bytes | None]:
-        """Ids of words that follow a space; None for a word that needs its neighbours (it touches other white space)."""
-        ready = self.ready
-        new = self.words.missing([w for w in words if w not in ready])
-        known, ok = self.words.young, [w for w in new if regular(w)]
-        known.update(dict.fromkeys(new))
-        known.update(zip(ok, self._packed([self.find(" " + w) for w in ok]), strict=True))
-        return [ready[w] if w in ready else known[w] for w in words]
+                waiting = waiting[np.append(True, waiting[1:] != waiting[:-1])]
+                own = rank[waiting]
+                first = _begins(owner[waiting])
+                chosen = own == np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
+                at = self._unruled(self._apart(waiting[chosen], after), symbol, rank, owner, after, before)
+                gone = after[at]
+                symbol[at], symbol[gone], rank[gone] = rank[at], -2, _NONE
+                after[at] = after[gone]
+                before[after[at]] = at
+                left = before[at]
+                touched = np.concatenate([at, left[left < n]])
+                now = rank[touched] = m.of_pairs(symbol[touched], symbol[after[touched]])
+                waiting = np.concatenate([waiting, touched[now < edge]])
+                later.append(touched[(now >= edge) & (now < _NONE)])
+            later = np.concatenate(later)
+            later = later[rank[later] < _NONE]
+        stays = symbol[:n] >= 0
+        return symbol[:n][stays].astype("<u4"), np.bincount(owner[stays], minlength=len(sizes))
+
+    @staticmethod
+    def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of places that overlap, every other one from the left."""
+        begins = np.append(True, at[1:] != after[at[:-1]])
+        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+        return at[nth % 2 == 0]
+
+    def _unruled(self, at: np.ndarray, symbol: np.ndarray, rank: np.ndarray, owner: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Each piece's places up to the first whose merge lets a pair of lower rank stand beside it: that one goes first then."""
+        r = rank[at]
+        if not self.merges.unruly[r].any():
+            return at
+        beside = np.append(False, at[1:] == after[after[at[:-1]]])
+        left, right = np.where(beside, r, symbol[before[at]]), symbol[after[after[at]]]
+        low = np.minimum(np.where(left < 0, _NONE, self.merges.of_pairs(left, r)), self.merges.of_pairs(r, right)) < r
+        earlier, first = np.cumsum(low) - low, _begins(owner[at])
+        return at[earlier == np.repeat(earlier[first], np.diff(np.append(first, len(at))))]
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each distinct one replayed once: ids end to end, each piece's number of them."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        raw = coded.dictionary.cast(pa.binary())
+        text = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+        ids, sizes = self.replay(self.merges.single_of[text], pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[code], sizes[code]), sizes[code]
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of regular words that follow a space: ids end to end, each word's number of them.
+
+        Such words never meet in a piece, so they are matched all at once; the piece that begins with a space is a word's first.
+        """
+        pieces = self.find(" " + " ".join(words)) if words else []
+        ids, sizes = self._ids(pieces)
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        return ids, np.add.reduceat(sizes, first) if words else sizes
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more at the end).
 
         A single space between two characters that are no white space always begins a piece, so texts are cut there and each distinct word is
-        looked up once. A text in which words touch other white space is matched as a whole.
+        looked up once in the corpus's table or replayed. A text in which words touch other white space is matched as a whole.
         """
         parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
         coded = parts.flatten().dictionary_encode()
-        words, code, first = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
-        values = self.of_words(words)
-        odd = np.fromiter((v is None for v in values), bool, len(values))
+        words, code, first = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
+        place = pc.fill_null(pc.index_in(words, value_set=self.ready), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = np.flatnonzero(place < 0)
+        missing = words.take(pa.array(rare)).to_pylist()
+        fit = np.fromiter(map(regular, missing), bool, len(missing))
+        odd = np.zeros(len(words), bool)
+        odd[rare[~fit]] = True
+        rare_ids, rare_sizes = self.of_words([w for w, f in zip(missing, fit.tolist()) if f])
+        place[rare[fit]] = len(self.ready) + np.arange(fit.sum())
         several = np.diff(first) > 1
         inside = np.ones(len(code), bool)
         inside[first[:-1]] = False
         plain = np.logical_or.reduceat(odd[code] & inside, first[:-1]) if len(texts) else np.zeros(0, bool)
-        heads = [words[c] for c in code[first[:-1]]]
+        heads = words.take(pa.array(code[first[:-1]])).to_pylist()
         plain |= several & np.fromiter((not h or h[-1].isspace() for h in heads), bool, len(heads))
         # Each text's first entry is its head, or all of it; then the others' entries, or nothing.
-        own = self._packed([self.find(t if p else h) for t, h, p in zip(texts, heads, plain.tolist(), strict=True)])
-        table = [v or b"" for v in values] + own + [b""]
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        found = [self.find(t if p else h) for t, h, p in zip(texts, heads, plain.tolist(), strict=True)]
+        own_ids, each = self._ids([x for f in found for x in f])
+        ends = np.cumsum(np.append(0, each))[np.cumsum([0, *map(len, found)])]
+        sizes = np.concatenate([self.ready_size, rare_sizes, np.diff(ends), [0]])
         starts = np.cumsum(sizes) - sizes
-        entry = code.astype(np.int64)
-        entry[np.repeat(plain, np.diff(first))] = len(table) - 1
-        entry[first[:-1]] = len(values) + np.arange(len(texts))
-        ids = _gathered(np.frombuffer(b"".join(table), "<u4"), starts[entry], sizes[entry])
-        ends = np.concatenate([[0], np.cumsum(sizes[entry])])
-        return ids, ends[first]
+        entry = place[code]
+        entry[np.repeat(plain, np.diff(first))] = len(sizes) - 1
+        entry[first[:-1]] = len(self.ready) + len(rare_sizes) + np.arange(len(texts))
+        ids = _gathered(np.concatenate([self.ready_ids, rare_ids, own_ids]), starts[entry], sizes[entry])
+        return ids, np.concatenate([[0], np.cumsum(sizes[entry])])[first]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids, at = self.flat(texts)
@@ -253,14 +262,19 @@ class MergeReplay:
 
     def flat_decoded(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids end to end, and where those from each place in ``at`` begin."""
-        sizes = self.token_size[ids]
-        return _gathered(self.token_bytes, self.token_start[ids], sizes), np.concatenate([[0], np.cumsum(sizes)])[at]
+        m, sizes = self.merges, self.merges.token_size[ids]
+        return _gathered(m.token_bytes, m.token_start[ids], sizes), np.concatenate([[0], np.cumsum(sizes)])[at]
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4")
         return self.flat_decoded(ids, np.array([0, len(ids)]))[0].tobytes()
 
 
+def _begins(of: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+
+
 def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start : start + size] of all spans, end to end."""
     return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
@@ -282,14 +296,14 @@ def _encoder_of(path: str, pattern: str, shared: Broadcast) -> MergeReplay:
     stream = shared.value
     key = path, pattern, hashlib.sha256(stream).digest()
     if _encoder[0] != key:
-        words = pa.ipc.open_stream(stream).read_all()
-        _encoder[:] = key, MergeReplay(_ranks(path), pattern, ready=dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist())))
+        _encoder[:] = key, MergeReplay(merges_of(path), pattern, ready=pa.ipc.open_stream(stream).read_all())
     return _encoder[1]
 
 
 @functools.cache
-def _ranks(path: str) -> dict[bytes, int]:
-    return read_ranks(path)
+def merges_of(path: str) -> Merges:
+    """The merges of a tokenizer's file, once for each worker."""
+    return Merges.from_json(path) if path.endswith(".json") else Merges.from_ranks(path)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -322,10 +336,19 @@ def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     """word, ids of the ``most`` most frequent words at most (ties at the edge stay out) that occur twice or more, replayed in Spark tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(_ranks(ranks_path), pattern)
+        replay, held = MergeReplay(merges_of(ranks_path), pattern), []
+
+        def out() -> pa.RecordBatch:
+            ids, sizes = replay.of_words(held)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], ["word", "ids"])
+
         for batch in batches:
-            words = [w for w in batch.column("word").to_pylist() if regular(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(replay.of_words(words), pa.binary())], ["word", "ids"])
+            held += [w for w in batch.column("word").to_pylist() if regular(w)]
+            if len(held) >= REPLAYED:
+                yield out()
+                held = []
+        yield out()
 
     with passing():
         counts = cut(word_counts(docs, text).filter("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
@@ -349,7 +372,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = _encoder_of(ranks_path, pattern, shared)
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=ENCODED_BYTES):
             flat, at = replay.flat([x.decode("utf-8", "replace") for x in as_bytes(batch)])
             back, places = replay.flat_decoded(flat, at)
             spans = lambda values, p: [values[a:b] for a, b in zip(p[:-1].tolist(), p[1:].tolist())]

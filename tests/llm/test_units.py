@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sievewright.llm import boosting, exact_dedup, language_id, minhash, quality_rules
-from sievewright.llm.byte_bpe import MergeReplay, read_ranks
+from sievewright.llm.byte_bpe import MergeReplay, Merges, read_ranks
 from sievewright.llm.hashing import Block
 from sievewright.llm.token_counts import HeapMerger
 
@@ -26,7 +26,7 @@ def heap():
 
 @pytest.fixture(scope="module")
 def replay():
-    return MergeReplay(read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    return MergeReplay(Merges.from_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_tokens_equal_the_libraries(heap, replay, libraries, batch):
 def test_long_runs_and_small_caches(libraries):
     tokenizer, own = libraries
     batch = ["x" * 20_000, "ab" * 3_000, " " * 500, "word " * 2_000, "", "a\n\n b"]
-    heap, replay = HeapMerger(P.path("byte_bpe_50k.json"), entries=3), MergeReplay(read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, entries=3)
+    heap, replay = HeapMerger(P.path("byte_bpe_50k.json"), entries=3), MergeReplay(Merges.from_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     for _ in range(3):
         assert heap.count(batch) == [len(e.ids) for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
         assert [np.frombuffer(p, "<u4").tolist() for p in replay.encode(batch)] == [own.encode_ordinary(t) for t in batch]
