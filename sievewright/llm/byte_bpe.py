@@ -292,7 +292,8 @@ def _as_stream(table: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _encoder_of(path: str, pattern: str, shared: Broadcast) -> MergeReplay:
+def encoder_of(path: str, pattern: str, shared: Broadcast) -> MergeReplay:
+    """This worker's encoder, with the words that ``shared_words`` gave."""
     stream = shared.value
     key = path, pattern, hashlib.sha256(stream).digest()
     if _encoder[0] != key:
@@ -363,15 +364,20 @@ def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
         return chosen.select("word").mapInArrow(run, "word string, ids binary").toArrow()
 
 
+def shared_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> Broadcast:
+    """``encoded_words`` for all executors, as one stream of bytes."""
+    return docs.sparkSession.sparkContext.broadcast(_as_stream(encoded_words(docs, ranks_path, pattern, text)))
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
     """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids (array<int>) and decoded bytes."""
     keep = ["doc_id"] if keep is None else keep
     chosen = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("binary").alias("text"))
     names = [f"k{i}" for i in range(len(keep))]
-    shared = docs.sparkSession.sparkContext.broadcast(_as_stream(encoded_words(docs, ranks_path, pattern, text)))
+    shared = shared_words(docs, ranks_path, pattern, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = _encoder_of(ranks_path, pattern, shared)
+        replay = encoder_of(ranks_path, pattern, shared)
         for batch in blocks(batches, size=ENCODED_BYTES):
             flat, at = replay.flat([x.decode("utf-8", "replace") for x in as_bytes(batch)])
             back, places = replay.flat_decoded(flat, at)

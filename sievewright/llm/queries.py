@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, quality_rules, repair, token_counts
+from . import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, repair, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_structure_repair": repair.op11_structure_repair,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
