@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, repair, token_counts
+from . import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, ranked, repair, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_structure_repair": repair.op11_structure_repair,
     "op12_packing": packing.op12_packing,
+    "op13_ranked_search": ranked.op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_mixing": mixing.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_structure_repair": repair.OP11_SQL,
+    "op13_ranked_search": ranked.OP13_SQL,
 }
