@@ -18,7 +18,6 @@ import base64
 import functools
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from .token_counts import byte_symbols
 #: Words of the corpus's table, at most, and characters of one: with 4 bytes a character and an id a byte, under 350 MB in theory, some 10 MB in fact.
 VOCABULARY, LONGEST = 1 << 18, 64
 #: Distinct words whose counts a task holds before it hands them on.
-COUNTED = 100_000
+COUNTED = 500_000
 #: Bytes of text that are encoded at a time, and words replayed at a time: the table's words of a task are, all at once, for tables of that size.
 ENCODED_BYTES, REPLAYED = 1 << 21, 100_000
 #: No rank: larger than any.
@@ -311,24 +310,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n: how often each word of ``LONGEST`` characters at most follows a single space in all texts; blocks are counted, then their counts added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=ENCODED_BYTES):
             parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), " ")
             inside = np.ones(len(parts.flatten()), bool)
             inside[parts.offsets.to_numpy()[:-1]] = False
             seen = parts.flatten().filter(pa.array(inside)).value_counts()
-            for w, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist()):
-                if len(w) <= LONGEST:
-                    held[w] += n
-            if len(held) > COUNTED:
-                yield out()
-                held.clear()
+            t = pa.table({"word": seen.field(0), "n": seen.field(1)})
+            held.append(t.filter(pc.less_equal(pc.utf8_length(t.column("word")), LONGEST)))
+            if sum(t.num_rows for t in held) > 2 * COUNTED:
+                held = [summed()]
+                if held[0].num_rows > COUNTED:
+                    yield from held[0].to_batches()
+                    held = []
         if held:
-            yield out()
+            yield from summed().to_batches()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
