@@ -32,8 +32,8 @@ from .common import as_bytes, blocks, cut, passing, table
 from .pieces import regular
 from .token_counts import byte_symbols
 
-#: Words of the corpus's table, at most, and characters of one: with 4 bytes a character and an id a byte, under 350 MB in theory, some 10 MB in fact.
-VOCABULARY, LONGEST = 1 << 18, 64
+#: Words of the corpus's table, their bytes and the characters of one, at most. With an id of 4 bytes for each byte the table has 160 MB at most, some 30 MB in fact.
+VOCABULARY, TABLE_BYTES, LONGEST = 1 << 20, 32 << 20, 64
 #: Distinct words whose counts a task holds before it hands them on.
 COUNTED = 500_000
 #: Bytes of text that are encoded at a time, and words replayed at a time: the table's words of a task are, all at once, for tables of that size.
@@ -48,38 +48,103 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Merges:
-    """Tokens and the pairs that merge, with the merged token's id as rank: ``pairs`` sorted, ``merged`` beside it."""
-
-    def __init__(self, token: list[bytes], single: list[int], every: dict[tuple[int, int], int]):
-        self.width = len(token)
-        self.token_bytes = np.frombuffer(b"".join(token), np.uint8)
-        self.token_size = np.fromiter(map(len, token), np.int64, len(token))
-        self.token_start = np.cumsum(self.token_size) - self.token_size
-        self.single_of = np.array(single, np.int32)
-        self._slots(np.array([a * self.width + b for a, b in every], np.int64), np.array(list(every.values()), np.int64))
-        #: Ranks after whose merge a pair of lower rank can stand beside it.
-        self.unruly = np.zeros(self.width, bool)
-        for side in (self.key // self.width, self.key % self.width):
-            self.unruly[side[(self.key >= 0) & (self.rank < side)]] = True
+class Slots:
+    """Values of 64-bit keys (0 or more) in a table with open slots, of which at most a quarter are taken: a key is at its slot or in the run that follows."""
 
-    def _slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
-        """Pairs in a table with open slots, at most an eighth of them taken; a pair is at its slot or in the run that follows."""
-        self.shift = 64 - max(10, (8 * len(keys)).bit_length())
-        self.key, self.rank = np.full(1 << (64 - self.shift), -1, np.int64), np.full(1 << (64 - self.shift), _NONE, np.int32)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.missing, self.shift = missing, 64 - max(10, (4 * len(keys)).bit_length())
+        self.key, self.value = np.full(1 << (64 - self.shift), -1, np.int64), np.full(1 << (64 - self.shift), missing, np.int32)
         slot = self._slot(keys)
         while len(keys):
             free = np.flatnonzero(self.key[slot] < 0)
             taken, which = np.unique(slot[free], return_index=True)
-            self.key[taken], self.rank[taken] = keys[free[which]], ranks[free[which]]
+            self.key[taken], self.value[taken] = keys[free[which]], values[free[which]]
             left = np.ones(len(keys), bool)
             left[free[which]] = False
-            keys, ranks, slot = keys[left], ranks[left], (slot[left] + 1) % len(self.key)
+            # A key that is there already stays as it is.
+            left &= self.key[slot] != keys
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) % len(self.key)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         # Fixed value: 2^64 over the golden ratio, for multiplicative hashing.
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
 
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found, out = self.key[slot], self.value[slot]
+        out[found != keys] = self.missing
+        far = np.flatnonzero((found != keys) & (found >= 0))
+        slot = slot[far]
+        while len(far):
+            slot = (slot + 1) % len(self.key)
+            found, hit = self.key[slot], self.key[slot] == keys[far]
+            out[far[hit]] = self.value[slot[hit]]
+            on = ~hit & (found >= 0)
+            far, slot = far[on], slot[on]
+        return out
+
+
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of strings, each one's start and size."""
+    wide = words.cast(pa.large_binary())
+    ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    data = np.frombuffer(wide.buffers()[2] or b"", np.uint8)
+    return data, ends[:-1], np.diff(ends)
+
+
+class Words:
+    """Places of words in a table of the corpus's words, found by hash and then compared byte by byte."""
+
+    def __init__(self, words: pa.Array):
+        self.data, self.start, self.size = _buffers(words)
+        h, kept = self._hashes(self.data, self.start, self.size)
+        self.slots = Slots(h, kept, -1)
+
+    # Fixed value: the odd multiplier of a polynomial hash modulo 2^64.
+    _POWERS = np.cumprod(np.full(4 * LONGEST, 0x5851F42D4C957F2D, np.uint64))
+
+    def _hashes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of words of 1 to 4 * LONGEST bytes, and which words those are."""
+        kept = np.flatnonzero((size > 0) & (size <= len(self._POWERS)))
+        size = size[kept]
+        first = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(first, size)
+        each = (data[np.repeat(start[kept], size) + inside] + np.uint64(1)) * self._POWERS[inside]
+        h = np.add.reduceat(each, first) if len(kept) else np.zeros(0, np.uint64)
+        return (h >> np.uint64(1)).astype(np.int64), kept
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place; -1 without one."""
+        data, start, size = _buffers(words)
+        h, kept = self._hashes(data, start, size)
+        at = self.slots.of(h).astype(np.int64)
+        same = (at >= 0) & (self.size[at] == size[kept]) if len(self.size) else np.zeros(len(at), bool)
+        at, kept = at[same], kept[same]
+        own = size[kept]
+        first = np.cumsum(own) - own
+        equal = _gathered(data, start[kept], own) == _gathered(self.data, self.start[at], own)
+        right = np.logical_and.reduceat(equal, first) if len(kept) else np.zeros(0, bool)
+        out = np.full(len(words), -1)
+        out[kept[right]] = at[right]
+        return out
+
+
+class Merges:
+    """Tokens and the pairs that merge, with the merged token's id as rank: ``pairs`` sorted, ``merged`` beside it."""
+
+    def __init__(self, token: list[bytes], single: list[int], every: dict[tuple[int, int], int]):
+        self.width = len(token)
+        self.token_bytes = np.frombuffer(b"".join(token), np.uint8)
+        self.token_size = np.fromiter(map(len, token), np.int64, len(token))
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.single_of = np.array(single, np.int32)
+        keys, ranks = np.array([a * self.width + b for a, b in every], np.int64), np.array(list(every.values()), np.int64)
+        self.slots = Slots(keys, ranks, _NONE)
+        #: Ranks after whose merge a pair of lower rank can stand beside it.
+        self.unruly = np.zeros(self.width, bool)
+        for side in (keys // self.width, keys % self.width):
+            self.unruly[side[ranks < side]] = True
+
     @classmethod
     def from_ranks(cls, path: str) -> Merges:
         """Of a file of ranks: any two neighbours merge whose bytes together have a rank."""
@@ -109,19 +174,7 @@ class Merges:
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of adjacent symbols; ``_NONE`` without one, or beside a wall (-1)."""
-        keys = a.astype(np.int64) * self.width + b
-        slot = self._slot(keys)
-        found, out = self.key[slot], self.rank[slot]
-        out[(found != keys) | (b < 0)] = _NONE
-        far = np.flatnonzero((found != keys) & (found >= 0) & (b >= 0))
-        slot = slot[far]
-        while len(far):
-            slot = (slot + 1) % len(self.key)
-            found, hit = self.key[slot], self.key[slot] == keys[far]
-            out[far[hit]] = self.rank[slot[hit]]
-            on = ~hit & (found >= 0)
-            far, slot = far[on], slot[on]
-        return out
+        return np.where(b < 0, np.int32(_NONE), self.slots.of(a.astype(np.int64) * self.width + np.maximum(b, 0)))
 
 
 class MergeReplay:
@@ -129,10 +182,10 @@ class MergeReplay:
 
     def __init__(self, merges: Merges, pattern: str, ready: pa.Table | None = None):
         self.merges, self.find = merges, regex.compile(pattern).findall
-        ready = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())}) if ready is None else ready.combine_chunks()
-        self.ready, ids = (pa.concat_arrays(ready.column(c).chunks) if ready.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary())))
-        self.ready_size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        self.ready_ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+        words, ids = (pa.concat_arrays([x for x in ready.column(c).chunks]) if ready is not None and ready.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary())))
+        self.ready = Words(words)
+        data, start, size = _buffers(ids)
+        self.ready_size, self.ready_ids = size // 4, _gathered(data, start, size).view("<u4")
 
     def replay(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, given as the bytes' symbols end to end and each piece's number of bytes: ids end to end, each piece's number of them.
@@ -201,24 +254,22 @@ class MergeReplay:
         earlier, first = np.cumsum(low) - low, _begins(owner[at])
         return at[earlier == np.repeat(earlier[first], np.diff(np.append(first, len(at))))]
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, each distinct one replayed once: ids end to end, each piece's number of them."""
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, each distinct one replayed once: ids end to end, each piece's number of them, and whether it begins with a space."""
         coded = pa.array(pieces, pa.string()).dictionary_encode()
-        raw = coded.dictionary.cast(pa.binary())
-        text = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        ids, sizes = self.replay(self.merges.single_of[text], pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))
+        data, start, size = _buffers(coded.dictionary)
+        ids, sizes = self.replay(self.merges.single_of[_gathered(data, start, size)], size)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        return _gathered(ids, (np.cumsum(sizes) - sizes)[code], sizes[code]), sizes[code]
+        spaced = pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[code], sizes[code]), sizes[code], spaced[code]
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of regular words that follow a space: ids end to end, each word's number of them.
 
         Such words never meet in a piece, so they are matched all at once; the piece that begins with a space is a word's first.
         """
-        pieces = self.find(" " + " ".join(words)) if words else []
-        ids, sizes = self._ids(pieces)
-        first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
-        return ids, np.add.reduceat(sizes, first) if words else sizes
+        ids, sizes, spaced = self._ids(self.find(" " + " ".join(words)) if words else [])
+        return ids, np.add.reduceat(sizes, np.flatnonzero(spaced)) if words else sizes
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more at the end).
@@ -229,14 +280,14 @@ class MergeReplay:
         parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
         coded = parts.flatten().dictionary_encode()
         words, code, first = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
-        place = pc.fill_null(pc.index_in(words, value_set=self.ready), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = self.ready.places(words)
         rare = np.flatnonzero(place < 0)
         missing = words.take(pa.array(rare)).to_pylist()
         fit = np.fromiter(map(regular, missing), bool, len(missing))
         odd = np.zeros(len(words), bool)
         odd[rare[~fit]] = True
         rare_ids, rare_sizes = self.of_words([w for w, f in zip(missing, fit.tolist()) if f])
-        place[rare[fit]] = len(self.ready) + np.arange(fit.sum())
+        place[rare[fit]] = len(self.ready_size) + np.arange(fit.sum())
         several = np.diff(first) > 1
         inside = np.ones(len(code), bool)
         inside[first[:-1]] = False
@@ -245,13 +296,13 @@ class MergeReplay:
         plain |= several & np.fromiter((not h or h[-1].isspace() for h in heads), bool, len(heads))
         # Each text's first entry is its head, or all of it; then the others' entries, or nothing.
         found = [self.find(t if p else h) for t, h, p in zip(texts, heads, plain.tolist(), strict=True)]
-        own_ids, each = self._ids([x for f in found for x in f])
+        own_ids, each, _ = self._ids([x for f in found for x in f])
         ends = np.cumsum(np.append(0, each))[np.cumsum([0, *map(len, found)])]
         sizes = np.concatenate([self.ready_size, rare_sizes, np.diff(ends), [0]])
         starts = np.cumsum(sizes) - sizes
         entry = place[code]
         entry[np.repeat(plain, np.diff(first))] = len(sizes) - 1
-        entry[first[:-1]] = len(self.ready) + len(rare_sizes) + np.arange(len(texts))
+        entry[first[:-1]] = len(self.ready_size) + len(rare_sizes) + np.arange(len(texts))
         ids = _gathered(np.concatenate([self.ready_ids, rare_ids, own_ids]), starts[entry], sizes[entry])
         return ids, np.concatenate([[0], np.cumsum(sizes[entry])])[first]
 
@@ -354,10 +405,10 @@ def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     with passing():
         counts = cut(word_counts(docs, text).filter("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
         # How many words there are at each level of counts: a few hundred rows.
-        level, room = None, most
-        for r in counts.groupBy("level").count().orderBy(F.desc("level")).limit(1_000).collect():
-            room -= r["count"]
-            if room < 0:
+        level, room, space = None, most, TABLE_BYTES
+        for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("level")).limit(1_000).collect():
+            room, space = room - r["n"], space - r["bytes"]
+            if room < 0 or space < 0:
                 break
             level = r["level"]
         chosen = counts.filter(F.col("level") >= level) if level is not None else counts.limit(0)
