@@ -115,17 +115,6 @@ def hash_weights(key: Column, rep: Column) -> Column:
     return out
 
 
-def bootstrap_rate(df: DataFrame, key: str, flag: Column, reps: int) -> DataFrame:
-    """One row: rate, low, high (percentiles 2.5 and 97.5 of the replicates' rates).
-
-    Rows meet their replicates in an exploded array of fixed length, and are summed map-side: one row a replicate is shuffled.
-    """
-    r = df.select(F.col(key).alias("k"), flag.cast("int").alias("f"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    w = r.select("rep", "f", hash_weights(F.col("k"), F.col("rep")).alias("w")).groupBy("rep").agg((F.sum(F.col("w") * F.col("f")) / F.sum("w")).alias("rate"))
-    bounds = w.agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))
-    return df.agg(F.avg(flag.cast("int")).alias("rate")).crossJoin(bounds)
-
-
 def total_variation(df: DataFrame, value: str, first: Column) -> DataFrame:
     """Half the summed difference of the shares of each value in the two parts of ``df``."""
     c = df.groupBy(value).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
@@ -165,90 +154,6 @@ def roc_metrics(df: DataFrame, score: str, positive: Column, by: list[str], weig
     return m.filter("p > 0 AND n > 0").select(*by, (F.col("won") / F.col("p") / F.col("n")).alias("auc"), (F.coalesce("t1", F.lit(0)) / F.col("p")).alias("tpr_1"), (F.coalesce("t01", F.lit(0)) / F.col("p")).alias("tpr_01"))
 
 
-METRICS = ("auc", "tpr_1", "tpr_01")
-
-
-def _resampled(df: DataFrame, key: str, keep: dict[str, Column], reps: int, salt: Column | None = None) -> DataFrame:
-    """Each row with its replicates rep (from 0) and weights w, rows of weight 0 left out.
-
-    Weights are Poisson(1) by hash. Metrics divide by each class's own weight, so that classes are resampled apart from each other.
-    """
-    k = F.col(key).cast("string") if salt is None else F.concat_ws("/", salt, F.col(key).cast("string"))
-    r = df.select(k.alias("_k"), *(c.alias(n) for n, c in keep.items()), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    return r.withColumn("w", hash_weights(F.col("_k"), F.col("rep")).cast("long")).filter("w > 0").drop("_k")
-
-
-def _in_turn(columns: list[str], rep: Column) -> Column:
-    """Replicate i has the scores of model i modulo their number."""
-    return F.get(F.array(*(F.col(c).cast("double") for c in columns)), (rep % len(columns)).cast("int"))
-
-
-def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
-    return df.select(*keep, F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("model", "score"))
-
-
-def _bounds(draws: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    each = draws.unpivot(["rep"], list(metrics), "metric", "v").groupBy("metric")
-    return each.agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
-
-
-def _points(per_model: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    return per_model.agg(*(F.avg(m).alias(m) for m in metrics)).unpivot([], list(metrics), "metric", "point")
-
-
-def bootstrap_roc(df: DataFrame, key: str, positive: str, scores: list[str], reps: int) -> DataFrame:
-    """metric, point (mean over models), low, high: the interval covers the sample and, models taking turns, their variance."""
-    r = _resampled(df, key, {"y": F.col(positive), **{c: F.col(c) for c in scores}}, reps).select("rep", "y", "w", _in_turn(scores, F.col("rep")).alias("score"))
-    draws = roc_metrics(r, "score", F.col("y"), ["rep"], F.col("w"))
-    point = roc_metrics(_long(df, scores, positive), "score", F.col(positive), ["model"])
-    return _points(point, METRICS).join(_bounds(draws, METRICS), "metric").select("metric", "point", "low", "high")
-
-
-def paired_bootstrap(df: DataFrame, key: str, positive: str, a: list[str], b: list[str], reps: int) -> DataFrame:
-    """metric, point, mean, low, high of the difference of two models' metrics on the same resamples."""
-    r = _resampled(df, key, {"y": F.col(positive), **{c: F.col(c) for c in {*a, *b}}}, reps)
-    both = F.explode(F.array(F.struct(F.lit(1).alias("sign"), _in_turn(a, F.col("rep")).alias("score")), F.struct(F.lit(-1).alias("sign"), _in_turn(b, F.col("rep")).alias("score")))).alias("m")
-    each = roc_metrics(r.select("rep", "y", "w", both).select("rep", "y", "w", "m.*"), "score", F.col("y"), ["rep", "sign"], F.col("w"))
-    draws = each.groupBy("rep").agg(*(F.sum(F.col("sign") * F.col(m)).alias(m) for m in METRICS))
-    k = max(len(a), len(b))
-    pairs = [f"{side}{i}" for side in "ab" for i in range(k)]
-    wide = df.select(F.col(positive).alias("y"), *(F.col((a, b)[j][i % len((a, b)[j])]).alias(f"{'ab'[j]}{i}") for j in (0, 1) for i in range(k)))
-    point = roc_metrics(_long(wide, pairs, "y"), "score", F.col("y"), ["model"])
-    sign = F.when(F.col("model") < k, 1).otherwise(-1)
-    point = point.agg(*((F.sum(sign * F.col(m)) / k).alias(m) for m in METRICS)).unpivot([], list(METRICS), "metric", "point")
-    return point.join(_bounds(draws, METRICS), "metric")
-
-
-def independent_bootstrap(df: DataFrame, key: str, positive: str, first: str, scores: list[str], reps: int) -> DataFrame:
-    """metric, point, low, high of the difference of the same models' metrics on two test sets (``first`` or not), each resampled on its own."""
-    sign = F.when(F.col(first), 1).otherwise(-1)
-    r = _resampled(df, key, {"y": F.col(positive), "sign": sign, **{c: F.col(c) for c in scores}}, reps, sign.cast("string"))
-    each = roc_metrics(r.select("rep", "y", "w", "sign", _in_turn(scores, F.col("rep")).alias("score")), "score", F.col("y"), ["rep", "sign"], F.col("w"))
-    draws = each.groupBy("rep").agg(*(F.sum(F.col("sign") * F.col(m)).alias(m) for m in METRICS))
-    point = roc_metrics(_long(df.withColumn("sign", sign), scores, positive, "sign"), "score", F.col(positive), ["model", "sign"])
-    point = point.agg(*((F.sum(F.col("sign") * F.col(m)) / len(scores)).alias(m) for m in METRICS)).unpivot([], list(METRICS), "metric", "point")
-    return point.join(_bounds(draws, METRICS).drop("mean"), "metric")
-
-
-def bootstrap_threshold(df: DataFrame, key: str, positive: str, scores: list[str], thresholds: list[float], reps: int) -> DataFrame:
-    """metric (recall, fpr), point (mean over models), low, high at fixed thresholds, one a model; models take turns in the replicates."""
-    hit = F.array(*(F.col(c) >= t for c, t in zip(scores, thresholds, strict=True)))
-    r = _resampled(df, key, {"y": F.col(positive), "hits": hit}, reps).withColumn("hit", F.get("hits", (F.col("rep") % len(scores)).cast("int")))
-    rate = lambda c, w: F.sum(F.when(c & F.col("hit"), w).otherwise(0)) / F.sum(F.when(c, w).otherwise(0))
-    draws = r.groupBy("rep").agg(rate(F.col("y"), F.col("w")).alias("recall"), rate(~F.col("y"), F.col("w")).alias("fpr"))
-    point = df.select(F.col(positive).alias("y"), F.posexplode(hit).alias("model", "hit")).groupBy("model").agg(rate(F.col("y"), F.lit(1)).alias("recall"), rate(~F.col("y"), F.lit(1)).alias("fpr"))
-    return _points(point, ("recall", "fpr")).join(_bounds(draws, ("recall", "fpr")).drop("mean"), "metric")
-
-
-def family_bootstrap(families: DataFrame, key: str, coverage: Column, size: Column, reps: int) -> DataFrame:
-    """metric (macro: mean over families; pooled: by size), point, low, high, over resampled families. One row a family comes in."""
-    f = families.select(F.col(key).alias("k"), F.coalesce(coverage, F.lit(0.0)).alias("c"), size.cast("double").alias("n"))
-    r = _resampled(f, "k", {"c": F.col("c"), "n": F.col("n")}, reps)
-    rates = lambda w: ((F.sum(w * F.col("c")) / F.sum(w)).alias("macro"), (F.sum(w * F.col("c") * F.col("n")) / F.sum(w * F.col("n"))).alias("pooled"))
-    point = f.agg(*rates(F.lit(1.0))).unpivot([], ["macro", "pooled"], "metric", "point")
-    return point.join(_bounds(r.groupBy("rep").agg(*rates(F.col("w"))), ("macro", "pooled")).drop("mean"), "metric")
-
-
 def sign_flip_p(values: list[float]) -> float:
     """Two-sided p of the mean over all sign patterns of at most 20 values."""
     import numpy as np

@@ -120,14 +120,6 @@ def _poisson_case(u: str) -> str:
     return " + ".join(steps)
 
 
-@query(f"""WITH r AS (SELECT event_id, (event_type = 'error')::INT AS f, unnest(range(1, 41)) AS rep FROM events),
-u AS (SELECT rep, f, ('0x' || substr(md5(event_id || ':' || rep), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM r),
-w AS (SELECT rep, f, {_poisson_case('u')} AS w FROM u), s AS (SELECT rep, sum(w * f) / sum(w) AS rate FROM w GROUP BY rep)
-SELECT (SELECT round(avg((event_type = 'error')::INT), 9) FROM events) AS rate, round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high FROM s""")
-def hash_bootstrap_ci(spark, d):
-    return evaluation.bootstrap_rate(table(spark, d, "events"), "event_id", _error(), 40).select(*(F.round(c, 9).alias(c) for c in ("rate", "low", "high")))
-
-
 @query("""WITH c AS (SELECT l_partkey, l_suppkey FROM lineitem), a AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) AS k, l_suppkey, row_number() OVER (ORDER BY l_suppkey) AS j FROM c),
 r AS (SELECT avg(k) OVER (PARTITION BY l_partkey) AS x, avg(j) OVER (PARTITION BY l_suppkey) AS y FROM a) SELECT round(corr(x, y), 9) AS spearman FROM r""")
 def spearman(spark, d):
