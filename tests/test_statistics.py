@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import drift, evaluation
+from sievewright.operators import drift, evaluation, resampling
 
 
 def test_wilson_edges(spark):
@@ -39,7 +39,7 @@ def test_mcnemar_p(spark):
 
 def test_bootstrap_brackets_the_rate(spark):
     df = spark.createDataFrame([(i, i % 4 == 0) for i in range(400)], "i int, f boolean")
-    r = evaluation.bootstrap_rate(df, "i", F.col("f"), 60).first()
+    r = resampling.bootstrap_rate(df, "i", F.col("f"), 60).first()
     assert r["low"] < r["rate"] < r["high"] and r["rate"] == 0.25
 
 
