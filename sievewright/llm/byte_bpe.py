@@ -32,12 +32,12 @@ from .common import as_bytes, blocks, cut, passing, table
 from .pieces import regular
 from .token_counts import byte_symbols
 
-#: Words of the corpus's table, their bytes and the characters of one, at most. With an id of 4 bytes for each byte the table has 160 MB at most, some 30 MB in fact.
-VOCABULARY, TABLE_BYTES, LONGEST = 1 << 20, 32 << 20, 64
-#: Distinct words whose counts a task holds before it hands them on.
-COUNTED = 500_000
+#: Words of the corpus's table, their bytes and the characters of one, at most. With an id of 4 bytes for each byte the table has 80 MB at most, some 15 MB in fact.
+VOCABULARY, TABLE_BYTES, LONGEST = 1 << 19, 16 << 20, 64
 #: Bytes of text that are encoded at a time, and words replayed at a time: the table's words of a task are, all at once, for tables of that size.
-ENCODED_BYTES, REPLAYED = 1 << 21, 100_000
+ENCODED_BYTES, REPLAYED = 1 << 20, 50_000
+#: Words hashed at a time.
+HASHED = 50_000
 #: No rank: larger than any.
 _NONE_BITS = 1 << 24
 _NONE = _NONE_BITS - 1
@@ -97,7 +97,8 @@ class Words:
 
     def __init__(self, words: pa.Array):
         self.data, self.start, self.size = _buffers(words)
-        h, kept = self._hashes(self.data, self.start, self.size)
+        parts = [(h, a + kept) for a in range(0, len(words), HASHED) for h, kept in [self._hashes(self.data, self.start[a : a + HASHED], self.size[a : a + HASHED])]]
+        h, kept = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.slots = Slots(h, kept, -1)
 
     # Fixed value: the odd multiplier of a polynomial hash modulo 2^64.
@@ -115,6 +116,9 @@ class Words:
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Each word's place; -1 without one."""
+        return np.concatenate([self._places(words.slice(a, HASHED)) for a in range(0, len(words), HASHED)]) if len(words) else np.zeros(0, np.int64)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
         data, start, size = _buffers(words)
         h, kept = self._hashes(data, start, size)
         at = self.slots.of(h).astype(np.int64)
@@ -185,7 +189,7 @@ class MergeReplay:
         words, ids = (pa.concat_arrays([x for x in ready.column(c).chunks]) if ready is not None and ready.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary())))
         self.ready = Words(words)
         data, start, size = _buffers(ids)
-        self.ready_size, self.ready_ids = size // 4, _gathered(data, start, size).view("<u4")
+        self.ready_size, self.ready_ids = size // 4, data[start[0] : start[-1] + size[-1]].view("<u4") if len(size) else np.zeros(0, "<u4")
 
     def replay(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, given as the bytes' symbols end to end and each piece's number of bytes: ids end to end, each piece's number of them.
@@ -361,25 +365,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n: how often each word of ``LONGEST`` characters at most follows a single space in all texts; blocks are counted, then their counts added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def summed() -> pa.Table:
-            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
-
-        for batch in blocks(batches, size=ENCODED_BYTES):
+        for batch in blocks(batches):
             parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), " ")
             inside = np.ones(len(parts.flatten()), bool)
             inside[parts.offsets.to_numpy()[:-1]] = False
             seen = parts.flatten().filter(pa.array(inside)).value_counts()
-            t = pa.table({"word": seen.field(0), "n": seen.field(1)})
-            held.append(t.filter(pc.less_equal(pc.utf8_length(t.column("word")), LONGEST)))
-            if sum(t.num_rows for t in held) > 2 * COUNTED:
-                held = [summed()]
-                if held[0].num_rows > COUNTED:
-                    yield from held[0].to_batches()
-                    held = []
-        if held:
-            yield from summed().to_batches()
+            t = pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], ["word", "n"])
+            yield t.filter(pc.less_equal(pc.utf8_length(seen.field(0)), LONGEST))
+            del parts, seen, t
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
