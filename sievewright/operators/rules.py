@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .substrings import GRAM, absent_strings
+
 
 def exploded(df: DataFrame, sample: str, atoms: Column, *others: str) -> DataFrame:
     return df.select(F.col(sample).alias("sample"), *others, F.explode(F.array_distinct(atoms)).alias("atom"))
@@ -92,36 +94,14 @@ def validated(fired: DataFrame, rules: DataFrame, samples: DataFrame) -> DataFra
     )
 
 
-#: Characters of a candidate's beginning by which it meets texts; the shorter length is the least that a candidate may have.
-LONG, SHORT = 24, 6
-_BITS = 1 << 24
-
-
-def absent_strings(candidates: DataFrame, benign: DataFrame, text: str) -> DataFrame:
-    """Candidates (s, ``SHORT`` characters at least; shorter ones are left out) that no benign text contains.
-
-    All windows of ``LONG`` and ``SHORT`` characters of a text are looked up in a bit table of the candidates' beginnings (262,144 rows at
-    most, so it can be broadcast whatever the candidates are); only windows found there meet their candidates, by an equi join, and the
-    whole candidate is then sought in the text.
-    """
-    c = candidates.filter(F.length("s") >= SHORT).withColumn("gram", F.when(F.length("s") >= LONG, F.substring("s", 1, LONG)).otherwise(F.substring("s", 1, SHORT)))
-    place = F.pmod(F.xxhash64("gram"), F.lit(_BITS))
-    bits = c.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(gram), {_BITS}) & 63 AS int))")).alias("bits"))
-    windows = F.concat(*(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (LONG, SHORT)))
-    grams = benign.select(F.col(text).alias("text"), F.explode(F.array_distinct(windows)).alias("gram")).withColumn("word", F.shiftright(place, 6))
-    likely = grams.join(F.broadcast(bits), "word").filter(F.expr(f"shiftright(bits, cast(pmod(xxhash64(gram), {_BITS}) & 63 AS int)) & 1 = 1"))
-    hit = likely.select("text", "gram").join(c, "gram").filter(F.instr("text", F.col("s")) > 0).select("s").distinct()
-    return candidates.filter(F.length("s") >= SHORT).join(hit, "s", "left_anti")
-
-
 def candidate_strings(group: DataFrame, benign: DataFrame, names: DataFrame, support: float = 0.6, most: int = 8) -> DataFrame:
     """s, support, place: strings that tell a group from benign texts.
 
     ``group``: sample, strings (array), header (text in which a string is an artifact of the format); ``benign``: text; ``names``: name, of imported
-    functions, which families share and which only fill in if nothing else is left. A string needs ``SHORT`` characters and ``support`` of the samples, and
+    functions, which families share and which only fill in if nothing else is left. A string needs ``GRAM`` characters and ``support`` of the samples, and
     no benign text may contain it. Most shared first, then longest, then by text; the best ``most``.
     """
-    own = group.select("sample", "header", F.explode(F.array_distinct("strings")).alias("s")).filter((F.length("s") >= SHORT) & (F.instr(F.coalesce("header", F.lit("")), F.col("s")) == 0))
+    own = group.select("sample", "header", F.explode(F.array_distinct("strings")).alias("s")).filter((F.length("s") >= GRAM) & (F.instr(F.coalesce("header", F.lit("")), F.col("s")) == 0))
     n = group.agg(F.countDistinct("sample")).scalar()
     shared = own.groupBy("s").agg(F.countDistinct("sample").alias("support")).filter(F.col("support") >= F.greatest(F.lit(1), F.ceil(support * n)))
     c = absent_strings(shared, benign, "text").join(names.select(F.col("name").alias("s"), F.lit(True).alias("api")).distinct(), "s", "left")

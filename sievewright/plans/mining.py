@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, hashing
-from ..operators import boosting, features, models, policy, rules, tagging
+from ..operators import boosting, features, models, policy, rules, substrings, tagging
 from ..sources import corpus, pe, records
 from ..sources.tables import table
 
@@ -96,7 +96,7 @@ def specificity_coverage(spark, d):
 @query("""SELECT DISTINCT text AS s FROM benchmark WHERE length(text) >= 6 AND NOT EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, benchmark.text))""")
 def anti_substring(spark, d):
     """Whole benchmark texts that no document contains."""
-    return rules.absent_strings(table(spark, d, "benchmark").select(F.col("text").alias("s")).distinct(), table(spark, d, "documents").select("text"), "text")
+    return substrings.absent_strings(table(spark, d, "benchmark").select(F.col("text").alias("s")).distinct(), table(spark, d, "documents").select("text"), "text")
 
 
 _STRINGS_SQL = """g AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[a-zà-ÿA-ZÀ-ß]+')) AS w, substr(text, 1, 40) AS header FROM documents WHERE lang = 'fr' AND length(text) > 200),
@@ -129,15 +129,15 @@ def synthesized_rule(spark, d):
     return s.select(rule_text.rendered(F.lit("fr words"), F.col("strings"), F.col("threshold").cast("string")).alias("text"), "threshold")
 
 
-@query("""WITH k AS (SELECT l_orderkey, md5(string_agg(l_partkey % 40, ',' ORDER BY l_linenumber, l_partkey)) AS key, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey),
+@query("""WITH k AS (SELECT l_orderkey, md5(string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey)) AS key, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey),
 c AS (SELECT f AS family, key, row_number() OVER (PARTITION BY f ORDER BY count(*) DESC, key) AS r FROM k WHERE f <> 'N' GROUP BY f, key QUALIFY r <= 5)
-SELECT family, arg_min(key, r) AS key FROM c WHERE key NOT IN (SELECT key FROM k WHERE f = 'N' AND l_orderkey % 40 = 1) GROUP BY family""")
+SELECT family, arg_min(key, r) AS key FROM c WHERE key NOT IN (SELECT key FROM k WHERE f = 'N') GROUP BY family""")
 def filtered_mode_rule(spark, d):
-    """Each family's most common digest that none of some benign orders has."""
+    """Each family's most common digest that no benign order has."""
     line = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     k = table(spark, d, "lineitem").groupBy("l_orderkey").agg(line.alias("x"), F.min("l_returnflag").alias("family"))
-    k = k.select("l_orderkey", "family", F.md5(F.array_join(F.transform("x", lambda s: (s["l_partkey"] % 40).cast("string")), ",")).alias("key"))
-    return rules.filtered_mode(k.filter("family <> 'N'"), k.filter("family = 'N' AND l_orderkey % 40 = 1"))
+    k = k.select("l_orderkey", "family", F.md5(F.array_join(F.transform("x", lambda s: s["l_partkey"].cast("string")), ",")).alias("key"))
+    return rules.filtered_mode(k.filter("family <> 'N'"), k.filter("family = 'N'"))
 
 
 @query("SELECT p_partkey, '\"' || replace(replace(p_name || '\\x\"' || p_size, '\\', '\\\\'), '\"', '\\\"') || '\"' AS quoted FROM part")
