@@ -3,8 +3,8 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant: the speaker's
 messages are what a model learns (the mask), all others' come as users with their names. System messages stay system messages.
 
-A dialogue is one rendering however long it is. It comes in rows (``part``) of up to ``PART`` messages: usual dialogues have one, a longer rendering is
-its parts one after the other, and mask offsets run through all of them. Places come from running sums, so no array is walked twice. A conversation with
+A dialogue is one rendering however long it is. It comes in rows (``part``, ascending) of up to ``PART`` messages and about ``PART_CHARS`` characters (one message at least):
+usual dialogues have one, a longer rendering is its parts one after the other, and mask offsets run through all of them. Places come from running sums, so no array is walked twice. A conversation with
 more than a ``HOT``-th of all messages is dealt by ranges of its order and its ranges' sums are added up first, so it spreads over many tasks.
 
 A marker can't be forged: in texts and names ``<``, any backslashes and ``|`` get one backslash more (``<|`` becomes ``<\\|``), which taking
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Messages of one row, at most: 20,000 messages of 500 characters are 10 MB.
-PART = 20_000
+#: Messages and characters of one row, at most.
+PART, PART_CHARS = 20_000, 10_000_000
 #: A conversation with more than this part of all messages (and more than ``PART``) is hot; there can be no more than so many.
 HOT = 1_000
 SYSTEM = "system"
@@ -61,7 +61,7 @@ def _hot_placed(rows: DataFrame) -> DataFrame:
     return t.withColumn("rank", F.col("rank") + F.col("more_n")).withColumn("at", F.col("at") + F.col("more_s")).withColumn("nth", F.col("nth") + F.col("more_r"))
 
 
-def perspectives(turns: DataFrame, part: int = PART, hot: int = HOT) -> DataFrame:
+def perspectives(turns: DataFrame, part: int = PART, hot: int = HOT, chars: int = PART_CHARS) -> DataFrame:
     """conv_id, part, speaker, n_messages, n_own, rendered, mask (array of [start, end) in characters of the whole rendering), masked_chars."""
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     t = turns.select("conv_id", key.alias("key"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -75,9 +75,10 @@ def perspectives(turns: DataFrame, part: int = PART, hot: int = HOT) -> DataFram
     usual = _placed(t.filter("large IS NULL").drop("large"), ["key"]).select(*columns)
     placed = usual.unionByName(_hot_placed(t.filter("large").drop("large")).select(*columns)) if not large.isEmpty() else usual
     message = F.struct("rank", "role", "head", "said", "at", "nth")
-    parts = placed.groupBy("key", "conv_id", F.floor(F.col("rank") / part).alias("part")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    parts = placed.groupBy("key", "conv_id", (F.floor(F.col("rank") / part) + F.floor(F.col("at") / chars)).alias("part")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
     speakers = t.filter(F.col("role") != SYSTEM).select("key", F.col("role").alias("speaker")).distinct()
-    r = parts.join(speakers, "key")
+    # A conversation's parts are apart from each other before they meet its speakers.
+    r = parts.join(parts.select("key", "part").join(speakers, "key"), ["key", "part"])
     own = F.filter("messages", lambda m: m["role"] == F.col("speaker"))
     # Each of the speaker's own earlier messages has its head replaced, by one that is so much longer or shorter.
     shift = F.lit(len(_OWN_HEAD)) - F.length(_user_head(F.col("speaker")))
@@ -100,13 +101,14 @@ OP6_SQL = rf"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw FROM conversations),
 x AS (SELECT *, regexp_replace(raw, '<(\\*)\|', '<\\\1|', 'g') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw) - 1 AS rank,
              '<|user name=' || regexp_replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '\n'), '\|(\\*)>', '|\\\1>', 'g') || '|>' AS named FROM t),
+y AS (SELECT *, coalesce(sum(CASE WHEN role = '{SYSTEM}' THEN 10 ELSE length(named) END + 1 + length(text) + 8) OVER (PARTITION BY conv_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> '{SYSTEM}'),
-p AS (SELECT x.*, speaker, CASE WHEN role = '{SYSTEM}' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE named END || chr(10) || text || '<|end|>' || chr(10) AS piece
-      FROM x JOIN s ON x.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (SELECT x.*, speaker, rank // {PART} + before // {PART_CHARS} AS part, CASE WHEN role = '{SYSTEM}' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE named END || chr(10) || text || '<|end|>' || chr(10) AS piece
+      FROM y AS x JOIN s ON x.conv_id IS NOT DISTINCT FROM s.conv_id),
 e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY rank ROWS UNBOUNDED PRECEDING) AS stop FROM p)
-SELECT conv_id, rank // {PART} AS part, speaker, count(*) AS n_messages, count(*) FILTER (role = speaker) AS n_own,
+SELECT conv_id, part::BIGINT AS part, speaker, count(*) AS n_messages, count(*) FILTER (role = speaker) AS n_own,
        string_agg(piece, '' ORDER BY rank) AS rendered,
        coalesce(string_agg((stop - length(text) - 8)::BIGINT || '-' || (stop - 1)::BIGINT, ',' ORDER BY rank) FILTER (role = speaker), '') AS mask,
        coalesce(sum(length(text) + 7) FILTER (role = speaker), 0)::BIGINT AS masked_chars
-FROM e GROUP BY conv_id, rank // {PART}, speaker
+FROM e GROUP BY conv_id, part, speaker
 """

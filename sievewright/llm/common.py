@@ -159,10 +159,9 @@ def row_key(doc_id: Column, digest: Column) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), F.lit(":"), digest)
 
 
-def row_number(doc_id: Column, text: Column) -> Column:
-    """``row_key`` as 63 bits of a SHA-256: among 15 million rows two meet with odds of about one in 80,000."""
-    key = F.sha2(row_key(doc_id, digest(text)), 256)
-    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long") * 8 + F.conv(F.substring(key, 16, 1), 16, 10).cast("long") % 8
+def row_name(doc_id: Column, text: Column) -> Column:
+    """``row_key`` as 256 bits (binary), so that rows of other ids or texts never share one."""
+    return F.unhex(F.sha2(row_key(doc_id, digest(text)), 256))
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, as_bytes, blocks, cut, discard, likely_rows, meet, packed, passing, row_number, rows_without, table, unpacked
+from .common import HOT_KEYS, as_bytes, blocks, cut, discard, likely_rows, meet, packed, passing, row_name, rows_without, table, unpacked
 from .components import components, roots
 from .hashing import Block, mix
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, width: int, lower: bool, coords: int = COORDS) -
                 ["doc_id", "n_shingles", "set_key", "sig", "planes"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>, planes array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sig array<int>, planes array<long>")
 
 
 def set_key(hashes: np.ndarray) -> bytes | None:
@@ -197,14 +197,17 @@ def _similar(a: str, b: str, need: int, percent: int, coords: int) -> tuple[Colu
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, lower: bool = True, coords: int = COORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     with passing() as stay:
         signed = cut(signatures(docs, width, lower, coords))
         usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "planes")).alias("c"), F.count(F.lit(1)).alias("copies"))
-        classes = cut(classes.select("set_key", "copies", F.col("c.doc_id").alias("rid"), F.col("c.n_shingles").alias("n"), "c.sig", "c.planes"))
+        # Classes are numbered as they are written; ``least`` is the smallest id of a class's rows.
+        classes = cut(classes.select("set_key", "copies", F.monotonically_increasing_id().alias("rid"), F.col("c.doc_id").alias("least"), F.col("c.n_shingles").alias("n"), "c.sig", "c.planes"))
         named = _components(docs, classes, width, round(100 * threshold), lower, coords, required_matches(coords, threshold))
-        named = cut(classes.join(named, "rid", "left").select("set_key", "copies", F.coalesce("part", "rid").alias("found")))
+        named = cut(classes.join(named, "rid", "left").select("set_key", "copies", "least", "part"))
+        names = cut(named.filter("part IS NOT NULL").groupBy("part").agg(F.min("least").alias("found"), F.count(F.lit(1)).alias("many")))
+        named = cut(meet(named, names, "part", "many", "left").select("set_key", "copies", F.coalesce("found", "least").alias("found")))
         stay += [signed, named]
     out = meet(signed.drop("sig", "planes"), named, "set_key", "copies", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
@@ -261,9 +264,9 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, l
     # Full sets of all members of cohorts of two or more. A doc_id may come in several rows; the text whose set is the class's is meant.
     grouped = cohorts.filter("rid <> cohort")
     members = cut(
-        grouped.select("rid").union(grouped.select("cohort").distinct()).join(classes.select("rid", "n", "set_key"), "rid").join(best.select(F.col("b").alias("rid"), F.col("a").alias("best")), "rid", "left")
+        grouped.select("rid").union(grouped.select("cohort").distinct()).join(classes.select("rid", "n", "set_key", "least"), "rid").join(best.select(F.col("b").alias("rid"), F.col("a").alias("best")), "rid", "left")
     )
-    texts = likely_rows(docs, "doc_id", members.select("rid")).join(members.hint("merge"), F.col("doc_id") == F.col("rid")).select("rid", "best", "set_key", "text").distinct()
+    texts = likely_rows(docs, "doc_id", members.select("least")).join(members.hint("merge"), F.col("doc_id") == F.col("least")).select("rid", "best", "set_key", "text").distinct()
     sets = cut(_sets(texts, width, lower))
     parts = named_by(_confirmed(sets, best, percent), "part")
     settled = cut(_settled(sets, parts, cohorts, members, percent))
@@ -324,7 +327,7 @@ def near_stage(docs: DataFrame) -> DataFrame:
     Rows are numbered by id and text, so null and repeated ids are rows like all others; exact repeats of a row share its outcome. Null and
     wordless texts stay. Any other columns, whatever their names, come through as they are; tables without rows give none.
     """
-    number = row_number(F.col("doc_id"), F.col("text"))
+    number = row_name(F.col("doc_id"), F.col("text"))
     with passing() as stay:
         found = cut(near_duplicates(docs.select(number.alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"), "component_id").distinct())
         # A component is named by a row of it, so its rows are those of another's name, and that one.

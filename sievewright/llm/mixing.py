@@ -6,7 +6,8 @@ slices of the key's range, sums of slices are added up first, and only then come
 with a third of all rows spreads over as many tasks as it has slices.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; size 0 takes 0; rows without doc_id draw by
-their text. Rows that share source and doc_id (or text) have the same key and are ordered by size; exact repeats are one after the other. Tables without rows give none.
+their text. Rows that share source and doc_id (or text) have the same key and are ordered by size; exact repeats are one after the other: they are counted
+first, planned as one row and dealt out again. Tables without rows give none.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, meet, packed, passing, row_number, running, table, unpacked
+from .common import cut, meet, packed, passing, row_name, running, table, unpacked
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,6 +25,8 @@ SHARE = 1.5
 MOST = 2
 #: Rows of a source in one slice of the key's range at least, about; ten times the root of its rows if that is more.
 SLICE_ROWS = 1_000
+#: Repeats of a row that one task deals out at a time.
+COPIES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,7 +68,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
 def mixed(docs: DataFrame) -> DataFrame:
     """A table like ``measured`` gives, with source_size, target and taken."""
     d = docs.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    sizes = d.groupBy("src").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("weight").alias("usual"))
+    sizes = d.groupBy("src").agg(F.max("source").alias("source"), F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n"), (F.sum(F.col("weight") * F.col("copies")) / F.sum("copies")).alias("usual"))
     with passing() as stay:
         targets = cut(source_targets(sizes))
         stay.append(targets)
@@ -74,24 +77,35 @@ def mixed(docs: DataFrame) -> DataFrame:
     # 1 - exp(-key * usual weight) runs from 0 to 1 with the key, about evenly: slices of the key's range in its order.
     slices = F.ceil(F.col("n") / F.greatest(F.lit(SLICE_ROWS), 10 * F.sqrt("n")))
     d = d.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("usual"))) * slices), slices - 1))
-    sums = d.groupBy("src", "slice").agg(F.sum("size").alias("slice_size"))
+    words = F.col("size") * F.col("copies")
+    sums = d.groupBy("src", "slice").agg(F.sum(words).alias("slice_size"))
     before = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("src", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("offset"))
     d = d.join(offsets, ["src", "slice"])
     inside = Window.partitionBy("src", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    d = _apart(d.withColumn("prefix", F.col("offset") + F.coalesce(F.sum(words).over(inside), F.lit(0))))
+    prefix = F.col("prefix") + F.col("copy") * F.col("size")
     words = F.floor(F.col("target") + F.lit(0.5))
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     rest = words - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - prefix))
-    return d.withColumn("taken", (passes * F.col("size") + part).cast("long")).drop("src", "key", "slice", "offset", "n", "usual", "weight", "draw")
+    return d.withColumn("taken", (passes * F.col("size") + part).cast("long")).drop("src", "key", "slice", "offset", "n", "usual", "weight", "draw", "prefix", "copies", "copy")
+
+
+def _apart(d: DataFrame) -> DataFrame:
+    """A row for each of ``copies``, with copy (from 0). Rows with very many copies are dealt to several tasks first."""
+    each = lambda first: F.explode(F.sequence(first, F.least(F.col("copies"), first + COPIES) - 1))
+    few = d.filter(F.col("copies") <= COPIES).withColumn("copy", each(F.lit(0).cast("long")))
+    many = d.filter(F.col("copies") > COPIES).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    return few.unionByName(many.repartition("from").withColumn("copy", each(F.col("from"))).drop("from"))
 
 
 def measured(docs: DataFrame, **others: Column) -> DataFrame:
-    """doc_id, source, size, weight, draw and ``others``. What a row draws by is its id, or without one a digest of its text."""
+    """doc_id, source, size, weight, draw, ``others`` and copies, the number of rows that are equal in all of these. What a row draws by is its id, or without one a digest of its text."""
     draw = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     size = docs.select("doc_id", "source", draw.alias("draw"), *(c.alias(k) for k, c in others.items()), word_count(F.col("text")).alias("size"), symbol_count(F.col("text")).alias("symbols"))
-    return size.withColumn("weight", quality_weight(F.col("size"), F.col("symbols"))).drop("symbols")
+    size = size.withColumn("weight", quality_weight(F.col("size"), F.col("symbols"))).drop("symbols")
+    return size.groupBy(*size.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +140,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     text; exact repeats of a row get the same number of copies. Rows without ``doc_id`` draw by their text; null and wordless texts take
     no words and don't come. Other columns come through whatever their names; tables without rows give none.
     """
-    number = row_number(F.col("doc_id"), F.col("text"))
+    number = row_name(F.col("doc_id"), F.col("text"))
     with passing() as stay:
         plan = mixed(cut(measured(docs, num=number))).filter("taken > 0").groupBy("num").agg(F.max(F.struct("taken", "size")).alias("p"))
         copies = F.floor(F.col("p.taken") / F.col("p.size")) + (2 * (F.col("p.taken") % F.col("p.size")) > F.col("p.size")).cast("long")
