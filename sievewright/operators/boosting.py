@@ -15,7 +15,6 @@ Missing values (null, NaN) are in a bin below all others and go left. Labels oth
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch
+from ..sources.tables import written
 from .resampling import mixed
 
 #: Gradients are counted in units of 1 / UNIT.
@@ -124,12 +123,6 @@ def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float) for c in names], 1) if batch.num_rows else np.zeros((0, len(names)))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{scratch(df.sparkSession)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, width)
 
@@ -279,7 +272,7 @@ def fit(df: DataFrame, label: Column, columns: list[str], key: list[str], p: Par
             row = pa.array((batch.column("row").to_numpy().view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("y"), row, pa.array(cut, pa.binary()), pa.array([b"\0" * 8 * len(variants)] * len(b), pa.binary())], ["y", "row", "bins", "margins"])
 
-    rows = _written(x.mapInArrow(coded, "y double, row long, bins binary, margins binary"))
+    rows = written(x.mapInArrow(coded, "y double, row long, bins binary, margins binary"))
     n, positive = rows.agg(F.count("y"), F.sum("y")).first()
     share = min(max((positive or 0) / max(n, 1), 1e-6), 1 - 1e-6)
     base = float(np.log(share / (1 - share)))
@@ -326,7 +319,7 @@ def _refreshed(rows: DataFrame, width: int, recent: list[list[Tree]]) -> DataFra
             raw, step = margins.tobytes(), 8 * margins.shape[1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("y", "row", "bins")), pa.array([raw[k * step : (k + 1) * step] for k in range(batch.num_rows)], pa.binary())], ["y", "row", "bins", "margins"])
 
-    return _written(rows.mapInArrow(run, rows.schema))
+    return written(rows.mapInArrow(run, rows.schema))
 
 
 def scored(df: DataFrame, fitted: list[Boosted], names: list[str] | None = None) -> DataFrame:

@@ -1,29 +1,40 @@
 """Running sums and ranks that no single task has to hold: slices of the order first, then rows inside a slice.
 
-Slices are cut at approximate quantiles of a numeric key, taken once over all rows; a slice's total is one row, so what comes before it is a sum over at
-most ``SLICES`` rows a group. Equal keys share a slice, therefore callers count by distinct key first where a key may be very common.
+The table is written once and then read for each step. Slices are cut at approximate quantiles of a numeric key, as many as its number of rows asks for; a slice's total is one
+row, so what comes before it is a sum over at most ``SLICES`` rows a group. Equal keys share a slice, therefore callers count by distinct key first where a key may be very common.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
-_STEP = 16
+from ..sources.tables import written
+
+#: Rows of a slice, about, and slices at most (their edges go through the driver).
+SLICE_ROWS, SLICES = 100_000, 65_536
 
 
 def sliced(df: DataFrame, key: Column) -> DataFrame:
-    """``df`` with ``_slice``, the number of the slice of each row's key; nulls come first."""
+    """``df``, written, with ``_slice``, the number of the slice of each row's key; nulls come first."""
+    df = written(df)
+    slices = min(SLICES, -(-df.count() // SLICE_ROWS))
     number = key.cast("double")
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(number, F.array(*(F.lit(i / SLICES) for i in range(1, SLICES))), F.lit(4 * SLICES)))).alias("e")).scalar()
-    upto = lambda a: F.size(F.filter(a, lambda e: e <= number))
-    coarse = upto(F.filter("_edges", lambda _, i: i % _STEP == _STEP - 1))
-    d = df.withColumn("_edges", edges).withColumn("_coarse", F.when(number.isNull(), 0).otherwise(coarse))
-    fine = F.when(number.isNull(), 0).otherwise(upto(F.slice("_edges", F.col("_coarse") * _STEP + 1, _STEP)))
-    return d.withColumn("_slice", F.coalesce(F.col("_coarse") * _STEP + fine, F.lit(0))).drop("_edges", "_coarse")
+    if slices < 2:
+        return df.withColumn("_slice", F.lit(0).cast("long"))
+    found = df.agg(F.percentile_approx(number, F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(4 * slices))).first()[0]
+    edges = np.unique(np.array(found or [], float))
+
+    @F.pandas_udf("long")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.where(x.isna(), 0, np.searchsorted(edges, x.to_numpy(float), side="right")))
+
+    # Not a number is above all numbers, as in Spark's order.
+    return df.withColumn("_slice", F.when(F.isnan(number), F.lit(slices).cast("long")).otherwise(place(number)))
 
 
 def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:

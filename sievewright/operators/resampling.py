@@ -18,7 +18,6 @@ crosses a bound on false positives inside a range, that range alone is looked at
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch
+from ..sources.tables import written
 from .evaluation import roc_metrics
 from .ranking import numbered
 
@@ -142,13 +141,7 @@ def drawn(df: DataFrame, key: str, of: Column, keep: dict[str, Column], reps: in
     d = df.select(F.col(key).alias("_key"), of.cast("long").alias("_class"), *(c.alias(k) for k, c in keep.items()))
     n = numbered(d, "_key", ["_class"]).withColumn("_place", F.col("place") - 1).drop("place", "all", "_key")
     classes = _sizes(d, reps)
-    return _written(n.join(_more(df, classes), ["_class", "_place"], "left")), classes
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{scratch(df.sparkSession)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(n.join(_more(df, classes), ["_class", "_place"], "left")), classes
 
 
 def _columns(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
@@ -224,7 +217,7 @@ def roc_draws(df: DataFrame, key: str, of: Column, runs: list[Run], reps: int, r
     each = [F.struct(F.lit(k).alias("run"), F.when(F.col("_class").isin(*r.classes), F.col(column[r.score])).alias("score")) for k, r in enumerate(runs)]
     flat = rows.select("_class", "_place", "_more", F.explode(F.array(*each)).alias("x")).select("x.run", "x.score", "_class", "_place", "_more").filter("score IS NOT NULL")
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(classes.sizes) * len(runs) // RANGE_ROWS))
-    ranged = _written(flat.repartitionByRange(parts, "run", "score", "_class", "_place").withColumn("range", F.spark_partition_id()))
+    ranged = written(flat.repartitionByRange(parts, "run", "score", "_class", "_place").withColumn("range", F.spark_partition_id()))
     of_run = [np.arange(r.residue, reps, r.modulo) for r in runs]
     schema = "run int, range int, score double, tie boolean, rep long, neg long, pos long, won double"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -250,7 +243,7 @@ def roc_draws(df: DataFrame, key: str, of: Column, runs: list[Run], reps: int, r
     before = Window.partitionBy("run", "rep").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     place = whole.withColumns({"fp": F.coalesce(F.sum("neg").over(before), F.lit(0)), "tp": F.coalesce(F.sum("pos").over(before), F.lit(0))})
     size = lambda side: F.element_at(F.array(*(F.lit(classes.sizes[r.classes[side]] if r.classes[side] < len(classes.sizes) else 0).cast("long") for r in runs)), F.col("run") + 1)
-    place = _written(place.withColumns({"n": size(0), "p": size(1)}).filter("n > 0 AND p > 0"))
+    place = written(place.withColumns({"n": size(0), "p": size(1)}).filter("n > 0 AND p > 0"))
     auc = place.groupBy("run", "rep").agg((F.sum(F.col("won") + F.col("neg") * F.col("tp") + F.when(F.col("tie"), F.col("neg") * F.col("pos") / 2).otherwise(0.0)) / F.max(F.col("p") * F.col("n").cast("double"))).alias("auc"))
     crossings = place.select("*", F.explode(F.array(*(F.lit(float(r)) for r in rates.values()))).alias("rate")).filter((F.col("fp") / F.col("n") <= F.col("rate")) & ((F.col("fp") + F.col("neg")) / F.col("n") > F.col("rate")))
     found = "run int, rep long, rate double, hit double"

@@ -10,7 +10,6 @@ Both passes drop all other grams by a bit table of fixed size, so what is broadc
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch
+from ..sources.tables import written
 
 #: Characters of a gram, which is also the least that a string may have.
 GRAM = 6
@@ -85,23 +84,17 @@ def _of_strings(strings: DataFrame) -> DataFrame:
     return strings.mapInArrow(run, "s string, gram long")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{scratch(df.sparkSession)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_strings(strings: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """s: strings (``GRAM`` characters at least; shorter ones and null are left out) that some text contains. Null texts contain none."""
-    own = _written(_of_strings(strings.select("s").filter(F.length("s") >= GRAM).distinct()))
+    own = written(_of_strings(strings.select("s").filter(F.length("s") >= GRAM).distinct()))
     counts = _held(texts, text, _bits(own.select("gram").distinct())).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A string with a gram that no text has is in none of them.
     rarest = own.join(counts, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    posted = _written(rarest.filter("r.n > 0").select("s", "r.gram", F.ceil(F.col("r.n") / PART).alias("parts")))
+    posted = written(rarest.filter("r.n > 0").select("s", "r.gram", F.ceil(F.col("r.n") / PART).alias("parts")))
     parts = posted.select("gram", "parts").distinct()
     spread = posted.select("s", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     lists = _held(texts, text, _bits(parts.select("gram"))).join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
-    pairs = _written(lists.join(spread, ["gram", "part"]).select("digest", "s").distinct())
+    pairs = written(lists.join(spread, ["gram", "part"]).select("digest", "s").distinct())
     # Only texts that may have a pair move, and equal ones are one before they do.
     number = F.xxhash64("digest")
     likely = texts.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("t")).withColumns({"gram": number, "w": F.shiftright(F.pmod(number, F.lit(BITS)), 6)})

@@ -238,3 +238,26 @@ def feature_groups(spark, d):
 
     f = table(spark, d, "part").select(F.get(F.array(*map(F.lit, _SOME)), (F.col("p_size") % 8).cast("int")).alias("feature"))
     return f.join(feature_groups(spark), "feature").groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT l_linenumber, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS a, count(*) FILTER (l_returnflag = 'R' AND l_quantity <= 25) AS b,
+count(*) FILTER (l_returnflag <> 'R' AND l_quantity > 25) AS c, count(*) FILTER (l_returnflag <> 'R' AND l_quantity <= 25) AS d FROM lineitem GROUP BY l_linenumber),
+m AS (SELECT *, a + b + c + d AS n, a + b AS r, a + c AS k FROM t), x AS (SELECT *, unnest(range(greatest(0, k - (n - r)), least(r, k) + 1)) AS x FROM m),
+p AS (SELECT l_linenumber, a, x, exp(lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) AS p FROM x),
+o AS (SELECT l_linenumber, max(p) FILTER (x = a) AS own FROM p GROUP BY l_linenumber)
+SELECT l_linenumber, round(sum(p) FILTER (p <= own * (1 + 1e-7)), 6) AS p FROM p JOIN o USING (l_linenumber) GROUP BY l_linenumber""")
+def fisher_by_group(spark, d):
+    """Whether large quantities come back more often, for each line number."""
+    t = table(spark, d, "lineitem").withColumns({"r": F.col("l_returnflag") == "R", "q": F.col("l_quantity") > 25})
+    t = t.groupBy("l_linenumber").agg(*(F.count_if(c).alias(n) for n, c in zip("abcd", (F.col("r") & F.col("q"), F.col("r") & ~F.col("q"), ~F.col("r") & F.col("q"), ~F.col("r") & ~F.col("q")), strict=True)))
+    return t.select("l_linenumber", F.round(evaluation.fisher_exact(*map(F.col, "abcd")), 6).alias("p"))
+
+
+@query("""WITH e AS (SELECT l_linenumber, l_quantity - 25 AS d FROM lineitem WHERE l_quantity <> 25), r AS (SELECT l_linenumber, d, rank() OVER w + (count(*) OVER (PARTITION BY l_linenumber, abs(d)) - 1) / 2 AS r FROM e WINDOW w AS (PARTITION BY l_linenumber ORDER BY abs(d))),
+s AS (SELECT l_linenumber, count(*) AS n, sum(r) FILTER (d > 0) AS w FROM r GROUP BY l_linenumber), t AS (SELECT l_linenumber, sum(c * c * c - c) AS t FROM (SELECT l_linenumber, count(*)::DOUBLE AS c FROM e GROUP BY l_linenumber, abs(d)) GROUP BY l_linenumber),
+z AS (SELECT l_linenumber, n, w, greatest(0, abs(w - n * (n + 1) / 4) - 0.5) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - t / 48) AS z FROM s JOIN t USING (l_linenumber)), q AS (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) AS q FROM z)
+SELECT l_linenumber, n, w AS w_plus, round(q * (0.254829592 + q * (-0.284496736 + q * (1.421413741 + q * (-1.453152027 + q * 1.061405429)))) * exp(-z * z / 2), 9) AS p FROM q""")
+def signed_rank_by_group(spark, d):
+    """Whether quantities lie around 25, for each line number."""
+    t = table(spark, d, "lineitem")
+    return evaluation.signed_rank(t, F.col("l_quantity") - 25, ["l_linenumber"]).withColumn("p", F.round("p", 9))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,3 +21,25 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="sievewright-")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+#: Folders made by ``written``: path -> session.
+_written: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: evaluated once, read as often as needed, and gone when the program ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    _written[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _written.items():
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended; the folder's owner clears it
+            pass

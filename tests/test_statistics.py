@@ -28,8 +28,6 @@ def test_auc_equals_pair_counting(spark):
 
 def test_exact_tests():
     assert evaluation.sign_flip_p([1.0, 1.0, 1.0]) == pytest.approx(0.25)
-    assert evaluation.fisher_exact_p(3, 1, 1, 3) == pytest.approx(0.4857, abs=1e-3)
-    assert evaluation.wilcoxon_p([1, 2, 3, 4, 5]) == pytest.approx(2 / 32)
 
 
 def test_mcnemar_p(spark):
@@ -58,3 +56,41 @@ def test_alignment_maps_ranks(spark):
     got = [x["aligned"] for x in drift.aligned(t, r, "x", ["g"], "k").orderBy("k").collect()]
     ref = np.array([i * 100.0 for i in range(20)])
     assert got == [float(ref[max(1, math.ceil((i + 0.5) / 10 * 20)) - 1]) for i in range(10)]
+
+
+def test_fisher_equals_all_tables(spark):
+    rows = [(3, 1, 1, 3), (0, 0, 0, 0), (10, 2, 3, 15), (0, 5, 5, 0), (7, 0, 0, 0), (1, 9, 11, 3)] + [(a, 6 - a, 9 - a, 5 + a) for a in range(7)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    for r in df.select("*", evaluation.fisher_exact(*map(F.col, "abcd")).alias("p")).collect():
+        a, b, c, d = (r[x] for x in "abcd")
+        n, m, k = a + b + c + d, a + b, a + c
+        p = {x: math.comb(m, x) * math.comb(n - m, k - x) / math.comb(n, k) for x in range(max(0, k - n + m), min(m, k) + 1)}
+        assert r["p"] == pytest.approx(sum(v for v in p.values() if v <= p[a] * (1 + 1e-9)))
+    big = spark.createDataFrame([(10**8, 10**8, 10**8, 10**8), (10**6, 0, 0, 10**6)], "a long, b long, c long, d long").select(evaluation.fisher_exact(*map(F.col, "abcd")).alias("p")).collect()
+    assert big[0]["p"] == pytest.approx(1.0) and big[1]["p"] < 1e-12
+
+
+def test_signed_rank_equals_all_signs(spark):
+    groups = {"a": [1.0, 2, 3, 4, 5], "b": [1.0, -1, 2, 2, -3, 0, 0.5], "c": [0.0, 0], "d": [-4.0], "e": [float((-1) ** i * (i % 5) + 1) for i in range(14)]}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None)], "g string, v double")
+    got = {r["g"]: r for r in evaluation.signed_rank(df, F.col("v"), ["g"]).collect()}
+    assert set(got) == {"a", "b", "d", "e"}
+    for g, r in got.items():
+        x = np.array([v for v in groups[g] if v])
+        size = np.abs(x)
+        ranks = np.array([(size < s).sum() + ((size == s).sum() + 1) / 2 for s in size])
+        signs = np.array([[(k >> i) & 1 for i in range(len(x))] for k in range(1 << len(x))])
+        sums, won = signs @ ranks, ranks[x > 0].sum()
+        assert (r["n"], r["w_plus"]) == (len(x), won)
+        assert r["p"] == pytest.approx((np.abs(sums - ranks.sum() / 2) >= abs(won - ranks.sum() / 2) - 1e-9).mean())
+
+
+def test_signed_rank_of_many(spark):
+    df = spark.range(2000).select(((F.col("id") * 7919 % 2000) - 950).cast("double").alias("v"))
+    p = evaluation.signed_rank(df, F.col("v")).first()["p"]
+    exact = evaluation.EXACT
+    evaluation.EXACT = 5000
+    try:
+        assert evaluation.signed_rank(df, F.col("v")).first()["p"] == pytest.approx(p, rel=0.02)
+    finally:
+        evaluation.EXACT = exact
