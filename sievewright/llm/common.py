@@ -17,7 +17,15 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of one Arrow batch between Spark and a Python worker, at most: Spark's own default, 10,000 rows of text, has no bound in bytes that an executor could hold several times.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. The session's Arrow batches are held to ``BATCH_ROWS`` from here on, unless they are smaller already."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
