@@ -344,6 +344,13 @@ def bootstrap_rate(df: DataFrame, key: str, flag: Column, reps: int = 1_000) ->
     return df.agg(F.avg(flag.cast("int")).alias("rate")).crossJoin(bounds(draws, ("rate",)).select("low", "high"))
 
 
+def paired_difference(df: DataFrame, key: str, a: Column, b: Column, reps: int = 1_000) -> DataFrame:
+    """One row: difference of two rates on the same rows, with percentile bounds; both see the same rows in every replicate."""
+    apart = a.cast("int") - b.cast("int")
+    draws = sums(df, key, F.lit(0), {"rows": F.lit(1), "apart": apart}, reps).select("rep", (F.col("apart") / F.col("rows")).alias("difference"))
+    return df.agg(F.avg(apart).alias("difference")).crossJoin(bounds(draws, ("difference",)).select("low", "high"))
+
+
 def family_bootstrap(families: DataFrame, key: str, coverage: Column, size: Column, reps: int = 10_000) -> DataFrame:
     """metric (macro: mean over families; pooled: by size), point, low, high, over resampled families. One row a family comes in; ``key`` is numeric."""
     f = families.select(F.col(key).alias("k"), F.coalesce(coverage, F.lit(0.0)).alias("c"), size.cast("double").alias("n"))

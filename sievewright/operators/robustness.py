@@ -1,11 +1,10 @@
-"""Parity of extractions, perturbed records, ablations and paired resampling."""
+"""Parity of extractions, perturbed records and ablations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import hash_weights
 from .ranking import md5_number, numbered
 
 
@@ -47,14 +46,6 @@ def deleted(values: Column, contributions: Column, medians: Column, k: int) -> C
     return F.transform(values, lambda v, i: F.when(F.array_contains(top, i), F.element_at(medians, i + 1)).otherwise(v))
 
 
-def paired_difference(df: DataFrame, key: str, a: Column, b: Column, reps: int) -> DataFrame:
-    """One row: difference of two rates on the same rows, with percentile bounds; both use the same weights in every replicate."""
-    r = df.select(F.col(key).alias("k"), (a.cast("int") - b.cast("int")).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    w = r.select("rep", "d", hash_weights(F.col("k"), F.col("rep")).alias("w")).groupBy("rep").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("d"))
-    bounds = w.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
-    return df.agg(F.avg(a.cast("int") - b.cast("int")).alias("difference")).crossJoin(bounds)
-
-
 def without_most_common(df: DataFrame, group: str) -> DataFrame:
     """Rows outside the most frequent group (ties by name): the exclusion control."""
     most = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(1)

@@ -126,6 +126,13 @@ def hash_bootstrap_ci(spark, d):
     return resampling.bootstrap_rate(e, "event_id", F.col("event_type") == "error", REPS).select(*(F.round(c, 9).alias(c) for c in ("rate", "low", "high")))
 
 
+@query(f"""WITH e AS (SELECT event_id, (value > 60)::INT - (value > 90)::INT AS f, 0 AS cls FROM events), {_resampled('e', 'event_id', REPS)}, s AS (SELECT rep, sum(w * f) / sum(w) AS rate FROM x GROUP BY rep)
+SELECT (SELECT round(avg(f), 9) FROM e) AS difference, round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high FROM s""")
+def paired_bootstrap_diff(spark, d):
+    r = resampling.paired_difference(table(spark, d, "events").select("event_id", "value"), "event_id", F.col("value") > 60, F.col("value") > 90, REPS)
+    return r.select(*(F.round(c, 9).alias(c) for c in ("difference", "low", "high")))
+
+
 _FAMILY_RATES = "sum({w} * c) / sum({w}) AS macro, sum({w} * c * n) / sum({w} * n) AS pooled"
 _FAMILIES = "f AS (SELECT split_part(p_brand, '#', 2)::BIGINT AS brand, avg((p_size > 25)::INT) AS c, count(*)::DOUBLE AS n, 0 AS cls FROM part GROUP BY p_brand)"
 

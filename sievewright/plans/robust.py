@@ -9,7 +9,7 @@ from ..operators import drift, evaluation, robustness
 from ..sources.tables import table
 from .mining import _TOKENS, _atoms, specificity_coverage
 from .mining import ORACLE_SQL as MINING_SQL
-from .statistics import _LONG, _long, _poisson_case, _psi
+from .statistics import _LONG, _long, _psi
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,15 +72,6 @@ def deletion_test(spark, d):
     return y.agg(F.round(F.avg(F.col("y")[0]), 6).alias("a"), F.round(F.avg(F.col("y")[1]), 4).alias("b"), F.round(F.avg(F.col("y")[2]), 6).alias("c"))
 
 
-@query(f"""WITH r AS (SELECT event_id, (value > 60)::INT - (value > 90)::INT AS f, unnest(range(1, 31)) AS rep FROM events),
-u AS (SELECT rep, f, ('0x' || substr(md5(event_id || ':' || rep), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM r),
-w AS (SELECT rep, f, {_poisson_case('u')} AS w FROM u), s AS (SELECT rep, sum(w * f) / sum(w) AS rate FROM w GROUP BY rep)
-SELECT (SELECT round(avg((value > 60)::INT - (value > 90)::INT), 9) FROM events) AS difference, round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high FROM s""")
-def paired_bootstrap_diff(spark, d):
-    r = robustness.paired_difference(table(spark, d, "events"), "event_id", F.col("value") > 60, F.col("value") > 90, 30)
-    return r.select(*(F.round(c, 9).alias(c) for c in ("difference", "low", "high")))
-
-
 _FLOORS = [1e-5, 1e-4, 1e-3, 1e-2]
 
 
