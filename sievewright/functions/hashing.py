@@ -9,39 +9,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MASK = 0xFFFFFFFF
-
-
-def murmur3(data: bytes, seed: int = 0) -> int:
-    """Unsigned 32-bit value of MurmurHash3_x86_32."""
-    h, n = seed, len(data)
-    blocks = np.frombuffer(data[: n & ~3], "<u4").tolist()
-    for i, k in enumerate([*blocks, int.from_bytes(data[n & ~3 :], "little")]):
-        if i == len(blocks) and not n & 3:
-            break
-        k = k * 0xCC9E2D51 & _MASK
-        h ^= (k << 15 | k >> 17) * 0x1B873593 & _MASK
-        if i < len(blocks):
-            h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & _MASK
-    h ^= n
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ h >> shift) * factor & _MASK
-    return h ^ h >> 16
-
-
-def hashed(tokens: list[tuple[str, float]], width: int) -> np.ndarray:
-    """Sum of signed values at |h| mod width, h being the signed hash of the token."""
-    out = np.zeros(width)
-    for token, value in tokens:
-        h = murmur3(token.encode())
-        h = h - (1 << 32) if h >> 31 else h
-        out[abs(h) % width] += value if h >= 0 else -value
+#: The hash's constants.
+_C1, _C2, _ADD = 0xCC9E2D51, 0x1B873593, 0xE6546B64
+_FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
+
+
+def _scrambled(k: np.ndarray) -> np.ndarray:
+    k = k * np.uint32(_C1)
+    return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(_C2)
+
+
+def murmur3(values: pa.Array) -> np.ndarray:
+    """Unsigned 32-bit MurmurHash3_x86_32 (seed 0) of the bytes of all strings or binaries; null as empty.
+
+    All values take a step at a time, four bytes each, longest first, so that those still going are a slice.
+    """
+    wide = values.cast(pa.large_string() if pa.types.is_string(values.type) else pa.large_binary()).cast(pa.large_binary())
+    ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = np.concatenate([np.frombuffer(wide.buffers()[2] or b"", np.uint8), np.zeros(4, np.uint8)]) if len(wide) else np.zeros(4, np.uint8)
+    size = np.diff(ends)
+    order = np.argsort(-(size // 4), kind="stable")
+    start, size = ends[:-1][order], size[order]
+    blocks = size // 4
+    h = np.zeros(len(size), np.uint32)
+    word = lambda at: sum(data[at + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
+    for k in range(int(blocks[0]) if len(blocks) else 0):
+        n = int(np.searchsorted(-blocks, -k, side="left"))
+        x = h[:n] ^ _scrambled(word(start[:n] + 4 * k))
+        h[:n] = (x << np.uint32(13) | x >> np.uint32(19)) * np.uint32(5) + np.uint32(_ADD)
+    left = size % 4
+    tail = word(start + 4 * blocks) & ((np.uint32(1) << (8 * left).astype(np.uint32)) - np.uint32(1))
+    h ^= _scrambled(np.where(left > 0, tail, np.uint32(0)))
+    h ^= size.astype(np.uint32)
+    for shift, factor in _FINAL:
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    out = np.empty(len(h), np.uint32)
+    out[order] = h
     return out
 
 
+def cells(tokens: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's cell, |h| mod width with h the signed hash, and its sign; each distinct token is hashed once."""
+    coded = tokens.dictionary_encode()
+    h = murmur3(coded.dictionary).view(np.int32).astype(np.int64)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    return (np.abs(h) % width)[code], np.where(h >= 0, 1.0, -1.0)[code]
+
+
+def hashed_tokens(df: DataFrame, tokens: str, width: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns, cell and value: the cells that aren't 0 of each row's signed sums over its ``tokens`` (array of strings; nulls in it are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_tokens")
+            row = np.repeat(np.arange(batch.num_rows), np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))
+            flat = lists.flatten()
+            seen = pa.compute.is_valid(flat).to_numpy(zero_copy_only=False)
+            cell, sign = cells(flat.drop_null(), width)
+            place, of = np.unique(row[seen] * width + cell, return_inverse=True)
+            value = np.bincount(of, weights=sign, minlength=len(place))
+            place, value = place[value != 0], value[value != 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"k{k}").take(pa.array(place // width)) for k in range(len(keep))), pa.array(place % width), pa.array(value)], [*(f"k{k}" for k in range(len(keep))), "cell", "value"])
+
+    chosen = df.select(*(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("_tokens"))
+    kinds = ", ".join(f"k{k} {f.dataType.simpleString()}" for k, f in enumerate(chosen.schema.fields[:-1]))
+    out = chosen.mapInArrow(run, f"{kinds}, cell long, value double")
+    return out.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)), "cell", "value")
+
+
 #: Blocks of the hashed vector and their widths.
 BLOCKS = {"histogram": 256, "byteentropy": 256, "strings": 104, "general": 10, "header": 62, "section": 255, "imports": 1280, "exports": 128, "datadirectories": 30}
 
@@ -88,17 +128,20 @@ def hashed_vectors(df: DataFrame, record: str, keep: list[str], entry_token: str
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All hashed parts of a record in one crossing to Python: token lists count one each, section lists their value."""
+        """All hashed parts of a batch in one crossing to Python: token lists count one each, section lists their value."""
         for batch in batches:
-            out = []
-            for row in batch.select(["p0", "p1", "p2", "t"]).to_pylist():
-                h = {}
-                for name, width in _HASHED.items():
-                    tokens = row["t"][name] or []
-                    h[name] = hashed([(x["k"], float(x["v"])) for x in tokens] if name.startswith("s_") else [(x, 1.0) for x in tokens], width)
-                order = [row["p0"], *list(h.values())[:5], row["p1"], *list(h.values())[5:], row["p2"]]
-                out.append(np.concatenate(order))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "vector"])
+            parts = {c: np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, -1) for c in ("p0", "p1", "p2")}
+            lists = dict(zip([f.name for f in batch.column("t").type], batch.column("t").flatten(), strict=True))
+            for name, width in _HASHED.items():
+                part = parts[name] = np.zeros((batch.num_rows, width))
+                row = np.repeat(np.arange(batch.num_rows), np.nan_to_num(pa.compute.list_value_length(lists[name]).to_numpy(zero_copy_only=False)).astype(np.int64))
+                flat = lists[name].flatten()
+                keys, weight = (flat.field("k"), np.nan_to_num(flat.field("v").to_numpy(zero_copy_only=False).astype(float))) if name.startswith("s_") else (flat, 1.0)
+                cell, sign = cells(keys.fill_null(""), width)
+                np.add.at(part, (row, cell), sign * weight)
+            order = ["p0", *list(_HASHED)[:5], "p1", *list(_HASHED)[5:], "p2"]
+            out = np.concatenate([parts[c] for c in order], 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))], [*keep, "vector"])
 
     chosen = df.select(*keep, tokens.alias("t"), *(c.alias(n) for n, c in plain.items()))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)

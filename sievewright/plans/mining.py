@@ -309,6 +309,26 @@ def density_clusters(spark, d):
     return density.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", _REACH, 5)
 
 
+def _scrambled(k: str) -> str:
+    """SQL: a block of murmur3 scrambled, as UBIGINT of 32 bits."""
+    x = f"(({k} * 3432918353::UBIGINT) & 4294967295)"
+    return f"(((({x} << 15) | ({x} >> 17)) & 4294967295) * 461845907::UBIGINT) & 4294967295"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zà-ÿA-ZÀ-ß]+')) AS w FROM documents), t AS (SELECT DISTINCT w, hex(encode(w)) AS x, octet_length(encode(w)) AS n FROM w),
+b AS (SELECT w, n, list_transform(range(4 * ((n + 3) // 4)), lambda i: CASE WHEN i < n THEN ('0x' || substr(x, (2 * i + 1)::INT, 2))::UBIGINT ELSE 0::UBIGINT END) AS b FROM t),
+k AS (SELECT w, n, list_transform(range((n + 3) // 4), lambda i: b[4 * i + 1] | (b[4 * i + 2] << 8) | (b[4 * i + 3] << 16) | (b[4 * i + 4] << 24)) AS k FROM b),
+s AS (SELECT w, n, list_transform(k, lambda v: {_scrambled('v')}) AS s FROM k),
+h0 AS (SELECT w, n, list_reduce(list_prepend(0::UBIGINT, s[:n // 4]), lambda h, v: (((((xor(h, v) << 13) | (xor(h, v) >> 19)) & 4294967295) * 5 + 3864292196::UBIGINT) & 4294967295)) AS h, CASE WHEN n % 4 > 0 THEN s[n // 4 + 1] ELSE 0::UBIGINT END AS tail FROM s),
+h1 AS (SELECT w, xor(xor(h, tail), n::UBIGINT) AS h FROM h0), h2 AS (SELECT w, (xor(h, h >> 16) * 2246822507::UBIGINT) & 4294967295 AS h FROM h1), h3 AS (SELECT w, (xor(h, h >> 13) * 3266489909::UBIGINT) & 4294967295 AS h FROM h2),
+h4 AS (SELECT w, xor(h, h >> 16)::BIGINT AS u FROM h3), c AS (SELECT w, CASE WHEN u >= 2147483648 THEN 4294967296 - u ELSE u END % 1024 AS cell, CASE WHEN u >= 2147483648 THEN -1.0 ELSE 1.0 END AS sign FROM h4)
+SELECT doc_id, cell, sum(sign)::DOUBLE AS value FROM w JOIN c USING (w) GROUP BY doc_id, cell HAVING sum(sign) <> 0""")
+def hashed_documents(spark, d):
+    """Every document's words as a signed hashed vector of 1,024 cells, those that aren't 0."""
+    words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[a-zà-ÿA-ZÀ-ß]+"), F.lit(0)).alias("words"))
+    return hashing.hashed_tokens(words, "words", 1024, ["doc_id"])
+
+
 _ENTROPY_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, h, n, unnest(range(0, CASE WHEN n < 256 THEN 1 ELSE (n - 256) // 128 + 1 END)) AS k FROM b WHERE n > 0),
 p AS (SELECT doc_id, k, unnest(range(k * 128, least(k * 128 + 256, n))) AS i, h FROM w),

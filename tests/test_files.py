@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,10 +56,44 @@ def test_byte_entropy_windows():
     assert spread[15].sum() == 2048
 
 
+def plain_murmur(data):
+    """MurmurHash3_x86_32 with seed 0, byte by byte as it is defined."""
+    mask, h = 0xFFFFFFFF, 0
+    turn = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    for i in range(0, len(data), 4):
+        k = turn(int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h ^= k
+        if i + 4 <= len(data):
+            h = (turn(h, 13) * 5 + 0xE6546B64) & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
 def test_murmur_and_hashing():
-    assert hashing.murmur3(b"hello") == 0x248BFA47 and hashing.murmur3(b"") == 0 and hashing.murmur3(b"abcd") == 0x43ED676A
-    v = hashing.hashed([("a", 2.0), ("a", 1.0)], 10)
-    assert abs(v).sum() == 3.0
+    known = {"": 0, "hello": 0x248BFA47, "abcd": 0x43ED676A, "hello, world": 0x149BBB7F, "The quick brown fox jumps over the lazy dog": 0x2E4FF723}
+    assert hashing.murmur3(pa.array(list(known))).tolist() == list(known.values())
+    r = random.Random(1)
+    texts = ["".join(r.choices("aé日😀 ", k=r.randint(0, 40))) for _ in range(500)] + ["x" * 10_000]
+    assert hashing.murmur3(pa.array(texts)[3:]).tolist() == [plain_murmur(t.encode()) for t in texts[3:]]
+    assert hashing.murmur3(pa.array([b"\xff\x00\x80", b"\xff\xff\xff\xff\x81"])).tolist() == [plain_murmur(b"\xff\x00\x80"), plain_murmur(b"\xff\xff\xff\xff\x81")]
+    assert hashing.murmur3(pa.array([], pa.string())).tolist() == []
+
+
+def test_hashed_tokens(spark):
+    rows = [(1, ["a", "b", "a", None]), (2, []), (3, None), (None, ["ü" * 9]), (4, [f"t{i}" for i in range(300)])]
+    got = {}
+    for r in hashing.hashed_tokens(spark.createDataFrame([(*r, 5) for r in rows], "id long, t array<string>, cell int"), "t", 16, ["id"]).collect():
+        got.setdefault(r["id"], {})[r["cell"]] = r["value"]
+    for i, tokens in rows:
+        want = {}
+        for t in tokens or []:
+            if t is not None:
+                h = plain_murmur(t.encode())
+                h -= (h >> 31) << 32
+                want[abs(h) % 16] = want.get(abs(h) % 16, 0) + (1 if h >= 0 else -1)
+        assert got.get(i, {}) == {k: v for k, v in want.items() if v}
 
 
 def test_features_and_verdicts(spark):
