@@ -62,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     except (FileNotFoundError, ValueError) as e:
         print(f"sievewright: {e}", file=sys.stderr)
         return 2
+    finally:
+        spark.catalog.clearCache()
 
 
 if __name__ == "__main__":

@@ -9,6 +9,13 @@ from ..functions import fixed
 from .tagging import strings
 
 SUSPICIOUS_AT, MALICIOUS_AT = 0.3, 0.7
+#: The sentences of a packed file's signals, in the order in which they are reported.
+SIGNALS = (
+    "packer section names: ",
+    "high-entropy sections: ",
+    "minimal import table with dynamic resolution (LoadLibraryA+GetProcAddress)",
+    "entry point in writable+executable section ",
+)
 
 
 def packing_signals(report: Column) -> Column:
@@ -23,10 +30,10 @@ def packing_signals(report: Column) -> Column:
     listed = lambda a: F.concat(F.lit("['"), F.array_join(a, "', '"), F.lit("']"))
     return F.array_compact(
         F.array(
-            F.when(F.size(known) > 0, F.concat(F.lit("packer section names: "), listed(known))),
-            F.when(F.size(dense) > 0, F.concat(F.lit("high-entropy sections: "), listed(dense))),
-            F.when((F.size(functions) <= 4) & F.array_contains(functions, "LoadLibraryA") & F.array_contains(functions, "GetProcAddress"), F.lit("minimal import table with dynamic resolution (LoadLibraryA+GetProcAddress)")),
-            F.when(entry["characteristics"].bitwiseAND(both) == both, F.concat(F.lit("entry point in writable+executable section "), entry["name"])),
+            F.when(F.size(known) > 0, F.concat(F.lit(SIGNALS[0]), listed(known))),
+            F.when(F.size(dense) > 0, F.concat(F.lit(SIGNALS[1]), listed(dense))),
+            F.when((F.size(functions) <= 4) & F.array_contains(functions, "LoadLibraryA") & F.array_contains(functions, "GetProcAddress"), F.lit(SIGNALS[2])),
+            F.when(entry["characteristics"].bitwiseAND(both) == both, F.concat(F.lit(SIGNALS[3]), entry["name"])),
         )
     )
 

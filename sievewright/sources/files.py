@@ -23,10 +23,10 @@ def refused(spark: SparkSession, path: str, most: int = 128 << 20) -> DataFrame:
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records as JSON lines (any codec Spark reads; bzip2 splits by block): unlabelled lines go before they are parsed, imports become the ordered array."""
+    """Records as JSON lines (any codec Spark reads; bzip2 splits by block): unlabelled ones (label -1) go, imports become the ordered array."""
     schema = RAW_V2.replace("imports array<struct<dll:string,functions:array<string>>>", "imports map<string,array<string>>")
-    lines = spark.read.text(path).filter("length(trim(value)) > 0 AND NOT value LIKE '%\"label\": -1%'")
-    record = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    lines = spark.read.text(path).filter("length(trim(value)) > 0")
+    record = lines.select(F.from_json("value", schema).alias("r")).select("r.*").filter("label IS NULL OR label <> -1")
     return record.withColumn("imports", F.transform(F.map_entries("imports"), lambda e: F.struct(e["key"].alias("dll"), e["value"].alias("functions"))))
 
 

@@ -156,10 +156,12 @@ def test_string_statistics_equal_brute_force(spark):
 
 
 def test_raw_records_and_second_format(spark, tmp_path):
-    lines = [{"sha256": "a", "label": 1, "imports": {"K.dll": ["f", "g"]}}, {"sha256": "b", "label": -1}]
+    lines = [{"sha256": "a", "label": 1, "imports": {"K.dll": ["f", "g"]}}, {"sha256": "b", "label": -1}, {"sha256": "c", "label": -10}, {"sha256": 'd "label": -1', "label": 0}, {"sha256": "e"}]
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
-    got = files.raw_records(spark, str(tmp_path / "r.jsonl")).collect()
-    assert len(got) == 1 and got[0]["imports"][0]["functions"] == ["f", "g"]
+    # Without blanks after the colon too.
+    (tmp_path / "s.jsonl").write_text('{"sha256":"f","label":-1}\n')
+    got = files.raw_records(spark, str(tmp_path / "*.jsonl")).orderBy("sha256").collect()
+    assert [r["sha256"] for r in got] == ["a", "c", 'd "label": -1', "e"] and got[0]["imports"][0]["functions"] == ["f", "g"]
     v3 = (
         "sha256 string, label int, family string, week_id int, histogram array<long>, byteentropy array<long>, general struct<size:long>, exports array<string>, imports array<struct<dll:string,functions:array<string>>>, "
         "header struct<coff:struct<timestamp:long,machine:string,characteristics:array<string>,number_of_symbols:long>,optional:struct<subsystem:string,magic:int,dll_characteristics:array<string>,sizeof_image:long,"
