@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, passing, table
+from .common import as_bytes, blocks, cut, given_back, passing, table
 from .pieces import regular
 from .token_counts import byte_symbols
 
@@ -334,10 +334,6 @@ def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-#: One encoder for each Python worker, so that its caches serve all of the worker's tasks.
-_encoder: list = [None, None]
-
-
 def _as_stream(table: pa.Table) -> bytes:
     """A table as one stream of bytes: the driver makes no Python object of any row."""
     out = pa.BufferOutputStream()
@@ -347,12 +343,8 @@ def _as_stream(table: pa.Table) -> bytes:
 
 
 def encoder_of(path: str, pattern: str, shared: Broadcast) -> MergeReplay:
-    """This worker's encoder, with the words that ``shared_words`` gave."""
-    stream = shared.value
-    key = path, pattern, hashlib.sha256(stream).digest()
-    if _encoder[0] != key:
-        _encoder[:] = key, MergeReplay(merges_of(path), pattern, ready=pa.ipc.open_stream(stream).read_all())
-    return _encoder[1]
+    """A task's encoder, with the words that ``shared_words`` gave; it goes with the task, the merges stay with the worker."""
+    return MergeReplay(merges_of(path), pattern, ready=pa.ipc.open_stream(shared.value).read_all())
 
 
 @functools.cache
@@ -375,7 +367,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             del parts, seen, t
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(given_back(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", most: int = VOCABULARY) -> pa.Table:
@@ -406,7 +398,7 @@ def encoded_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
                 break
             level = r["level"]
         chosen = counts.filter(F.col("level") >= level) if level is not None else counts.limit(0)
-        return chosen.select("word").mapInArrow(run, "word string, ids binary").toArrow()
+        return chosen.select("word").mapInArrow(given_back(run), "word string, ids binary").toArrow()
 
 
 def shared_words(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> Broadcast:
@@ -435,7 +427,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>"), ("decoded", "binary")] * ids
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, chosen.schema.fields)] + [f"{c} {t}" for c, t in fields])
-    out = chosen.mapInArrow(run, schema)
+    out = chosen.mapInArrow(given_back(run), schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), *(c for c, _ in fields))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, as_bytes, blocks, cut, discard, likely_rows, meet, packed, passing, row_name, rows_without, table, unpacked
+from .common import HOT_KEYS, as_bytes, blocks, cut, discard, given_back, likely_rows, meet, packed, passing, row_name, rows_without, table, unpacked
 from .components import components, roots
 from .hashing import Block, mix
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, width: int, lower: bool, coords: int = COORDS) -
                 ["doc_id", "n_shingles", "set_key", "sig", "planes"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sig array<int>, planes array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(given_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sig array<int>, planes array<long>")
 
 
 def set_key(hashes: np.ndarray) -> bytes | None:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
             take = pa.array(mine, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("best").take(take), pa.array([sets[k].tobytes() for k in mine], pa.binary())], ["rid", "best", "hashes"])
 
-    return docs.select("rid", "best", "set_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid long, best long, hashes binary")
+    return docs.select("rid", "best", "set_key", F.col("text").cast("binary").alias("text")).mapInArrow(given_back(run), "rid long, best long, hashes binary")
 
 
 def linked(both, na, nb, percent: int):
@@ -299,7 +299,7 @@ def _confirmed(sets: DataFrame, best: DataFrame, percent: int) -> DataFrame:
     b = b.withColumn("cut", F.coalesce(F.pmod(F.xxhash64("b"), F.col("cuts")), F.lit(0)).cast("int")).drop("cuts")
     a = likely_rows(sets, "rid", centres.select("a")).select(F.col("rid").alias("a"), F.col("hashes").alias("seta")).join(hot, "a", "left")
     a = a.withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts") - 1, F.lit(0))))).drop("cuts")
-    return cut(b.join(a.hint("merge"), ["a", "cut"]).select("a", "b", "seta", "setb").mapInArrow(_confirm(percent), "a long, b long").toDF("u", "v"))
+    return cut(b.join(a.hint("merge"), ["a", "cut"]).select("a", "b", "seta", "setb").mapInArrow(given_back(_confirm(percent)), "a long, b long").toDF("u", "v"))
 
 
 def _settled(sets: DataFrame, parts: DataFrame, cohorts: DataFrame, members: DataFrame, percent: int) -> DataFrame:

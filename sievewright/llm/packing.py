@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import ENCODED_BYTES, _gathered, encoder_of, shared_words
-from .common import as_bytes, blocks, cut, passing, table
+from .byte_bpe import ENCODED_BYTES, MergeReplay, _gathered, encoder_of, shared_words
+from .common import as_bytes, blocks, cut, given_back, table
 from .token_counts import BYTE_LEVEL_PATTERN
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -75,14 +75,14 @@ def _library(path: str):
     return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-def _encoded(path: str, shared: Broadcast, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(path: str, encoder: MergeReplay, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each with ``end`` after it, and where each text's begin (one more at the end)."""
     tokenizer, special = _library(path)
     marked = [k for k, t in enumerate(texts) if any(x in t for x in special)]
     plain = list(texts)
     for k in marked:
         plain[k] = ""
-    ids, at = encoder_of(path, BYTE_LEVEL_PATTERN, shared).flat(plain)
+    ids, at = encoder.flat(plain)
     own = [np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4") for k in marked]
     sizes = np.diff(at)
     starts = at[:-1].copy()
@@ -100,8 +100,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     shared = shared_words(docs, tokenizer, BYTE_LEVEL_PATTERN, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer, BYTE_LEVEL_PATTERN, shared)
         for batch in blocks(batches, size=ENCODED_BYTES):
-            ids, at = _encoded(tokenizer, shared, [x.decode("utf-8", "replace") for x in as_bytes(batch)], end)
+            ids, at = _encoded(tokenizer, encoder, [x.decode("utf-8", "replace") for x in as_bytes(batch)], end)
             n = np.diff(at)
             many = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), many)
@@ -115,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             yield pa.RecordBatch.from_arrays(arrays, ["key", *(c for c, _ in _PIECE)])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, ", ".join([f"key {kind}", *(f"{c} {t}" for c, t in _PIECE)]))
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(given_back(run), ", ".join([f"key {kind}", *(f"{c} {t}" for c, t in _PIECE)]))
     return out.withColumnRenamed("key", key)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import as_bytes, blocks, cut, digest, packed, passing, rows_without, table, unpacked
+from .common import as_bytes, blocks, cut, digest, given_back, packed, passing, rows_without, table, unpacked
 from .hashing import Block, mix
 
 #: Labelled rows that the trees are fitted to, at most.
@@ -83,7 +83,7 @@ def document_statistics(docs: DataFrame, *others: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(s[c].astype(np.int64)) for c in BASE + EXTRA)], [*kept, *BASE, *EXTRA])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return docs.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in BASE + EXTRA)]))
+    return docs.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(given_back(run), ", ".join([*kinds, *(f"{c} long" for c in BASE + EXTRA)]))
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> tuple[boosting.FlatTrees, float] | None:
@@ -120,7 +120,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *others, *BASE)), pa.array(score)], ["doc_id", *others, *BASE, "score"])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *others)]
-    scored = stats.mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in BASE), "score double"]))
+    scored = stats.mapInArrow(given_back(run), ", ".join([*kinds, *(f"{c} long" for c in BASE), "score double"]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     threshold = model[1] if model else 0.0
     return scored.select("doc_id", *others, *BASE, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
