@@ -1,6 +1,7 @@
 """Quality classification by co-training a text view and a page-metadata view.
 
-The text view sees hashed words and document statistics of whole texts; the metadata view sees language, source and length only.
+The text view sees hashed words and document statistics of whole texts; the metadata view sees no word of them: language, source, length and the shares of
+kinds of characters (symbols, marks, capitals, digits), each as a step of its scale.
 Both start from a bounded sample of labelled rows. Each round, both score all documents, and a view's most confident ones outside the sample
 (``CONFIDENT`` at least, the ``EXCHANGE`` best of each class, ties by hash) become labels of the other view: the classes' best of the whole table, a
 bounded training set. On labelled rows that took no part in fitting, each view is calibrated. A view whose calibrated scores don't beat
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, passing, table
+from .common import as_bytes, blocks, cut, given_back, passing, table
 from .hashing import Block
 from .quality_rules import FEATURES, features, statistics
 
@@ -35,11 +36,15 @@ CONFIDENT = 0.95
 EXCHANGE = 150
 WORD_BUCKETS = 1 << 10
 LANGS, SOURCES, LENGTHS = 32, 256, 32
+#: Kinds of characters of the metadata view, and steps of each one's share.
+KINDS, SHARES = (b"#*$%&|<>", b".!?,;:", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"), 16
+META = LANGS + SOURCES + LENGTHS + len(KINDS) * SHARES
+_KIND = np.array([next((k for k, x in enumerate(KINDS) if bytes([b]) in x), len(KINDS)) for b in range(256)], np.uint8)
 KEEP_GOOD = 0.998
 
 
 def metadata_codes() -> list[F.Column]:
-    """Positions of a row's three ones in the metadata view."""
+    """Positions of a row's first three ones in the metadata view."""
     size = F.least(F.lit(LENGTHS - 1), F.floor(F.log2(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0)) + 1)).cast("int"))
     return [
         F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(LANGS)).cast("int").alias("m_lang"),
@@ -48,6 +53,15 @@ def metadata_codes() -> list[F.Column]:
     ]
 
 
+def profile_codes(raw: list[bytes]) -> np.ndarray:
+    """Positions of a row's further ones: the step of each kind of character's share of the bytes, finer for small shares."""
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    kind, doc = _KIND[np.frombuffer(b"".join(raw), np.uint8)], np.repeat(np.arange(len(raw)), size)
+    shares = np.bincount(doc * (len(KINDS) + 1) + kind, minlength=len(raw) * (len(KINDS) + 1)).reshape(len(raw), -1)[:, :-1] / np.maximum(size, 1)[:, None]
+    step = np.minimum(SHARES - 1, np.floor(1.5 * np.log2(1 + 1000 * shares)).astype(np.int64))
+    return LANGS + SOURCES + LENGTHS + SHARES * np.arange(len(KINDS)) + step
+
+
 def bags(block: Block) -> np.ndarray:
     """Share of each word bucket in each document's words, dense (for the sample only)."""
     at = block.doc * WORD_BUCKETS + (block.hash & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
@@ -119,7 +133,7 @@ def _line(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def one_hot(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(codes), LANGS + SOURCES + LENGTHS), np.float32)
+    out = np.zeros((len(codes), META), np.float32)
     np.put_along_axis(out, codes, 1.0, axis=1)
     return out
 
@@ -169,26 +183,27 @@ class CoTraining:
 
 
 def _rows_of(docs: DataFrame, chosen: DataFrame) -> pd.DataFrame:
-    """One row for each id of ``chosen`` (doc_id, others; bounded): its features x (float32 bytes) and codes."""
+    """One row for each id of ``chosen`` (doc_id, others; bounded): its features x and codes, as bytes of float32 and int64."""
     others = [c for c in chosen.columns if c != "doc_id"]
     codes = ["m_lang", "m_source", "m_length"]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *metadata_codes(), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     d = d.groupBy("doc_id", *others).agg(F.min(F.struct("text", *codes)).alias("r")).select("doc_id", *others, *(f"r.{c}" for c in codes), F.col("r.text").cast("binary").alias("text"))
-    names = ["doc_id", *others, *codes]
+    names = ["doc_id", *others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             raw = as_bytes(batch)
             x = np.hstack([bags(Block(raw, lower=True)), features(statistics(raw))]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([r.tobytes() for r in x], pa.binary())], [*names, "x"])
+            own = np.hstack([np.stack([batch.column(c).to_numpy() for c in codes], axis=1), profile_codes(raw)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, own))], [*names, "x", "codes"])
 
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in names)
-    return d.mapInArrow(run, f"{kinds}, x binary").toPandas().sort_values("doc_id").reset_index(drop=True)
+    return d.mapInArrow(given_back(run), f"{kinds}, x binary, codes binary").toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), WORD_BUCKETS + len(FEATURES))
-    return x, pdf[["m_lang", "m_source", "m_length"]].to_numpy(np.int64)
+    return x, np.frombuffer(b"".join(pdf["codes"]), np.int64).reshape(len(pdf), 3 + len(KINDS))
 
 
 def fit_views(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Views | None:
@@ -201,7 +216,8 @@ def fit_views(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Views
     co, seen = CoTraining(*_arrays(sample), label), chosen.select("doc_id")
     for turn in range(rounds):
         views, may = co.fitted()
-        if not any(may):
+        # A view that doesn't count is taught once; if it doesn't count then either, further passes over the corpus would change nothing.
+        if not any(may) or turn and not all(may):
             break
         with passing():
             scored = cut(score_views(docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")), views).select("doc_id", "text_score", "page_score").join(F.broadcast(seen), "doc_id", "left_anti"))
@@ -233,14 +249,14 @@ def score_views(docs: DataFrame, v: Views | None) -> DataFrame:
                 b = Block(docs_, lower=True)
                 bag = b.per_doc(v.words[(b.hash & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)]) / np.maximum(b.n_words, 1)
                 text = bag + features(statistics(docs_)) @ v.stats + v.text_bias
-                codes = np.stack([batch.column(c).to_numpy() for c in ("m_lang", "m_source", "m_length")], axis=1)
+                codes = np.hstack([np.stack([batch.column(c).to_numpy() for c in ("m_lang", "m_source", "m_length")], axis=1), profile_codes(docs_)])
                 page = v.meta[codes].sum(axis=1) + v.meta_bias
                 text, page = v.text_line[0] * text + v.text_line[1], v.meta_line[0] * page + v.meta_line[1]
                 scores = [sigmoid(text), sigmoid(page), sigmoid(v.mix[0] * text + v.mix[1] * page)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, scores)], ["doc_id", "text_score", "page_score", "score"])
 
     rows = docs.select("doc_id", *metadata_codes(), F.col("text").cast("binary").alias("text"))
-    out = rows.mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double")
+    out = rows.mapInArrow(given_back(run), f"doc_id {kind}, text_score double, page_score double, score double")
     return out.withColumn("kept", F.col("score") >= F.lit(v.threshold if v else 0.0))
 
 

@@ -1,10 +1,12 @@
 """Operators on small tables with every odd row: nulls, empty and long texts, ties, repeats, clashing columns, no rows."""
 
 import hashlib
+import math
 import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import byte_bpe, chat, cotraining, exact_dedup, language_id, licenses, minhash, mixing, quality_rules, token_counts
 
@@ -352,12 +354,34 @@ def test_cotraining_scores_equal_plain_sums(spark, docs, labels):
         raw = (r[1] or "").encode()
         x = np.hstack([cotraining.bags(Block([raw], lower=True))[0], quality_rules.features(quality_rules.statistics([raw]))[0]]).astype(float)
         text = v.text_line[0] * (x @ np.concatenate([v.words, v.stats]) + v.text_bias) + v.text_line[1]
-        page = v.meta_line[0] * (sum(v.meta[c] for c in codes[r[0], r[2], r[3], r[4]]) + v.meta_bias) + v.meta_line[1]
+        page = v.meta_line[0] * (sum(v.meta[c] for c in [*codes[r[0], r[2], r[3], r[4]], *cotraining.profile_codes([raw])[0]]) + v.meta_bias) + v.meta_line[1]
         want.append((r[0], float(1 / (1 + np.exp(-np.clip(v.mix[0] * text + v.mix[1] * page, -35, 35))))))
     order = lambda x: (str(x[0]), x[1])
     assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(sorted(got, key=order), sorted(want, key=order)))
 
 
+def test_both_views_beat_chance_on_documents(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are needed")
+    d, known = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    v = cotraining.fit_views(d, known)
+    given = {(turn, view): n for turn, view, _, n in v.given if n}
+    assert {(t, view) for t in (0, 1) for view in ("text", "page")} == set(given) and min(v.mix) > 0.2
+    mean = {r["quality"]: r for r in cotraining.score_views(d, v).join(known, "doc_id").groupBy("quality").agg(*(F.avg(c).alias(c) for c in ("text_score", "page_score", "score"))).collect()}
+    assert all(mean[1][c] > 0.9 and mean[0][c] < 0.2 for c in ("text_score", "page_score", "score"))
+
+
+def test_profile_codes():
+    got = cotraining.profile_codes([b"", b"ab#$", "É.É".encode(), b"AB12", b"x" * 999 + b"."])
+    first = cotraining.LANGS + cotraining.SOURCES + cotraining.LENGTHS
+    step = lambda share: min(15, int(1.5 * math.log2(1 + 1000 * share)))
+    want = [(0, 0, 0, 0), (0.5, 0, 0, 0), (0, 0.2, 0, 0), (0, 0, 0.5, 0.5), (0, 0.001, 0, 0)]
+    assert got.tolist() == [[first + 16 * k + step(x) for k, x in enumerate(w)] for w in want]
+
+
 def test_languages_of_held_out_documents(spark):
     import os
 
