@@ -16,12 +16,13 @@ Special strings of the tokenizer inside texts are encoded as its library does. O
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,17 @@ def _library(path: str):
     return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
+#: A worker's encoder, kept from task to task: this job has no other stage that would need its room.
+_encoder: list = [None, None]
+
+
+def _own_encoder(path: str, shared: Broadcast) -> MergeReplay:
+    key = path, hashlib.sha256(shared.value).digest()
+    if _encoder[0] != key:
+        _encoder[:] = key, encoder_of(path, BYTE_LEVEL_PATTERN, shared)
+    return _encoder[1]
+
+
 def _encoded(path: str, encoder: MergeReplay, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each with ``end`` after it, and where each text's begin (one more at the end)."""
     tokenizer, special = _library(path)
@@ -100,8 +112,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     shared = shared_words(docs, tokenizer, BYTE_LEVEL_PATTERN, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer, BYTE_LEVEL_PATTERN, shared)
-        for batch in blocks(batches, size=ENCODED_BYTES):
+        encoder = _own_encoder(tokenizer, shared)
+        for batch in blocks(batches, size=2 * ENCODED_BYTES):
             ids, at = _encoded(tokenizer, encoder, [x.decode("utf-8", "replace") for x in as_bytes(batch)], end)
             n = np.diff(at)
             many = -(-n // capacity)
