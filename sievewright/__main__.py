@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         if not Path(args.path).exists():
             raise FileNotFoundError(args.path)
-        m = triage.LinearModel.from_json(Path(args.model).read_text()) if args.model else triage.train_default(spark)
+        m = triage.load_model(Path(args.model).read_text()) if args.model else triage.train_default(spark)
         if args.command == "analyze":
             one = spark.read.format("binaryFile").load(args.path).filter(f"length <= {128 << 20}")
             t = triage.triaged(one, m).cache()

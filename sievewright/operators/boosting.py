@@ -15,8 +15,9 @@ Missing values (null, NaN) are in a bin below all others and go left. Labels oth
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 from .resampling import mixed
 
+FORMAT = "sievewright-boosted-1"
 #: Gradients are counted in units of 1 / UNIT.
 UNIT = float(1 << 32)
 #: Trees after which margins are written anew, so that a pass never applies more than these.
@@ -89,6 +91,18 @@ class Boosted:
     edges: list[np.ndarray]
     base: float
     trees: list[Tree]
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        """The whole model as a JSON text."""
+        return json.dumps({"format": FORMAT, "columns": self.columns, "edges": [e.tolist() for e in self.edges], "base": self.base, "trees": [asdict(t) for t in self.trees], "thresholds": self.thresholds}, allow_nan=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Boosted:
+        d = json.loads(text)
+        if d.get("format") != FORMAT:
+            raise ValueError("not a boosted model of this package")
+        return cls(d["columns"], [np.array(e, float) for e in d["edges"]], d["base"], [Tree(**t) for t in d["trees"]], d["thresholds"])
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
         out = np.full(len(bins), self.base)
@@ -261,7 +275,7 @@ def fit(df: DataFrame, label: Column, columns: list[str], key: list[str], p: Par
     if p.bins > 255 or len(variants) * 2 * p.leaves * width * (p.bins + 1) > MAX_CELLS:
         raise ValueError("fewer bins (255 at most), leaves or models together are needed")
     names = [f"x{k}" for k in range(width)]
-    x = df.select(label.cast("double").alias("y"), F.xxhash64(*key).alias("row"), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True))).filter("y IN (0, 1)")
+    x = df.select(label.cast("double").alias("y"), F.xxhash64(*key).alias("row"), *(F.col(_quoted(c)).cast("double").alias(n) for c, n in zip(columns, names, strict=True))).filter("y IN (0, 1)")
     edges, bins = cuts(x, names, p.bins), p.bins + 1
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +336,10 @@ def _refreshed(rows: DataFrame, width: int, recent: list[list[Tree]]) -> DataFra
     return written(rows.mapInArrow(run, rows.schema))
 
 
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def scored(df: DataFrame, fitted: list[Boosted], names: list[str] | None = None) -> DataFrame:
     """``df`` with the probability of each model in a column of ``names`` (score, or score0 and so on)."""
     names = names or (["score"] if len(fitted) == 1 else [f"score{k}" for k in range(len(fitted))])
@@ -335,8 +353,8 @@ def scored(df: DataFrame, fitted: list[Boosted], names: list[str] | None = None)
         p = np.stack([1 / (1 + np.exp(-m.margins(x))) for m in fitted], 1)
         return pd.Series(list(p))
 
-    d = df.withColumn("_p", kernel(*(F.col(c).cast("double") for c in columns)))
-    return d.select(*df.columns, *(F.col("_p")[k].alias(n) for k, n in enumerate(names)))
+    d = df.withColumn("_p", kernel(*(F.col(_quoted(c)).cast("double") for c in columns)))
+    return d.select(*map(_quoted, df.columns), *(F.col("_p")[k].alias(n) for k, n in enumerate(names)))
 
 
 def contributions(df: DataFrame, model: Boosted) -> DataFrame:
@@ -354,7 +372,7 @@ def contributions(df: DataFrame, model: Boosted) -> DataFrame:
         phi, expected = tree_contributions(trees, np.where(np.isnan(x), -np.inf, x))
         return pd.DataFrame({"contributions": list(phi), "base": expected + model.base, "margin": model.margins(binned(x, model.edges))})
 
-    return df.withColumn("_k", kernel(*(F.col(c).cast("double") for c in model.columns))).select(*df.columns, "_k.*")
+    return df.withColumn("_k", kernel(*(F.col(_quoted(c)).cast("double") for c in model.columns))).select(*map(_quoted, df.columns), "_k.*")
 
 
 def ablation(df: DataFrame, label: Column, columns: list[str], key: list[str], drops: dict[str, list[str]], seeds: list[int], held_out: Column, p: Params = Params()) -> DataFrame:  # noqa: B008

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..sources import pe, records
-from . import evaluation, features, models, policy, tagging
+from . import boosting, evaluation, features, models, policy, tagging
 
 FORMAT = "sievewright-linear-1"
 
@@ -53,7 +53,34 @@ def examined(files: DataFrame, *keep: str) -> DataFrame:
     return t.withColumn("signals", policy.packing_signals(F.col("report"))).select(*keep, "content", "report", "error", "record", "signals")
 
 
-def _scored(t: DataFrame, m: LinearModel) -> DataFrame:
+def load_model(text: str) -> LinearModel | boosting.Boosted:
+    """The model of a JSON text, of whichever kind it says it is; an error if it was fitted to other features than this package has."""
+    d = json.loads(text)
+    if not isinstance(d, dict) or d.get("format") != boosting.FORMAT:
+        return LinearModel.from_json(text)
+    m = boosting.Boosted.from_json(text)
+    if m.columns != feature_names():
+        raise ValueError("the model was fitted to other features")
+    return m
+
+
+def boosted(files: DataFrame, p: boosting.Params = boosting.Params()) -> boosting.Boosted:  # noqa: B008
+    """A boosted model fitted to files (path, content, label), with its thresholds for 1 % and 0.1 % false positives."""
+    f = features.named_features(examined(files, "path", "label").filter("error IS NULL"), "record", "path", "label")
+    m = boosting.fit(f, F.col("label"), feature_names(), ["path"], p)[0]
+    s = boosting.scored(f, [m]).select("label", "score")
+    for name, fpr in (("fpr_1pct", 0.01), ("fpr_0.1pct", 0.001)):
+        t = evaluation.threshold_for_fpr(s, "score", F.col("label") == 0, fpr).first()
+        if t and t[0] is not None:
+            m.thresholds[name] = float(t[0])
+    return m
+
+
+def _scored(t: DataFrame, m: LinearModel | boosting.Boosted) -> DataFrame:
+    if isinstance(m, boosting.Boosted):
+        c = boosting.contributions(t, m)
+        c = c.withColumn("raw", models.sigmoid(F.col("margin"))).withColumn("contributions", models.attributions(m.columns, F.col("contributions"), 8))
+        return c.withColumn("nearest", F.lit(None).cast("string")).drop("base", "margin")
     columns = F.array(*(F.col(f"`{c}`") for c in m.columns))
     numbers = lambda v: F.array(*map(F.lit, v))
     z = F.zip_with(F.zip_with(columns, numbers(m.mu), lambda a, b: a - b), numbers(m.sigma), lambda a, b: a / b)
@@ -85,7 +112,7 @@ def trained(files: DataFrame, most_families: int = 20) -> LinearModel:
     return m
 
 
-def triaged(files: DataFrame, m: LinearModel) -> DataFrame:
+def triaged(files: DataFrame, m: LinearModel | boosting.Boosted) -> DataFrame:
     """path, sha256, verdict, score, family, packed, route, capabilities, techniques, contributions, notes, error of every file (path, content).
 
     An unreadable file has its error and nothing else.

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from sievewright.__main__ import main
-from sievewright.operators import policy, triage
+from sievewright.operators import boosting, policy, triage
 from sievewright.sources import corpus
 
 
@@ -40,6 +40,18 @@ def test_models_are_json_and_refuse_other_features(model):
         triage.LinearModel.from_json("{}")
 
 
+def test_a_boosted_model_is_recognised(spark):
+    files_ = corpus.corpus(spark, 4).filter("content IS NOT NULL")
+    m = triage.boosted(files_, boosting.Params(rounds=4, leaves=4, bins=16, least_rows=2))
+    again = triage.load_model(m.to_json())
+    assert isinstance(again, boosting.Boosted) and again.thresholds == m.thresholds
+    rows = triage.triaged(files_.select("path", "content"), again).filter("error IS NULL").collect()
+    label = {r["path"]: r["label"] for r in files_.select("path", "label").collect()}
+    assert rows and {r["family"] for r in rows} <= {None} and all((r["score"] > 0.5) == (label[r["path"]] == 1) for r in rows if r["verdict"] != "SUSPICIOUS")
+    with pytest.raises(ValueError, match="other features"):
+        triage.load_model(json.dumps(json.loads(m.to_json()) | {"columns": m.columns[::-1]}))
+
+
 def test_command_line(spark, model, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.exe").write_bytes(corpus.sample("benign", 0))
