@@ -94,3 +94,16 @@ def test_signed_rank_of_many(spark):
         assert evaluation.signed_rank(df, F.col("v")).first()["p"] == pytest.approx(p, rel=0.02)
     finally:
         evaluation.EXACT = exact
+
+
+def test_bins_meet_values_by_broadcast(spark):
+    """All rows of one feature must not be sorted in one task to meet the feature's one row of bins."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        v = spark.range(200).select(F.concat(F.lit("f"), F.col("id") % 2).alias("feature"), F.col("id").cast("double").alias("value"), (F.col("id") % 3 == 0).alias("ref"))
+        plan = drift.binned(v, drift.psi_bins(v.filter("ref")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    first = next(line for line in plan.splitlines() if "Join" in line)
+    assert "BroadcastHashJoin" in first
