@@ -107,3 +107,29 @@ def test_bins_meet_values_by_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     first = next(line for line in plan.splitlines() if "Join" in line)
     assert "BroadcastHashJoin" in first
+
+
+def test_replicate_weights_are_taken_once_a_row(spark):
+    """Weights hashed once a row give what weights hashed for each row and replicate give, by a plain computation."""
+    import hashlib
+    from collections import Counter
+
+    rows = spark.range(300).select("id", (F.col("id") % 3 == 0).alias("ref"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    v = drift.long_form(rows.withColumn("w", drift.replicate_weights(F.col("id"), 2)), ["a", "b"], ["id", "ref", "w"])
+    bins = drift.psi_bins(v.filter("ref"))
+    got = {(r["rep"], r["feature"]): r["psi"] for r in drift.resampled_psi(v, "id", "ref", bins, 2, weights="w").collect()}
+
+    def weight(key, rep):
+        u, total, term, out = int(hashlib.md5(f"{key}:{rep}".encode()).hexdigest()[:8], 16) / 2**32, 0.0, math.exp(-1), 0
+        for k in range(8):
+            total += term / math.factorial(k)
+            out += u >= total
+        return out
+
+    for rep in range(2):
+        for name, m in (("a", 7), ("b", 5)):
+            p, q = Counter(), Counter()
+            for i in range(300):
+                (p if i % 3 == 0 else q)[i % m] += weight(i, rep)
+            share = lambda c, k: max(c[k] / sum(c.values()), 1e-4)
+            assert got[rep, name] == pytest.approx(sum((share(q, k) - share(p, k)) * math.log(share(q, k) / share(p, k)) for k in range(m)))
