@@ -86,3 +86,11 @@ def test_one_class_and_no_rows(spark):
     assert resampling.roc_draws(df.limit(0), "id", F.col("y"), run, 5, {"t": 0.1}).collect() == []
     assert resampling.sums(df.limit(0), "id", F.col("y"), {"n": F.lit(1)}, 5).collect() == []
     assert {r["n"] for r in resampling.sums(df, "id", F.col("y"), {"n": F.lit(1)}, 5).collect()} == {2.0}
+
+
+def test_draws_are_not_broadcast(spark, monkeypatch):
+    """The places that a replicate's missing draws hit grow with the table: they must not pass through the driver."""
+    plans = []
+    monkeypatch.setattr(resampling, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    resampling.drawn(spark.range(500).withColumn("y", F.col("id") % 2), "id", F.col("y"), {}, 20)
+    assert "SortMergeJoin" in next(line for line in plans[-1].splitlines() if "Join" in line)
