@@ -61,11 +61,25 @@ def cells(tokens: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.abs(h) % width)[code], np.where(h >= 0, 1.0, -1.0)[code]
 
 
+#: Tokens that ``hashed_tokens`` turns into numpy arrays at a time, about; a row with more is taken alone.
+TOKENS = 100_000
+
+
+def _pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose lists in ``column`` hold ``most`` values together, one row at least."""
+    ends = np.cumsum(np.nan_to_num(pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1])
+
+
 def hashed_tokens(df: DataFrame, tokens: str, width: int, keep: list[str]) -> DataFrame:
     """``keep`` columns, cell and value: the cells that aren't 0 of each row's signed sums over its ``tokens`` (array of strings; nulls in it are left out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, "_tokens", TOKENS)):
             lists = batch.column("_tokens")
             row = np.repeat(np.arange(batch.num_rows), np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))
             flat = lists.flatten()

@@ -174,3 +174,23 @@ def test_small_operators(spark):
         rule_text.parsed(spark, {"none": "rule none {\n condition: all of them\n}"}).collect()
     many = 'rule m {\n strings:\n $a = "one"\n' + " " * 9_000 + '$b = "long line"\n $c = "t\\"wo" nocase\n condition: any of them\n}'
     assert rule_text.parsed(spark, {"m": many}).first()[1:] == (1, ["one", 't"wo'])
+
+
+def test_statistical_aggregates_keep_no_percentile_by_part(spark):
+    """A distinct count in the same grouping would keep a percentile for each flag and part."""
+    from sievewright.plans import catalog
+
+    plan = catalog.QUERIES["statistical_aggregates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("percentile" in line and "l_partkey" in line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_hashed_tokens_take_bounded_pieces(spark, monkeypatch):
+    """Pieces of a batch hold about as many tokens as allowed, and all rows come through whole."""
+    import pyarrow as pa
+
+    from sievewright.functions import hashing
+
+    lists = [["a"] * 7, None, [], ["b"] * 30, ["c", None, "d"], ["e"] * 9]
+    pieces = list(hashing._pieces(pa.RecordBatch.from_pydict({"x": lists}), "x", 10))
+    assert [r for p in pieces for r in p.column("x").to_pylist()] == lists
+    assert all(p.num_rows == 1 or sum(len(r or ()) for r in p.column("x").to_pylist()) <= 10 for p in pieces)
