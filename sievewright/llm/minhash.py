@@ -218,7 +218,7 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, l
     """(rid, part) for classes with a candidate: the smallest rid of each linked group."""
     posts = coords * classes.count()
     posted = classes.select("rid", F.posexplode("sig")).select("rid", (F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))).alias("token"))
-    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    counts = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
     tokens = meet(posted, counts, "token", "many", total=posts).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("tokens")).filter(F.size("tokens") >= need)
     # A hot value's list is cut into sublists 1, 2, ...; others are sublist 0.
     bound = max(LIST, posts // HOT_KEYS)
@@ -227,6 +227,7 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, l
         lambda t: F.struct(t["token"].alias("token"), F.when(t["many"] > bound, 1 + F.pmod(F.xxhash64("rid"), F.ceil(t["many"] / bound))).otherwise(0).cast("int").alias("sub")),
     )
     listed = cut(tokens.select("rid", prefix.alias("prefix")).join(classes.select("rid", "n", "planes"), "rid"))
+    discard(counts)
 
     def named_by(forest: DataFrame, name: str) -> DataFrame:
         r = roots(forest.toDF("parent", "node"))
@@ -235,7 +236,7 @@ def _components(docs: DataFrame, classes: DataFrame, width: int, percent: int, l
     def tied(groups: DataFrame, name: str, edges: DataFrame) -> DataFrame:
         """``groups`` (rid, name) with groups that ``edges`` between members' groups connect made one, by their smallest name."""
         merged = components(edges).toDF(name, "to")
-        sizes = groups.groupBy(name).agg(F.count(F.lit(1)).alias("of")).join(merged, name, "left")
+        sizes = cut(groups.groupBy(name).agg(F.count(F.lit(1)).alias("of")).join(merged, name, "left"))
         return cut(meet(groups, sizes, name, "of", "left").select("rid", F.coalesce("to", name).alias(name)))
 
     def against_head(rows: DataFrame, *of: str) -> DataFrame:

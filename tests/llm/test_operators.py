@@ -423,3 +423,16 @@ def test_rules_equal_a_walk_through_the_trees(spark, docs, labels):
         n, again = int(s["n_words"][0]), int(s["n_repeat_words"][0])
         failed = n < 50 or 100 * again > 50 * n
         assert (round(float(score), 9), not failed and score >= threshold, failed) in got[r[0]]
+
+
+@pytest.mark.parametrize("many", [3, 1500])
+def test_meet_broadcasts_only_for_hot_keys(spark, many):
+    """Where no key is hot the driver neither builds nor keeps a broadcast; results are the same either way."""
+    from sievewright.llm.common import cut, meet
+
+    rows = cut(spark.range(2000).select(F.when(F.col("id") < many, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id"))
+    one = cut(rows.groupBy("k").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n")).filter("k % 2 <> 0"))
+    met = meet(rows, one, "k", "n", "left")
+    assert {tuple(r) for r in met.collect()} == {tuple(r) for r in rows.join(one, "k", "left").collect()}
+    hints = met._jdf.queryExecution().logical().toString().count("strategy=broadcast")
+    assert hints == (0 if many == 3 else 2)
