@@ -1,8 +1,7 @@
 """Quality rules: hard limits on document statistics, then gradient-boosted trees over them.
 
-Statistics come from whole texts in one vectorised pass and are written once. The trees are fitted on the driver to a bounded
-sample of labelled rows (``SAMPLE`` by smallest hash of the id), with the score falling in symbols, repeated words and repeated
-lines; the threshold comes from held-out folds; scoring walks flat node arrays.
+Statistics come from whole texts in one vectorised pass and are written once. The trees are fitted to all
+labelled rows by histograms, with the score falling in symbols, repeated words and repeated lines; the threshold comes from held-out folds; scoring walks flat node arrays.
 
 Defined results: null or empty texts have all statistics 0 and fail the base rule (fewer than 50 words). Without labelled rows of
 both classes the verdict is the base rule's alone. Labels without quality or document are left out; of repeated labels
@@ -11,6 +10,7 @@ of an id the largest counts. Rows repeat as they come in; other columns are not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import as_bytes, blocks, cut, digest, given_back, packed, passing, rows_without, table, unpacked
+from .common import as_bytes, blocks, cut, digest, discard, given_back, packed, passing, rows_without, table, unpacked
 from .hashing import Block, mix
 
-#: Labelled rows that the trees are fitted to, at most.
-SAMPLE = 20_000
+#: Labelled rows up to which the driver adds up histograms itself, from ten bytes a row; of more rows Spark does.
+AT_ONCE = 200_000
+#: Bins of a feature.
+BINS = 48
 #: Share of labelled good documents whose score the threshold must not exceed.
 KEEP_GOOD = 0.998
 #: Folds in which rows are held out to choose the threshold.
@@ -86,32 +88,80 @@ def document_statistics(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(given_back(run), ", ".join([*kinds, *(f"{c} long" for c in BASE + EXTRA)]))
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> tuple[boosting.FlatTrees, float] | None:
-    """Trees and the score that a document must reach; None without rows of both classes.
+def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """x (FEATURES), y and fold for each labelled id with a document; of rows that share an id the smallest counts."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
+    rows = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*BASE, *EXTRA)).alias("s"), F.max("y").alias("y"))
 
-    ``sample`` labelled ids are chosen by hash, and of rows that share one the smallest counts, so at most ``sample`` rows reach the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features({c: batch.column(c).to_numpy() for c in BASE + EXTRA})
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in x.T), batch.column("y"), batch.column("fold")], [*FEATURES, "y", "fold"])
+
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    return rows.select("s.*", "y", fold.alias("fold")).mapInArrow(run, ", ".join([*(f"{c} double" for c in FEATURES), "y double", "fold int"]))
+
+
+def fit_rules(stats: DataFrame, labels: DataFrame, at_once: int = AT_ONCE, keep_good: float = KEEP_GOOD) -> tuple[boosting.FlatTrees, float] | None:
+    """Trees and the score that a document must reach, from all labelled rows; None without rows of both classes.
+
+    Bins of up to ``at_once`` rows (ten bytes each) come to the driver; of more rows only histograms do, and the trees are the same.
     The threshold is a quantile of scores that rows get from trees which have not seen them (``FOLDS`` folds); the trees returned have seen all.
     """
-    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*BASE, *EXTRA)).alias("s"), F.max("quality").alias("quality"))
-    pdf = rows.select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
-    y = pdf["quality"].to_numpy(float)
-    if len(set(y.tolist())) < 2:
+    rows = cut(_labelled(stats, labels))
+    quantile = F.array(*map(F.lit, boosting.shares(BINS)))
+    found = rows.groupBy("fold").agg(F.count(F.lit(1)), F.sum("y")).collect()
+    n, good = (np.array([sum(r[k] for r in found if r[0] == f) for f in range(FOLDS)]) for k in (1, 2))
+    if not 0 < good.sum() < n.sum():
         return None
-    x, monotone = features({c: pdf[c].to_numpy() for c in BASE + EXTRA}), np.array(list(FEATURES.values()))
-    trees = boosting.fit(x, y, monotone)
-    unseen, fold = trees.probability(x), np.arange(len(y)) % FOLDS
-    for k in range(FOLDS):
-        if len(set(y[fold != k].tolist())) == 2:
-            unseen[fold == k] = boosting.fit(x[fold != k], y[fold != k], monotone).probability(x[fold == k])
-    return trees, min(0.5, float(np.quantile(unseen[y == 1], 1 - keep_good, method="lower")))
+    cuts = [np.unique(x) for x in rows.agg(*(F.percentile_approx(c, quantile, F.lit(10_000)) for c in FEATURES)).first()]
 
-
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_good: float = KEEP_GOOD, others: tuple[str, ...] = ()) -> DataFrame:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = boosting.coded(np.stack([batch.column(c).to_numpy() for c in FEATURES], 1), cuts)
+            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), batch.column("y"), batch.column("fold")], ["bins", "y", "fold"])
+
+    binned, monotone = rows.mapInArrow(code, "bins binary, y double, fold int"), np.array(list(FEATURES.values()))
+    # A fold without which a class is missing gets its scores from the trees that have seen all.
+    without = [k for k in range(FOLDS) if 0 < (good.sum() - good[k]) < n.sum() - n[k]]
+    seen = [(good.sum(), n.sum()), *((good.sum() - good[k], n.sum() - n[k]) if k in without else (good.sum(), n.sum()) for k in range(FOLDS))]
+    models = [boosting.Growing(cuts, monotone, float(a / b)) for a, b in seen]
+    place = int((1 - keep_good) * (int(good.sum()) - 1))
+    if n.sum() <= at_once:
+        t = binned.toArrow()
+        x, y, fold = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(t.num_rows, -1), t.column("y").to_numpy(), t.column("fold").to_numpy()
+        boosting.boost(models, boosting.Rows(x, y, fold, models, BINS))
+    else:
+        boosting.boost(models, passes := boosting.Passes(cut(binned.repartition(math.ceil(int(n.sum()) / boosting.CHUNK))), models, BINS))
+    trees = [m.flat(coded=True) for m in models]
+    blind = {k: trees[k + 1] if k in without else trees[0] for k in range(FOLDS)}
+
+    def unseen(x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for k in range(FOLDS):
+            out[fold == k] = blind[k].probability(x[fold == k])
+        return out
+
+    if n.sum() <= at_once:
+        score = float(np.sort(unseen(x[y == 1], fold[y == 1]))[place])
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(unseen(x, batch.column("fold").to_numpy()))], ["score"])
+
+        scores = cut(passes.rows.filter("y = 1").mapInArrow(given_back(run), "score double"))
+        score = boosting.kth(scores, "score", place)
+        discard(scores, passes.rows)
+    discard(rows)
+    return models[0].flat(), min(0.5, score)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, at_once: int = AT_ONCE, keep_good: float = KEEP_GOOD, others: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``others``, BASE, base_failed, score and kept for every row of ``docs``."""
     stats = cut(document_statistics(docs, *others))
-    model = fit_rules(stats, labels, sample, keep_good)
+    model = fit_rules(stats, labels, at_once, keep_good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

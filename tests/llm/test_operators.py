@@ -436,3 +436,23 @@ def test_meet_broadcasts_only_for_hot_keys(spark, many):
     assert {tuple(r) for r in met.collect()} == {tuple(r) for r in rows.join(one, "k", "left").collect()}
     hints = met._jdf.queryExecution().logical().toString().count("strategy=broadcast")
     assert hints == (0 if many == 3 else 2)
+
+
+def test_rules_are_fitted_to_all_labelled_rows(spark, monkeypatch):
+    """However few rows the driver takes at once, all labelled rows count: trees and threshold are the same, and those of every row in memory."""
+    import numpy as np
+
+    from sievewright.llm import boosting
+
+    monkeypatch.setattr(boosting, "CHUNK", 97)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["alpha", "beta.", "#", "Gamma", "7", "x\ny"], int(rng.integers(1, 90)), p=[0.3, 0.2, p := rng.uniform(0, 0.3), 0.3 - p, 0.1, 0.1])) for _ in range(700)]
+    stats = quality_rules.document_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    quality = [(k, int(t.count("#") * 8 < len(t.split())), 0) for k, t in enumerate(texts)]
+    labels = spark.createDataFrame(quality, "doc_id long, quality long, toxic long")
+    whole, few = quality_rules.fit_rules(stats, labels), quality_rules.fit_rules(stats, labels, 5)
+    for name in ("feature", "cut", "left", "right", "value", "roots"):
+        assert np.array_equal(getattr(whole[0], name), getattr(few[0], name))
+    assert whole[1] == few[1]
+    x, y = quality_rules.features(quality_rules.statistics([t.encode() for t in texts])), np.array([q for _, q, _ in quality])
+    assert ((whole[0].probability(x) > 0.5) == (y == 1)).mean() > 0.9
