@@ -102,3 +102,30 @@ def test_odd_tables(spark):
         df = spark.createDataFrame(rows, schema)
         fitted = boosting.fit(df, F.col("y"), ["a"], ["id"], Params(rounds=2, least_rows=1))
         assert boosting.scored(df, fitted).count() == len(rows)
+
+
+@pytest.mark.parametrize("p", [Params(rounds=10, leaves=6, depth=3, bins=12, least_rows=5), Params(rounds=10, leaves=6, depth=3, bins=12, least_rows=5, row_share=0.7, feature_share=0.7)])
+def test_equal_rows_are_one(spark, monkeypatch, p):
+    """Passes over rows of few values don't see more rows than these have combinations, and trees are those of all rows."""
+    g = np.random.default_rng(8)
+    x = g.integers(0, 4, size=(1500, 2)).astype(float)
+    y = (g.random(1500) < 0.2 + 0.15 * x[:, 0] - 0.04 * x[:, 1]).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, y double").repartition(3)
+    hashed = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    passed, histograms = [], boosting._histograms
+
+    def counting(rows, *others):
+        passed.append(rows.count())
+        return histograms(rows, *others)
+
+    monkeypatch.setattr(boosting, "_histograms", counting)
+    variants = [Variant((0, 1), 1), Variant((0, 1), 2), Variant((1,), 1)]
+    fitted = boosting.fit(df, F.col("y"), ["a", "b"], ["id"], p, variants)
+    assert max(passed) <= 32
+    got = {r["id"]: [r[f"score{k}"] for k in range(3)] for r in boosting.scored(df, fitted).collect()}
+    row = np.array([hashed[i] & 0xFFFFFFFF for i in range(1500)])
+    for k, v in enumerate(variants):
+        assert np.allclose([got[i][k] for i in range(1500)], 1 / (1 + np.exp(-plain(x, y, fitted[0].edges, p, v, row))), atol=1e-9)
+    monkeypatch.setattr(boosting, "FEWER", 1_000_000)
+    apart = boosting.fit(df, F.col("y"), ["a", "b"], ["id"], p, variants)
+    assert max(passed) == 1500 and [m.to_json() for m in apart] == [m.to_json() for m in fitted]
