@@ -13,6 +13,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import sliced
+
 #: The hash's constants.
 _C1, _C2, _ADD = 0xCC9E2D51, 0x1B873593, 0xE6546B64
 _FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
@@ -143,7 +145,7 @@ def hashed_vectors(df: DataFrame, record: str, keep: list[str], entry_token: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All hashed parts of a batch in one crossing to Python: token lists count one each, section lists their value."""
-        for batch in batches:
+        for batch in sliced(batches):
             parts = {c: np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, -1) for c in ("p0", "p1", "p2")}
             lists = dict(zip([f.name for f in batch.column("t").type], batch.column("t").flatten(), strict=True))
             for name, width in _HASHED.items():

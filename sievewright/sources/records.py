@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +11,26 @@ from ..functions import fixed
 from ..functions import text as T
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def string_statistics(content: Column) -> Column:
     """The strings block of a record from file bytes. Runs here include 0x7f, unlike those a report lists."""
-    s = T.latin(content)
-    runs = T.printable_runs(s, T.RECORD_RUN)
-    joined = F.array_join(runs, "")
-    n = F.length(joined)
     codes = F.sequence(F.lit(0x20), F.lit(0x7F))
-    dist = F.transform(codes, lambda c: (n - F.length(F.replace(joined, F.chr(c), F.lit("")))).cast("long"))
-    plogp = F.aggregate(dist, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log2(x.cast("double"))).otherwise(0.0))
-    paths, urls, registry, mz = (F.regexp_count(s, F.lit(p)).cast("long") for p in T.COUNTERS.values())
-    return F.struct(
-        F.size(runs).cast("long").alias("numstrings"), F.coalesce(F.try_divide(n, F.size(runs)), F.lit(0.0)).alias("avlength"), dist.alias("printabledist"), n.cast("long").alias("printables"),
-        F.when(n > 0, F.log2(n.cast("double")) - plogp / n).otherwise(0.0).alias("entropy"), paths.alias("paths"), urls.alias("urls"), registry.alias("registry"), mz.alias("MZ"),
-    )
+    counted = lambda joined: F.transform(codes, lambda c: (F.length(joined) - F.length(F.replace(joined, F.chr(c), F.lit("")))).cast("long"))
+
+    def block(s: Column, runs: Column, n: Column, dist: Column) -> Column:
+        plogp = F.aggregate(dist, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log2(x.cast("double"))).otherwise(0.0))
+        paths, urls, registry, mz = (F.regexp_count(s, F.lit(p)).cast("long") for p in T.COUNTERS.values())
+        return F.struct(
+            F.size(runs).cast("long").alias("numstrings"), F.coalesce(F.try_divide(n, F.size(runs)), F.lit(0.0)).alias("avlength"), dist.alias("printabledist"), n.cast("long").alias("printables"),
+            F.when(n > 0, F.log2(n.cast("double")) - plogp / n).otherwise(0.0).alias("entropy"), paths.alias("paths"), urls.alias("urls"), registry.alias("registry"), mz.alias("MZ"),
+        )
+
+    of_runs = lambda s, runs: _bound(F.array_join(runs, ""), lambda j: _bound(counted(j), lambda dist: block(s, runs, F.length(j), dist)))
+    return _bound(T.latin(content), lambda s: _bound(T.printable_runs(s, T.RECORD_RUN), lambda runs: of_runs(s, runs)))
 
 
 def from_reports(df: DataFrame) -> DataFrame:

@@ -66,3 +66,15 @@ def test_command_line(spark, model, tmp_path, capsys):
     assert main(["analyze", f"{tmp_path}/in/c.exe", "--model", f"{tmp_path}/m.json"]) == 2
     assert main(["analyze", f"{tmp_path}/none.exe"]) == 2
     assert main(["gen-corpus", f"{tmp_path}/corpus", "-n", "1"]) == 0 and spark.read.parquet(f"{tmp_path}/corpus").count() == 9
+
+
+def test_the_corpus_is_read_once(spark):
+    """Queries over the corpus start from its written reports, and kernels take few files at a time."""
+    import pyarrow as pa
+
+    from sievewright.plans import mining
+    from sievewright.sources.tables import sliced
+
+    plan = mining._triaged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+    assert [b.num_rows for b in sliced([pa.record_batch({"x": range(600)}), pa.record_batch({"x": pa.array([], pa.int64())})], 256)] == [256, 256, 88]
