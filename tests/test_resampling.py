@@ -94,3 +94,48 @@ def test_draws_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(resampling, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
     resampling.drawn(spark.range(500).withColumn("y", F.col("id") % 2), "id", F.col("y"), {}, 20)
     assert "SortMergeJoin" in next(line for line in plans[-1].splitlines() if "Join" in line)
+
+
+def test_a_range_needs_no_table_of_scores_by_replicates(monkeypatch):
+    """Weights are made some rows and replicates at a time, whatever a range holds, and every part's totals are those of all weights."""
+    monkeypatch.setattr(resampling, "CELLS", 64)
+    monkeypatch.setattr(resampling, "REPS", 8)
+    resampling._space.cache_clear()
+    reps, g = 20, np.random.default_rng(5)
+    c = resampling.Classes([90, 60], reps)
+    made, base = [], c.base
+    monkeypatch.setattr(c, "base", lambda *a: made.append(base(*a)) or made[-1])
+    which, place = np.repeat([0, 1], [90, 60]), np.append(np.arange(90), np.arange(60))
+    score = np.sort(g.integers(0, 25, 150).astype(float))[::-1]
+    mixed = g.permutation(150)
+    which, place = which[mixed], place[mixed]
+    more = resampling.Draws(np.sort(g.integers(0, 150, 300)), g.integers(0, reps, 300))
+    got = resampling._range_totals(c, resampling.Run("s", (0, 1)), {"score": score, "class": which, "place": place}, more, np.arange(reps))
+    assert max(w.size for w in made) <= 64
+    w = np.stack([base(int(k), np.array([p]), np.arange(reps))[0].astype(int) for k, p in zip(which, place)])
+    np.add.at(w, (more.row, more.rep), 1)
+    assert [(s, tie) for s, tie, *_ in got] == [(score[0], True), (score[score < score[0]][0], False), (score[-1], True)]
+    for part, (_, tie, neg, pos, won) in zip([score == score[0], (score < score[0]) & (score > score[-1]), score == score[-1]], got):
+        n, p = w[part & (which == 0)], w[part & (which == 1)]
+        s, t = score[part & (which == 0)][:, None], score[part & (which == 1)][None]
+        assert (neg == n.sum(0)).all() and (pos == p.sum(0)).all()
+        assert (won == (0 if tie else (n * (((t > s) + (t == s) / 2) @ p)).sum(0))).all()
+    resampling._space.cache_clear()
+
+
+def test_draws_move_by_span(spark, monkeypatch):
+    """Missing draws are shuffled as one row for each replicate and span of places, not one a draw; no draw is lost."""
+    monkeypatch.setattr(resampling, "DRAWS", 700)
+    df = spark.range(4000).select(F.lit(0).alias("_class"))
+    c = resampling._sizes(df, 30)
+    more = resampling._more(df, c)
+    rows = more.collect()
+    assert sum(len(r["_more"]) for r in rows) == 30 * 4000 - c.drawn.sum() and len({r["_place"] for r in rows}) == len(rows)
+    plan = more._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+    w = plain_weights([4000], 2)[0]
+    base = c.base(0, np.arange(4000), np.arange(2)).astype(int)
+    for r in rows:
+        for k in (0, 1):
+            base[r["_place"], k] += r["_more"].count(k)
+    assert (base == w).all()
