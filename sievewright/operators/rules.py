@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .substrings import GRAM, absent_strings
 
 
@@ -15,14 +16,29 @@ def exploded(df: DataFrame, sample: str, atoms: Column, *others: str) -> DataFra
     return df.select(F.col(sample).alias("sample"), *others, F.explode(F.array_distinct(atoms)).alias("atom"))
 
 
+def supported(group: DataFrame, n_group: int | Column, support: float = 0.3) -> DataFrame:
+    """atom, n_in: atoms of at least max(1, ceil(support * n)) of the group, written. They are at most a sample's mean number of atoms / support, however many samples there are."""
+    n = F.lit(n_group) if isinstance(n_group, int) else n_group
+    return written(group.groupBy("atom").agg(F.countDistinct("sample").alias("n_in")).filter(F.col("n_in") >= F.greatest(F.lit(1), F.ceil(support * n))))
+
+
 def mined(group: DataFrame, benign: DataFrame, n_group: int | Column, n_benign: int | Column, support: float = 0.3, rate: float = 0.002, most: int = 8, order: list[Column] = []) -> DataFrame:  # noqa: B006
-    """atom, n_in, n_out, place: at least max(1, ceil(support * n)) of the group, at most ``rate`` of the others, the best ``most``.
+    """``rarest`` of the group's atoms with enough support."""
+    return rarest(supported(group, n_group, support), benign, n_group, n_benign, rate, most, order)
+
+
+def among(samples: DataFrame, inside: DataFrame) -> DataFrame:
+    """Rows of ``samples`` with an atom of ``inside``. Only they move, since Spark knows how small a written table is."""
+    return samples.join(inside.select("atom"), "atom", "left_semi")
+
+
+def rarest(inside: DataFrame, benign: DataFrame, n_group: int | Column, n_benign: int | Column, rate: float = 0.002, most: int = 8, order: list[Column] = []) -> DataFrame:  # noqa: B006
+    """atom, n_in, n_out, place: of atoms (atom, n_in; written) those of at most ``rate`` of the others, the best ``most``.
 
     Order: share in the group less five times the others' share, then ``order``, then the atom.
     """
     n, m = (F.lit(x) if isinstance(x, int) else x for x in (n_group, n_benign))
-    inside = group.groupBy("atom").agg(F.countDistinct("sample").alias("n_in")).filter(F.col("n_in") >= F.greatest(F.lit(1), F.ceil(support * n)))
-    outside = benign.groupBy("atom").agg(F.countDistinct("sample").alias("n_out"))
+    outside = among(benign, inside).groupBy("atom").agg(F.countDistinct("sample").alias("n_out"))
     c = inside.join(outside, "atom", "left").na.fill(0, ["n_out"]).filter(F.col("n_out") / F.greatest(m, F.lit(1)) <= rate)
     worth = F.col("n_in") / n - 5 * F.col("n_out") / F.greatest(m, F.lit(1))
     best = c.orderBy(worth.desc(), *order, F.col("atom")).limit(most)

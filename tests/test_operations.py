@@ -194,3 +194,17 @@ def test_hashed_tokens_take_bounded_pieces(spark, monkeypatch):
     pieces = list(hashing._pieces(pa.RecordBatch.from_pydict({"x": lists}), "x", 10))
     assert [r for p in pieces for r in p.column("x").to_pylist()] == lists
     assert all(p.num_rows == 1 or sum(len(r or ()) for r in p.column("x").to_pylist()) <= 10 for p in pieces)
+
+
+def test_only_supported_atoms_of_the_others_are_kept(spark, monkeypatch):
+    """The others' atoms are counted only where the group has them often enough; all of these are, samples in several rows once."""
+    from sievewright.plans import mining
+
+    words = [(1, "fr", "dans pour seul"), (2, "fr", "dans pour"), (3, "fr", "dans avec"), (4, "fr", "dans"), (5, "en", "with house dans"), (5, "de", "dans haus"), (6, "en", "other house"), (7, "en", None)]
+    docs = spark.createDataFrame(words, "doc_id long, lang string, text string")
+    monkeypatch.setattr(mining, "table", lambda *_: docs)
+    benign = mining._mined(spark, "")[2]
+    assert sorted(map(tuple, benign.select("sample", "atom").distinct().collect())) == [(5, "dans")]
+    group, others = (docs.filter(c).select(F.col("doc_id").alias("sample"), F.explode(F.split("text", " ")).alias("atom")) for c in ("lang = 'fr'", "lang <> 'fr'"))
+    got = rules.mined(group, others, 4, 4, support=0.5, rate=0.5)
+    assert [tuple(r) for r in got.orderBy("place").collect()] == [("pour", 2, 0, 1), ("dans", 4, 1, 2)]
