@@ -18,12 +18,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import sliced, written
 
 #: Characters of a gram, which is also the least that a string may have.
 GRAM = 6
 #: Bits of the table of grams, and texts that one part of a gram's list holds, about.
 BITS, PART = 1 << 24, 10_000
+#: Texts that a task takes at a time.
+TEXTS = 128
 #: Odd multipliers of a polynomial hash modulo 2^64 and of its last mixing.
 _FACTOR, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -60,14 +62,16 @@ def _held(texts: DataFrame, text: str, bits: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
-        for batch in batches:
-            digests, found = [], []
+        for batch in sliced(batches, TEXTS):
+            digests, times, found = [], [], []
             for t in batch.column("text").to_pylist():
                 g = np.unique(h[table[h & (BITS - 1)]]) if t is not None and len(h := grams(t)) else ()
                 if len(g):
-                    digests += [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()] * len(g)
+                    digests.append(hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+                    times.append(len(g))
                     found.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["digest", "gram"])
+            digest = pa.array(digests, pa.binary()).take(pa.array(np.repeat(np.arange(len(digests)), np.array(times, np.int64))))
+            yield pa.RecordBatch.from_arrays([digest, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["digest", "gram"])
 
     return texts.select(F.col(text).alias("text")).mapInArrow(run, "digest binary, gram long")
 

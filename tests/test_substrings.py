@@ -27,3 +27,20 @@ def test_no_texts_and_no_strings(spark):
     s, t = spark.createDataFrame([("abcdefg",)], "s string"), spark.createDataFrame([("xx abcdefg",)], "text string")
     assert [x["s"] for x in substrings.absent_strings(s, t.limit(0), "text").collect()] == ["abcdefg"]
     assert substrings.absent_strings(s.limit(0), t, "text").collect() == [] == substrings.absent_strings(s, t, "text").collect()
+
+
+def test_few_texts_are_held_at_a_time():
+    """Spark's batches have up to 10,000 texts; what is found in them leaves after ``TEXTS`` of them."""
+    import hashlib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    kernels = []
+    texts = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: kernels.append(run)))
+    substrings._held(texts, "text", SimpleNamespace(value=b"\xff" * (substrings.BITS // 8)))
+    lines = [f"text number {i}" for i in range(1000)] + [None, "short"]
+    out = list(kernels[0]([pa.RecordBatch.from_arrays([pa.array(lines)], ["text"])]))
+    assert max(len(set(b.column("digest").to_pylist())) for b in out) <= 256
+    got = sorted(x for b in out for x in zip(b.column("digest").to_pylist(), b.column("gram").to_pylist()))
+    assert got == sorted((hashlib.md5(t.encode()).digest(), int(g)) for t in lines[:1000] for g in set(substrings.grams(t).tolist()))
